@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .scratch import read_table
+from . import mixing, rules, sharding
+from .scratch import materialize, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), lambda df: materialize(df, "statistics"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.col("copy").cast("long").alias("copy"), "order_key")
@@ -46,5 +51,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op7_mixing": op7_mixing, "op8_sharding": op8_sharding}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
