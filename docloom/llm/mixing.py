@@ -68,11 +68,10 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
         weighted = sizes.join(given.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    total = weighted.agg(F.sum("weight").alias("_w"), F.sum("size").cast("double").alias("_n"))
-    goal = F.lit(float(target_size)) if target_size is not None else F.col("_n")
-    # one row of totals: a join on a constant, not a product of two tables
-    both = weighted.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return both.select("source", "size", F.when(F.col("_w") > 0, F.col("weight") / F.col("_w") * goal / F.col("size")).otherwise(0.0).alias("rate"))
+    total, size_all = weighted.agg(F.sum("weight"), F.sum("size").cast("double")).head()
+    goal = float(target_size) if target_size is not None else size_all or 0.0
+    scale = goal / total if total else 0.0
+    return weighted.select("source", "size", (F.col("weight") * F.lit(scale) / F.col("size")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, seed: int = 7, temperature: float = TEMPERATURE, target_size: float | None = None) -> DataFrame:
