@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules, sharding
-from .scratch import materialize, read_table
+from . import bpe, mixing, rules, sharding, tokenfiles
+from .scratch import materialize, read_table, scratch_path
+
+#: A public tokenizer's file, by its name in the folder of vocabularies.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +28,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    manifest = tokenfiles.write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer_file())
+    return tokenfiles.read_token_files(manifest, folder)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(bpe.encode_documents(docs, tokenizer_file()))
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.col("copy").cast("long").alias("copy"), "order_key")
@@ -51,5 +82,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_token_files": op3_token_files, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
