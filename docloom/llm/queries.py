@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, rules, sharding, tokenfiles
+from . import bpe, mixing, ngram_join, rules, sharding, spotsigs, tokenfiles
 from .scratch import materialize, read_table, scratch_path
 
 #: A public tokenizer's file, by its name in the folder of vocabularies.
@@ -49,6 +49,10 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.col("copy").cast("long").alias("copy"), "order_key")
@@ -86,5 +90,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_token_files": op3_token_files, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_token_files": op3_token_files, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
