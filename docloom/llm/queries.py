@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, rules, sharding, spotsigs, tokenfiles
+from . import bpe, mixing, ngram_join, passages, rules, sharding, spotsigs, tokenfiles
 from .scratch import materialize, read_table, scratch_path
 
 #: A public tokenizer's file, by its name in the folder of vocabularies.
@@ -28,6 +28,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+#: A document is kept if its quality score is at least this.
+KEEP_SCORE = 0.3
+
+
+def fold(modulus: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with ``score``, learned from labels outside fold 0 of 5."""
+    return passages.score(docs, passages.learn(docs, labels, fold(5) != 0))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     manifest = tokenfiles.write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer_file())
@@ -90,5 +109,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_token_files": op3_token_files, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
