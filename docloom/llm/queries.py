@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, mixing, ngram_join, passages, rules, sharding, spotsigs, tokenfiles
+from . import bpe, crf, mixing, ngram_join, passages, rules, sharding, sitestyle, spotsigs, tokenfiles
 from .scratch import materialize, read_table, scratch_path
 
 #: A public tokenizer's file, by its name in the folder of vocabularies.
@@ -68,6 +68,10 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitestyle.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """The documents with ``lang_pred`` and ``lang_score``, learned outside fold 2 of 4."""
     return crf.predict(docs, crf.learn(docs, fold(4) != 2))
@@ -121,5 +125,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op4_site_style_tree": op4_site_style_tree, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
