@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the numbered operators.
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of the table
-``documents``, and returns a DataFrame; it is written as Parquet and read again
+``documents`` (further ones are left out), and returns a DataFrame; it is written as Parquet and read again
 as the next stage's docs.  The last stage returns the encoded documents.
 """
 
@@ -21,29 +21,33 @@ KEEP_LANGUAGE = 0.34
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of KEEP_SCORE or more."""
+    docs = docs.select(*COLUMNS)
     scored = queries.quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") >= queries.KEEP_SCORE).select(*docs.columns)
+    return scored.filter(F.col("score") >= queries.KEEP_SCORE).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters or without a leading language go."""
+    docs = docs.select(*COLUMNS)
     found = queries.languages(docs)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= KEEP_LANGUAGE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= KEEP_LANGUAGE)).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id; a null doc_id stays."""
+    docs = docs.select(*COLUMNS)
     classes = ngram_join.jaccard_components(docs)
     others = classes.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     # rows that repeat the kept one
     first = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(kept.filter("doc_id is null")).select(*docs.columns)
+    return first.unionByName(kept.filter("doc_id is null")).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources have their target shares, in shuffled order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    docs = docs.select(*COLUMNS)
+    return mixing.mix_sources(docs).select(*COLUMNS)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ Cases with a defined result
   special tokens  their strings in a text give their ids, as the library does
   repeated rows   each is encoded; repeated long texts are encoded once
   empty table     an empty result
-  extra columns   kept; ``ids`` and ``decoded`` are added and raise ValueError
-                  where the input has such a column
+  extra columns   kept; ``ids`` and ``decoded`` are added and replace columns of
+                  these names
 """
 
 from __future__ import annotations
@@ -238,8 +238,7 @@ _BYTE_CHARS = _byte_chars()
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = True, split_chars: int = SPLIT_CHARS) -> DataFrame:
     """The input with ``ids array<int>`` and, if asked for, ``decoded string``."""
     added = ["ids", *(["decoded"] if decoded else [])]
-    if clash := {*added, "_key", "_part", "_n", "_segment"} & set(docs.columns):
-        raise ValueError(f"input has columns that this operator adds: {sorted(clash)}")
+    docs = docs.drop(*added)
     result = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def columns(c: Coder, ids: pa.ListArray) -> list[pa.Array]:
@@ -255,32 +254,32 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = Tr
     short = docs.filter(length <= split_chars).mapInArrow(encode, T.StructType([*docs.schema.fields, *result.fields]))
 
     # Long texts: equal segments to many tasks, joined pairwise afterwards.
-    long = docs.filter(length > split_chars).withColumn("_key", F.sha2("text", 256))
+    long = docs.filter(length > split_chars).withColumn("_bpe_key", F.sha2("text", 256))
     parts = F.ceil(F.length("text") / F.lit(split_chars)).cast("int")
-    segments = long.select("_key", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
-    segments = segments.select("_key", "_part", F.substring(F.col("text"), F.col("_part") * split_chars + 1, F.lit(split_chars)).alias("_segment")).dropDuplicates(["_key", "_part"])
+    segments = long.select("_bpe_key", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_bpe_part"))
+    segments = segments.select("_bpe_key", "_bpe_part", F.substring(F.col("text"), F.col("_bpe_part") * split_chars + 1, F.lit(split_chars)).alias("_bpe_segment")).dropDuplicates(["_bpe_key", "_bpe_part"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer_path)
         for batch in batches:
             for n in range(batch.num_rows):
-                e = c.encode_tree(batch.column("_segment")[n].as_py())
+                e = c.encode_tree(batch.column("_bpe_segment")[n].as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_key").slice(n, 1), batch.column("_part").slice(n, 1), batch.column("_segment").slice(n, 1), *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (e.ids, e.start, e.end)]],
-                    ["_key", "_part", "_segment", "ids", "start", "end"],
+                    [batch.column("_bpe_key").slice(n, 1), batch.column("_bpe_part").slice(n, 1), batch.column("_bpe_segment").slice(n, 1), *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (e.ids, e.start, e.end)]],
+                    ["_bpe_key", "_bpe_part", "_bpe_segment", "ids", "start", "end"],
                 )
 
     def join(key, table):
         c = coder(tokenizer_path)
         level = [
-            Encoded(r["_segment"], *[np.frombuffer(r[k], "<i4").astype(np.int64) for k in ("ids", "start", "end")])
-            for r in table.sort_by("_part").to_pylist()
+            Encoded(r["_bpe_segment"], *[np.frombuffer(r[k], "<i4").astype(np.int64) for k in ("ids", "start", "end")])
+            for r in table.sort_by("_bpe_part").to_pylist()
         ]
         while len(level) > 1:
             level = [c.concatenate(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         ids = pa.ListArray.from_arrays(pa.array([0, len(level[0].ids)], pa.int32()), pa.array(level[0].ids.astype(np.int32)))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), *columns(c, ids)], ["_key", *added])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()]), *columns(c, ids)], ["_bpe_key", *added])
 
-    encoded = segments.mapInArrow(leaves, "_key string, _part int, _segment string, ids binary, start binary, end binary")
-    whole = encoded.groupBy("_key").applyInArrow(join, T.StructType([T.StructField("_key", T.StringType()), *result.fields]))
-    return short.unionByName(long.join(whole, "_key").drop("_key"))
+    encoded = segments.mapInArrow(leaves, "_bpe_key string, _bpe_part int, _bpe_segment string, ids binary, start binary, end binary")
+    whole = encoded.groupBy("_bpe_key").applyInArrow(join, T.StructType([T.StructField("_bpe_key", T.StringType()), *result.fields]))
+    return short.unionByName(long.join(whole, "_bpe_key").drop("_bpe_key"))

@@ -27,8 +27,8 @@ Cases with a defined result
   ties            the language that sorts first
   repeated rows   each is predicted
   empty table     an empty result
-  extra columns   kept; ``lang_pred`` and ``lang_score`` are added and raise
-                  ValueError where they exist
+  extra columns   kept; ``lang_pred`` and ``lang_score`` are added and
+                  replace columns of these names
 """
 
 from __future__ import annotations
@@ -340,8 +340,7 @@ def learn(docs: DataFrame, usable: Column, *, sample_docs: int = SAMPLE_DOCS, sa
 
 def predict(docs: DataFrame, model: Crf) -> DataFrame:
     """The input with ``lang_pred`` and ``lang_score``."""
-    if clash := {"lang_pred", "lang_score"} & set(docs.columns):
-        raise ValueError(f"input has columns that this operator adds: {sorted(clash)}")
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: buckets, languages, sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ Cases with a defined result
   repeated rows   each row is drawn, all with the same count
   empty table     an empty result
   extra columns   kept as they are; ``copy`` and ``order_key`` are added last and
-                  raise ValueError where the input has such a column
+                  replace columns of these names
 """
 
 from __future__ import annotations
@@ -76,30 +76,29 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, seed: int = 7, temperature: float = TEMPERATURE, target_size: float | None = None) -> DataFrame:
     """The mixed documents with ``copy`` (from 0) and ``order_key``, globally ordered by it."""
-    if clash := {"copy", "order_key", "_rate", "_source"} & set(docs.columns):
-        raise ValueError(f"input has columns that this operator adds: {sorted(clash)}")
-    table = rates(docs, weights, temperature=temperature, target_size=target_size).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    docs = docs.drop("copy", "order_key")
+    table = rates(docs, weights, temperature=temperature, target_size=target_size).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
     n_sources = table.limit(MOST_BROADCAST_SOURCES + 1).count()
     if n_sources <= MOST_BROADCAST_SOURCES:
-        drawn = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
+        drawn = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_mix_source")))
     else:
         # Many sources, one of which may hold a third of the rows: salt it.
         salts = 64
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        spread = table.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        drawn = salted.join(spread, (F.col("_salt") == F.col("_salt2")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_salt", "_salt2")
+        salted = docs.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        spread = table.withColumn("_mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        drawn = salted.join(spread, (F.col("_mix_salt") == F.col("_mix_salt2")) & F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_salt", "_mix_salt2")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # Poisson(a + b) is Poisson(a) + Poisson(b): large means are drawn in parts,
     # so that exp(-rate) never underflows.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / _STEP).cast("int"))
-    count = F.when(F.col("_rate") <= 0, 0).otherwise(
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / _STEP).cast("int"))
+    count = F.when(F.col("_mix_rate") <= 0, 0).otherwise(
         F.aggregate(
             F.sequence(F.lit(1), parts),
             F.lit(0),
-            lambda total, part: total + _poisson(_uniform(F.lit(str(seed)), key, part.cast("string")), F.col("_rate") / parts),
+            lambda total, part: total + _poisson(_uniform(F.lit(str(seed)), key, part.cast("string")), F.col("_mix_rate") / parts),
         )
     )
-    copies = drawn.withColumn("_n", count).filter("_n > 0")
-    exploded = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    copies = drawn.withColumn("_mix_n", count).filter("_mix_n > 0")
+    exploded = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string")))
     return exploded.withColumn("order_key", order).orderBy("order_key")

@@ -17,7 +17,7 @@ Cases with a defined result
   repeated rows   each is scored
   no labels, or labels of one kind: every score is the share of label 1 (1 if none)
   empty table     an empty result
-  extra columns   kept; ``score`` is added and raises ValueError where it exists
+  extra columns   kept; ``score`` is added and replaces a column of this name
 """
 
 from __future__ import annotations
@@ -241,8 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The input with ``score``, the likelihood of label 1."""
-    if "score" in docs.columns:
-        raise ValueError("input has a column named score")
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
