@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ SPLIT_CHARS = 1 << 16
 #: Words over this many code points are cut up inside a task.
 LEAF_CHARS = 2048
 #: Words that a worker remembers; further ones are encoded once for each slice of rows.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _WINDOW = 8
 
 _coders: dict[str, "Coder"] = {}
@@ -69,23 +70,18 @@ class Encoded:
 
 class Coder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        import json
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        suffix = model.get("end_of_word_suffix") or ""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self._arrow_strings = pa.array(self.strings)
         self.vocabulary_size = size
-        # The model alone, for pieces that are already normalised and split.
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self._bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
+        # The model alone, shared, for pieces that are already normalised and split.
+        self._bare = Tokenizer(self.tokenizer.model)
         self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self._ends = np.array([bool(suffix) and s.endswith(suffix) for s in self.strings])
         self._plain = self._plain_pieces() if suffix else None
@@ -144,12 +140,13 @@ class Coder:
         whole = data.tobytes()
         split = [whole[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
         known = self._words
-        new = {w for words in split for w in words if w not in known}
+        different = set(chain.from_iterable(split))
+        new = different - known.keys()
         if new:
             learned = self._learn(new)
             if not new <= known.keys():
-                known = known | learned if len(known) < len(learned) else _Both(known, learned)
-        parts = [b"".join([known[w] for w in words]) for words in split]
+                known = dict(zip(different, map(known.get, different))) | learned
+        parts = [b"".join(map(known.__getitem__, words)) for words in split]
         bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
@@ -214,17 +211,6 @@ def _shared(ids, start, end, w_ids, w_start, w_end, first: bool) -> tuple[int, i
     return None
 
 
-class _Both:
-    """Words remembered, and those of one slice."""
-
-    def __init__(self, known: dict, more: dict):
-        self._known, self._more = known, more
-
-    def __getitem__(self, word: bytes) -> bytes:
-        found = self._more.get(word)
-        return self._known[word] if found is None else found
-
-
 def _byte_chars() -> dict[int, str]:
     """The printable character that byte-level BPE writes for each byte, by its rule."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]

@@ -16,12 +16,16 @@ smallest doc_id that links reach.  The join is exact.
    The tree is joined with itself by dual traversal: a pair of tree nodes is
    dropped when its size ranges are too far apart, or when the bits that both
    bitmaps have are too few for the overlap that any pair below would need.
-4. Surviving pairs are made distinct and verified on the whole texts.
+4. The number of blocks in which a pair survives bounds its overlap once more
+   (``possible``).  What is left is verified on the whole texts: first each set with
+   one candidate, then those pairs that are still in different components.
 5. In a block of over ``SMALL_BLOCK`` sets only pairs with a few leaders are tried
-   first.  Components of the links found so far then tell which large blocks still
-   hold sets of different components; only those are split into bounded chunks
-   and traversed, and node pairs that lie in one component are dropped.  A large
-   group of near copies thus costs a number of pairs that grows with its size.
+   first, then, for sets still apart from their block's leader, more leaders.
+   Components of the links found so far tell which large blocks still hold sets of
+   different components; only those are split into bounded chunks and traversed,
+   node pairs that lie in one component are dropped, and pairs of records are held
+   against bitmaps of WIDE bits.  A large group of near copies thus costs a number
+   of pairs that grows with its size.
 6. Components by alternating large-star and small-star rounds, each written to
    the shared folder.
 
@@ -61,6 +65,8 @@ RANKED = 200_000
 COMMON = 16
 #: Documents whose texts are broadcast-joined by id up to this many.
 MOST_BROADCAST = 300_000
+#: Pairs that share one copy of a text in a verification task.
+GROUP = 256
 _BITS = 40
 _FANOUT = 8
 _U = np.uint64
@@ -302,15 +308,66 @@ def blocks(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return done.filter("a is not null").select("a", "b"), done.filter("shingle is not null").select("shingle", "node", "meta")
 
 
-def leader_pairs(large: DataFrame) -> DataFrame:
-    """(a, b): every set of a large block with the block's leader, one of few that many blocks share."""
-    pick = F.struct(F.xxhash64("node", F.pmod("shingle", F.lit(8))).alias("h"), F.col("node").alias("leader"))
-    leaders = large.groupBy("shingle").agg(F.min(pick)["leader"].alias("leader"))
-    both = large.join(leaders, "shingle").filter("node <> leader")
-    return both.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+def leader_pairs(large: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b): every set of a large block with the block's leader, one of few that many blocks share.
+
+    With the components so far, only pairs that lie in two of them, and with more leaders.
+    """
+    seeds = 8 if roots is None else 64
+    rows = large.dropDuplicates(["shingle", "node"])
+    if roots is not None:
+        rows = rows.join(roots, "node", "left")
+    rows = rows.withColumn("comp", F.col("node") if roots is None else F.coalesce("root", "node")).select("shingle", "node", "comp")
+    pick = F.struct(F.xxhash64("node", F.pmod("shingle", F.lit(seeds))).alias("h"), F.col("node").alias("leader"), F.col("comp").alias("of"))
+    leaders = rows.groupBy("shingle").agg(F.min(pick).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    both = rows.join(leaders.select("shingle", "l.leader", "l.of"), "shingle").filter("comp <> of")
+    return both.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+WIDE = 4096
+
+
+def wide_bitmaps(nodes: DataFrame, representatives: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n, wide): the size and a bitmap of WIDE bits of each set."""
+    wanted = nodes.join(representatives, "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                maps: list[bytes] = [b""] * rows.num_rows
+                n = np.zeros(rows.num_rows, np.int64)
+                for r, values in _sets(rows):
+                    bits = np.zeros(WIDE, np.uint8)
+                    bits[(mix(values) >> _U(20)) % _U(WIDE)] = 1
+                    maps[r], n[r] = np.packbits(bits).tobytes(), len(values)
+                yield pa.RecordBatch.from_pydict({"node": rows.column("node"), "n": n, "wide": pa.array(maps, pa.binary())})
+
+    return texts_of(wanted.select("node", "rep"), docs).select("node", "text").mapInArrow(work, "node long, n long, wide binary")
+
+
+def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows(rep, ...) with the text of the document rep."""
+    wanted = rows.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
+    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(wanted), "rep", "left_semi")
+    return rows.join(texts, "rep")
+
+
+def _wide_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can overlap enough, by the bits that one set has and the other lacks."""
+    keep = np.zeros(len(x), bool)
+    for at in range(0, len(x), 20_000):
+        i, j = x[at : at + 20_000], y[at : at + 20_000]
+        both = wide[i] & wide[j]
+        only_i = np.bitwise_count(wide[i] ^ both).sum(1).astype(np.int64)
+        only_j = np.bitwise_count(wide[j] ^ both).sum(1).astype(np.int64)
+        most = np.minimum(n[i] - only_i, n[j] - only_j)
+        keep[at : at + 20_000] = (100 + percent) * most >= percent * (n[i] + n[j])
+    return keep
 
 
-def open_pairs(large: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+def open_pairs(large: DataFrame, roots: DataFrame, percent: int, representatives: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(a, b): pairs of different components in large blocks, by dual traversal of bounded chunks."""
     with_comp = large.dropDuplicates(["shingle", "node"]).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     spans = with_comp.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
@@ -341,48 +398,58 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int) -> DataFrame |
         keys(band, band - 1, lambda t: key(band - 1, t, band, mine, F.lit(1))),
     )
     spread = rest.select("shingle", "node", "meta", "comp", F.explode(every).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
+    maps = materialize(wide_bitmaps(rest.select("node").distinct(), representatives, docs), "wide")
+    spread = spread.join(maps, "node")
 
     def traverse(key, table):
         meta, node = table.column("meta").to_numpy(), table.column("node").to_numpy()
         x, y = forest_pairs(np.zeros(len(meta), np.int64), meta, percent, table.column("side").to_numpy().astype(np.int64), table.column("comp").to_numpy())
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(meta), -1)
+        keep = _wide_enough(x, y, table.column("n").to_numpy(), wide, percent)
+        x, y = x[keep], y[keep]
         return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
 
     return spread.groupBy("shingle", "b1", "t1", "b2", "t2").applyInArrow(traverse, "a long, b long")
 
 
 def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose whole texts qualify.  ``representatives``: node, rep (a doc_id)."""
-    pairs = pairs.distinct()
-    r = representatives
-    named = pairs.join(r.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(r.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
-    named = materialize(named, "pairs")
-    wanted = named.select(F.col("ra").alias("rep")).union(named.select(F.col("rb").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
-    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(wanted), "rep", "left_semi")
-    else:
-        texts = texts.join(wanted, "rep", "left_semi")
-    both = named.join(texts.select(F.col("rep").alias("ra"), F.col("text").alias("ta")), "ra")
-    both = both.join(texts.select(F.col("rep").alias("rb"), F.col("text").alias("tb")), "rb").select("a", "b", "ta", "tb")
+    """The (a, b) whose whole texts qualify.  ``representatives``: node, rep (a doc_id).
+
+    Pairs are grouped by a, at most about ``GROUP`` to a group, so a's text moves
+    once for a group and b's once for a pair.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("s"))
+    salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "s").cast("int").alias("salt"))
+    heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    rows = heads.unionByName(salted.withColumn("node", F.col("b"))).join(representatives, "node").select("a", "salt", "b", "rep")
+    rows = materialize(rows, "pairs")
+    with_text = texts_of(rows, docs).select("a", "salt", "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, against = None, None
         for batch in batches:
-            for rows in slices(batch, "tb"):
-                a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
-                keep = np.zeros(len(a), bool)
-                sets: dict[int, np.ndarray] = {}
-                for ids, column in ((a, "ta"), (b, "tb")):
-                    new, at = np.unique(ids, return_index=True)
-                    at = at[[int(k) not in sets for k in new]]
-                    part = pa.RecordBatch.from_pydict({"text": rows.column(column).take(pa.array(at))})
-                    sets.update({int(ids[at[r]]): values for r, values in _sets(part)})
-                for k in range(len(a)):
-                    u, v = sets[int(a[k])], sets[int(b[k])]
-                    common = _overlap(u, v)
-                    keep[k] = 100 * common >= percent * (len(u) + len(v) - common)
-                yield pa.RecordBatch.from_pydict({"a": a[keep], "b": b[keep]})
-
-    return both.mapInArrow(check, "a long, b long").distinct()
+            for part in slices(batch):
+                sets = dict(_sets(part))
+                found: list[tuple[int, int]] = []
+                for r, (a, salt, b) in enumerate(zip(*[part.column(k).to_pylist() for k in ("a", "salt", "b")])):
+                    if b is None:
+                        head, against = (a, salt), sets[r]
+                    elif head == (a, salt):
+                        common = _overlap(against, sets[r])
+                        if 100 * common >= percent * (len(against) + len(sets[r]) - common):
+                            found.append((a, b))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    ordered = with_text.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(check, "a long, b long").distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that lie in different components."""
+    for side in ("a", "b"):
+        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.filter("ra <> rb").select("a", "b")
 
 
 def _overlap(u: np.ndarray, v: np.ndarray) -> int:
@@ -411,19 +478,62 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(tied.distinct(), "stars")
 
 
+def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) -> DataFrame:
+    """The (a, b) of counts(a, b, c) whose overlap can be large enough.
+
+    Of the two prefixes' ends, take the one that comes first in the ranking: what
+    the sets share up to there lies in both prefixes, so it is among the ``c``
+    shingles known to be shared or among the ``more`` that were not counted; what
+    they share after it lies behind that prefix.
+    """
+    for side in ("a", "b"):
+        counts = counts.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("large").alias(f"l{side}")), side)
+    behind = lambda n: F.expr(f"({n} * {percent} + 99) div 100") - 1  # noqa: E731  n less the prefix
+    needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return counts.filter(near & (F.col("c") + more + F.greatest(behind("na"), behind("nb")) >= needed)).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets, common = shingle_sets(docs)
-    known = sets.filter("node is not null and doc_id is not null")
-    representatives = known.groupBy("node").agg(F.min("doc_id").alias("rep"))
     pairs, large = blocks(postings(docs.filter("doc_id is not null"), common, percent), percent)
-    links = materialize(verified(pairs.union(leader_pairs(large)), representatives, docs, percent), "links")
+    known = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    in_large = large.dropDuplicates(["shingle", "node"]).groupBy("node").agg(F.count("*").alias("large"))
+    nodes = materialize(known.join(in_large, "node", "left").fillna(0, ["large"]), "nodes")
+    counted = pairs.withColumn("c", F.lit(1)).union(leader_pairs(large).withColumn("c", F.lit(0)))
+    counted = materialize(counted.groupBy("a", "b").agg(F.sum("c").alias("c")), "counted")
+    candidates = materialize(possible(counted, nodes, percent, F.least("la", "lb")), "candidates")
+    representatives = nodes.select("node", "rep")
+    # first each set with the least of its candidates; most others are then in one component
+    star = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(verified(star, representatives, docs, percent), "links")
     roots = components(links)
-    rest = open_pairs(large, roots, percent)
-    if rest is not None:
+
+    def other_candidates() -> DataFrame:
+        return materialize(apart(candidates, roots).join(star, ["a", "b"], "left_anti"), "apart")
+
+    def more_leaders() -> DataFrame:
+        found = leader_pairs(large, roots).join(candidates, ["a", "b"], "left_anti")
+        sized = possible(found.withColumn("c", F.lit(1 << 40)), nodes, percent, F.lit(0))
+        return materialize(sized, "leaders")
+
+    def between_large_blocks() -> DataFrame | None:
+        found = open_pairs(large, roots, percent, representatives, docs)
+        if found is None:
+            return None
+        both = found.groupBy("a", "b").agg(F.count("*").alias("many"))
+        exact = both.join(counted, ["a", "b"], "left").select("a", "b", (F.col("many") + F.coalesce("c", F.lit(0))).alias("c"))
+        return materialize(possible(exact, nodes, percent, F.lit(0)).join(candidates, ["a", "b"], "left_anti"), "open-pairs")
+
+    for make in (other_candidates, more_leaders, between_large_blocks):
+        rest = make()
+        if rest is None or rest.isEmpty():
+            continue
         more = materialize(verified(rest, representatives, docs, percent), "links")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            links = links.union(more)
+            roots = components(links)
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = tied.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return tied.join(least, "comp", "left").select(
