@@ -145,10 +145,10 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in VOID:
             return
-        if tag in BLOCKS:
-            self._flush()
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k].tag == tag:
+                if tag in BLOCKS:
+                    self._flush()
                 while len(self._stack) > k:
                     self._pop()
                 return
