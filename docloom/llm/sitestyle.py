@@ -1,7 +1,7 @@
 """HTML extraction with site style trees.  [operator 4]
 
 Every page is read into styled elements; an element's style is its tag with its
-class and id (digits as one sign), its place the path of styles from the root.
+class and id (each run of two or more digits as one sign), its place the path of styles from the root.
 The pages of a host are merged on these paths.  For each path of the merged tree
 Spark counts how often each content (text of a block) and each presentation
 (sequence of child styles) occurs; the normalised entropy of those counts is the
@@ -10,7 +10,7 @@ children.  Where a host shows the same few contents again and again, as menus,
 adverts and footers do, importance is low, and those branches are removed from
 each of its pages.  Hosts with few pages tell little; roles that tags and class
 names state (nav, aside, "comments", ...) are removed on every page.  The branch
-that a page marks as its article or main part is kept: copies of one article lower
+that a page marks as its article or main part is kept, wherever it stands: copies of one article lower
 its entropy without making it a menu.
 
 Text: character references are decoded, white space in a block becomes one space,
@@ -70,16 +70,16 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _STYLE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\d{2,}")
 _PART = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "keep", "rooted", "plain", "children")
+    __slots__ = ("tag", "path", "keep", "low", "rooted", "plain", "children")
 
-    def __init__(self, tag: str, path: str, keep: bool, rooted: bool, plain: bool):
-        self.tag, self.path, self.keep, self.rooted, self.plain, self.children = tag, path, keep, rooted, plain, []
+    def __init__(self, tag: str, path: str, keep: bool, low: bool, rooted: bool, plain: bool):
+        self.tag, self.path, self.keep, self.low, self.rooted, self.plain, self.children = tag, path, keep, low, rooted, plain, []
 
 
 class Page:
@@ -90,7 +90,7 @@ class Page:
         self.elements: list[tuple[str, str]] = []
         self._low = low
         self._text: list[str] = []
-        self._stack = [Element("", "", True, False, True)]
+        self._stack = [Element("", "", True, False, False, True)]
         for m in _TOKEN.finditer(source):
             text = m["text"]
             if text is not None:
@@ -137,10 +137,12 @@ class Page:
         rooted = up.rooted or tag in ("article", "main")
         keep = up.keep and tag not in SKIPPED and not (tag == "header" and not up.rooted) and (tag in ("html", "body") or ROLES.isdisjoint(roles))
         plain = (up.plain if up.rooted else True) and tag in PLAIN and not marked
-        if keep and tag in BLOCKS and path in self._low and not (rooted and plain):
-            keep = False
+        # what stands around an article does not make it unimportant
+        low = up.low and rooted == up.rooted
+        if tag in BLOCKS and tag not in ("html", "body") and path in self._low and not (rooted and plain):
+            low = True
         up.children.append(style)
-        self._stack.append(Element(tag, path, keep, rooted, plain))
+        self._stack.append(Element(tag, path, keep, low, rooted, plain))
 
     def _close(self, tag: str) -> None:
         if tag in VOID:
@@ -168,7 +170,7 @@ class Page:
             if text:
                 holder = next((e for e in reversed(self._stack) if e.tag in BLOCKS), self._stack[0])
                 own = self._stack[-1]
-                self.blocks.append((holder.path, text, own.keep, own.rooted))
+                self.blocks.append((holder.path, text, own.keep and not own.low, own.rooted))
 
     def main_text(self) -> str:
         kept = [b for b in self.blocks if b[2]]
