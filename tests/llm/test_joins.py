@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import ngram_join, spotsigs
 
+from .conftest import sentence
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -143,7 +145,11 @@ def test_fingerprint_cases(spark, odd, empty):
 
 
 def test_near_documents(spark, odd):
-    docs = odd.filter("doc_id < 106")
+    # the odd rows are too short for near pairs: a long text, its copy, and two with one word changed
+    long = sentence(random.Random(3), "en", 300).split(" ")
+    texts = [" ".join(long), " ".join(long), *[" ".join([*long[:k], "changed", *long[k + 1 :]]) for k in (50, 200)]]
+    more = spark.createDataFrame([(200 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    docs = odd.filter("doc_id < 106").select("doc_id", "text").unionByName(more)
     got = {(r.a, r.b) for r in spotsigs.near_documents(docs).collect()}
     sets = {r.doc_id: frozenset(spots(r.text)) for r in docs.collect()}
     first = {}
