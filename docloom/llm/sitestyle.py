@@ -2,7 +2,8 @@
 
 Every page is read into styled elements; an element's style is its tag with its
 class and id (each run of two or more digits as one sign), its place the path of styles from the root.
-The pages of a host are merged on these paths.  For each path of the merged tree
+The pages of a host are merged on these paths, each different page once: pages
+with the same text outside fixed roles are copies.  For each path of the merged tree
 Spark counts how often each content (text of a block) and each presentation
 (sequence of child styles) occurs; the normalised entropy of those counts is the
 node's importance, and an inner node's composite importance also takes in its
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .wordarrays import slices
 
-#: Pages of a host before its tree may remove a branch.
+#: Different pages of a host that have a path before its tree may remove it.
 MIN_PAGES = 12
 #: Composite importance below which a branch is removed.
 MIN_IMPORTANCE = 0.5
@@ -179,22 +181,29 @@ class Page:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): how often each content or presentation occurs at a path of a host."""
+    """(host, path, kind, value, n, pages): how often each content (kind 0) or presentation (1) occurs
+    at a path of a host, over its different pages, and how many of those show it; kind 2 counts the pages that have the path."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "html"):
-                out: list[tuple[str, str, int, int]] = []
-                for host, source in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist()):
+                out: list[tuple[str, int, str, int, str, int]] = []
+                copy: list[str] = []
+                for row, (host, source) in enumerate(zip(rows.column("host").to_pylist(), rows.column("html").to_pylist())):
                     page = Page(source or "")
-                    out += [(host, path, 0, text) for path, text, _, _ in page.blocks]
-                    out += [(host, path, 1, children) for path, children in page.elements]
+                    copy.append(page.main_text())
+                    seen = Counter((path, 0, text) for path, text, _, _ in page.blocks)
+                    seen.update((path, 1, children) for path, children in page.elements)
+                    seen.update((path, 2, "") for path in {path for path, _, _ in seen})
+                    out += [(host, row, path, kind, value, n) for (path, kind, value), n in seen.items()]
                 if out:
-                    host, path, kind, value = zip(*out)
-                    yield pa.RecordBatch.from_pydict({"host": host, "path": path, "kind": pa.array(kind, pa.int32()), "value": _hashes(value)})
+                    host, row, path, kind, value, n = zip(*out)
+                    page_of = _hashes(tuple(copy))[list(row)]
+                    yield pa.RecordBatch.from_pydict({"host": host, "page": page_of, "path": path, "kind": pa.array(kind, pa.int32()), "value": _hashes(value), "n": pa.array(n, pa.int64())})
 
-    found = pages.mapInArrow(scan, "host string, path string, kind int, value long")
-    return found.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    found = pages.mapInArrow(scan, "host string, page long, path string, kind int, value long, n long")
+    once = found.groupBy("host", "page", "path", "kind", "value").agg(F.max("n").alias("n"))
+    return once.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
 def _hashes(values: tuple[str, ...]) -> np.ndarray:
@@ -205,13 +214,13 @@ def _hashes(values: tuple[str, ...]) -> np.ndarray:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, n, importance): composite importance of each node of each host's tree."""
+    """(host, path, n, importance): different pages that have a node, and composite importance, of each node of each host's tree."""
     # entropy of the shares n_i / N over log N; a value met once in every place gives 1
     per_path = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("n") > 1, 1 - F.col("s") / F.col("n") / F.log("n")).otherwise(1.0)
     nodes = per_path.select("host", "path", "kind", "n", entropy.alias("entropy"))
     wide = nodes.groupBy("host", "path").agg(
-        F.max("n").alias("n"),
+        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("n"),
         F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("content"),
         F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("presentation"),
     )

@@ -93,6 +93,17 @@ def test_one_article_copied_stays(spark):
     assert {r.text for r in out} == {"T\nThe same article"}
 
 
+def test_copied_pages_without_article_keep_their_text(spark):
+    """Copies of a page count once, and four pages with three blocks each are not twelve pages."""
+    five = "".join(f"<p>Paragraph {k} of the page" for k in range(5))
+    rows = [(k, "http://copies.example/", f"<body><div>{five}</div></body>") for k in range(30)]
+    rows += [(100 + k, "http://block.example/", "<body><div>One block</div></body>") for k in range(30)]
+    rows += [(200 + k, "http://four.example/", f"<body><div><p>Alpha<p>Beta<p>Gamma</div><h2>{k}</h2></body>") for k in range(4)]
+    out = {r.page_id: r.text for r in sitestyle.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == "\n".join(f"Paragraph {j} of the page" for j in range(5)) and out[100 + k] == "One block" for k in range(30))
+    assert all(out[200 + k] == f"Alpha\nBeta\nGamma\n{k}" for k in range(4))
+
+
 def test_page_cases(spark):
     rows = [(1, None, None, "z"), (2, "", "", "z"), (None, "x", "<p>a", None), (4, "http://a.b", "<p>" + "w " * 200_000, "z"), (5, "u", "<" * 1000, "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
