@@ -9,10 +9,15 @@ Spark counts how often each content (text of a block) and each presentation
 node's importance, and an inner node's composite importance also takes in its
 children.  Where a host shows the same few contents again and again, as menus,
 adverts and footers do, importance is low, and those branches are removed from
-each of its pages.  Hosts with few pages tell little; roles that tags and class
-names state (nav, aside, "comments", ...) are removed on every page.  The branch
-that a page marks as its article or main part is kept, wherever it stands: copies of one article lower
-its entropy without making it a menu.
+each of its pages; so is a single block whose content at its path is on SAME_PAGES
+of the host's different pages.  Both hold inside an article too.  Hosts with few
+pages tell little; roles that tags and class names state (nav, aside, "comments",
+...) are removed on every page.
+
+A page's mark of an article or main part is evidence.  What surrounds it does not
+make it unimportant.  Where more than half of it (in characters) repeats, it is
+a copy of an article and stays whole.  A block outside it is kept where the host's
+tree shows its path to be important.
 
 Text: character references are decoded, white space in a block becomes one space,
 blocks are trimmed and joined in page order by a line feed; empty blocks go.
@@ -33,7 +38,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,6 +53,8 @@ from .wordarrays import slices
 MIN_PAGES = 12
 #: Composite importance below which a branch is removed.
 MIN_IMPORTANCE = 0.5
+#: Share of the different pages that have a path on which a content there is no article's own.
+SAME_PAGES = 0.5
 #: Weight of what lies below in a node's composite importance.
 GAMMA = 0.9
 #: Hosts with branches to remove whose list is broadcast.
@@ -60,7 +67,6 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr address header details summary hgroup center".split()
 ) | SKIPPED
-PLAIN = set("article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption b i em strong u s a span code small sub sup q cite mark abbr time br img hgroup header".split())
 ROLES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar aside widget related recommended share sharing social "
     "comment comments disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search form pagination pager skip toolbar alert".split()
@@ -78,21 +84,21 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "keep", "low", "rooted", "plain", "children")
+    __slots__ = ("tag", "path", "keep", "low", "rooted", "children")
 
-    def __init__(self, tag: str, path: str, keep: bool, low: bool, rooted: bool, plain: bool):
-        self.tag, self.path, self.keep, self.low, self.rooted, self.plain, self.children = tag, path, keep, low, rooted, plain, []
+    def __init__(self, tag: str, path: str, keep: bool, low: bool, rooted: bool):
+        self.tag, self.path, self.keep, self.low, self.rooted, self.children = tag, path, keep, low, rooted, []
 
 
 class Page:
-    """Blocks (path, text, keep, rooted) of one page in order, and elements seen (path, children)."""
+    """Blocks (path, text, keep, rooted, low) of one page in order, and elements seen (path, children)."""
 
     def __init__(self, source: str, low: frozenset[str] | set[str] = frozenset()):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
         self.elements: list[tuple[str, str]] = []
         self._low = low
         self._text: list[str] = []
-        self._stack = [Element("", "", True, False, False, True)]
+        self._stack = [Element("", "", True, False, False)]
         for m in _TOKEN.finditer(source):
             text = m["text"]
             if text is not None:
@@ -128,23 +134,21 @@ class Page:
                 while len(self._stack) > 1 and self._stack[-1].tag != "html":
                     self._pop()
         up = self._stack[-1]
-        style, roles, marked = tag, (), False
+        style, roles = tag, ()
         if attributes:
             named = [(k.lower(), (a or b or c).lower()) for k, a, b, c in _STYLE.findall(attributes)]
             if named:
-                marked = True
                 style += "".join(("." if k == "class" else "#" if k == "id" else "@") + _DIGITS.sub("0", v) for k, v in named)
                 roles = [p for _, v in named for p in _PART.split(v)]
         path = f"{up.path}/{style}"
         rooted = up.rooted or tag in ("article", "main")
         keep = up.keep and tag not in SKIPPED and not (tag == "header" and not up.rooted) and (tag in ("html", "body") or ROLES.isdisjoint(roles))
-        plain = (up.plain if up.rooted else True) and tag in PLAIN and not marked
         # what stands around an article does not make it unimportant
         low = up.low and rooted == up.rooted
-        if tag in BLOCKS and tag not in ("html", "body") and path in self._low and not (rooted and plain):
+        if tag in BLOCKS and tag not in ("html", "body") and path in self._low:
             low = True
         up.children.append(style)
-        self._stack.append(Element(tag, path, keep, low, rooted, plain))
+        self._stack.append(Element(tag, path, keep, low, rooted))
 
     def _close(self, tag: str) -> None:
         if tag in VOID:
@@ -172,12 +176,17 @@ class Page:
             if text:
                 holder = next((e for e in reversed(self._stack) if e.tag in BLOCKS), self._stack[0])
                 own = self._stack[-1]
-                self.blocks.append((holder.path, text, own.keep and not own.low, own.rooted))
+                self.blocks.append((holder.path, text, own.keep, own.rooted, own.low))
 
-    def main_text(self) -> str:
-        kept = [b for b in self.blocks if b[2]]
-        rooted = [b for b in kept if b[3]]
-        return "\n".join(b[1] for b in rooted or kept)
+    def main_text(self, high: Collection[str] = (), repeated: Collection[tuple[str, int]] = (), at: Sequence[tuple[str, int]] = ()) -> str:
+        """The kept blocks.  ``high``: important paths outside an article; ``repeated``: contents at their
+        paths that many pages show, as (path, hash), where ``at`` has each block's."""
+        again = [b[4] or (k < len(at) and at[k] in repeated) for k, b in enumerate(self.blocks)]
+        rooted = [k for k, b in enumerate(self.blocks) if b[2] and b[3]]
+        if not rooted:
+            return "\n".join(b[1] for b, r in zip(self.blocks, again) if b[2] and not r)
+        copied = 2 * sum(len(self.blocks[k][1]) for k in rooted if again[k]) > sum(len(self.blocks[k][1]) for k in rooted)
+        return "\n".join(b[1] for b, r in zip(self.blocks, again) if b[2] and (copied or not r if b[3] else not r and b[0] in high))
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
@@ -192,7 +201,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 for row, (host, source) in enumerate(zip(rows.column("host").to_pylist(), rows.column("html").to_pylist())):
                     page = Page(source or "")
                     copy.append(page.main_text())
-                    seen = Counter((path, 0, text) for path, text, _, _ in page.blocks)
+                    seen = Counter((path, 0, text) for path, text, *_ in page.blocks)
                     seen.update((path, 1, children) for path, children in page.elements)
                     seen.update((path, 2, "") for path in {path for path, _, _ in seen})
                     out += [(host, row, path, kind, value, n) for (path, kind, value), n in seen.items()]
@@ -206,7 +215,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return once.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
-def _hashes(values: tuple[str, ...]) -> np.ndarray:
+def _hashes(values: Sequence[str]) -> np.ndarray:
     from .wordarrays import Words
 
     w = Words(pa.array(values, pa.large_string()))
@@ -252,8 +261,17 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_impor
     """page_id, url, text, n_chars of every page."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), "^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    weak = importance(style_counts(pages.select("host", "html"))).filter((F.col("importance") < min_importance) & (F.col("n") >= min_pages))
-    low = materialize(weak.groupBy("host").agg(F.collect_set("path").alias("low")), "low-importance")
+    counts = materialize(style_counts(pages.select("host", "html")), "style-counts")
+    tree = importance(counts).filter(F.col("n") >= min_pages)
+    weak = F.col("importance") < min_importance
+    inside = F.col("path").rlike("/(article|main)([.#@/]|$)")
+    paths = tree.groupBy("host").agg(F.collect_set(F.when(weak, F.col("path"))).alias("low"), F.collect_set(F.when(~weak & ~inside, F.col("path"))).alias("high"))
+    # contents on so large a share of a path's pages are few for each path, whatever the number of pages
+    having = counts.filter("kind = 2").select("host", "path", F.col("n").alias("of"))
+    shown = counts.filter((F.col("kind") == 0) & (F.col("pages") >= SAME_PAGES * min_pages)).join(having, ["host", "path"])
+    shown = shown.filter((F.col("of") >= min_pages) & (F.col("pages") >= SAME_PAGES * F.col("of")))
+    shown = shown.groupBy("host").agg(F.collect_set(F.struct("path", "value")).alias("repeated"))
+    low = materialize(paths.join(shown, "host", "left"), "low-importance")
     if low.limit(MOST_BROADCAST_HOSTS + 1).count() <= MOST_BROADCAST_HOSTS:
         joined = pages.join(F.broadcast(low), "host", "left")
     else:
@@ -263,15 +281,18 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_impor
         joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[str]] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[str], frozenset[tuple[str, int]]]] = {}
         for batch in batches:
             for rows in slices(batch, "html"):
-                texts = []
-                lows = rows.column("low")
+                pages, blocks = [], [0]
+                lows, highs, repeats = (rows.column(c) for c in ("low", "high", "repeated"))
                 for k, (name, source) in enumerate(zip(rows.column("host").to_pylist(), rows.column("html").to_pylist())):
-                    if name not in sets:
-                        sets[name] = frozenset(lows[k].as_py() or ())
-                    texts.append(Page(source or "", sets[name]).main_text())
+                    if name not in known:
+                        known[name] = frozenset(lows[k].as_py() or ()), frozenset(highs[k].as_py() or ()), frozenset((r["path"], r["value"]) for r in repeats[k].as_py() or ())
+                    pages.append((Page(source or "", known[name][0]), known[name]))
+                    blocks.append(blocks[-1] + len(pages[-1][0].blocks))
+                at = _hashes([b[1] for page, _ in pages for b in page.blocks]).tolist()
+                texts = [page.main_text(high, repeated, [(b[0], h) for b, h in zip(page.blocks, at[first : first + len(page.blocks)])]) for (page, (_, high, repeated)), first in zip(pages, blocks)]
                 yield pa.RecordBatch.from_pydict({"page_id": rows.column("page_id"), "url": rows.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return joined.select("page_id", "url", "html", "host", "low").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "low", "high", "repeated").mapInArrow(work, "page_id long, url string, text string, n_chars long")

@@ -104,6 +104,18 @@ def test_copied_pages_without_article_keep_their_text(spark):
     assert all(out[200 + k] == f"Alpha\nBeta\nGamma\n{k}" for k in range(4))
 
 
+def test_tree_decides_inside_and_outside_articles(spark):
+    """What different articles repeat goes, plain or not; what is a page's own stays beside the article; near copies of an article stay."""
+    own = "An article about thing {0} and a further {0} of them."
+    rows = [(k, "http://h.example/", f"<body><div>Slogan of the site</div><article><h1>Title {k}</h1><h2>Share this</h2><p>{own.format(k)}<p>Read more about us here</article><section>Own addition {k}</section></body>") for k in range(30)]
+    rows += [(100 + k, "http://near.example/", f"<body><article><h1>T</h1><p>The same article with many words in it<p>Copy {k}</article></body>") for k in range(30)]
+    rows += [(200 + k, "http://few.example/", f"<body><div>Top {k}</div><article><p>Few {k}<p>The same</article></body>") for k in range(3)]
+    out = {r.page_id: r.text for r in sitestyle.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"Title {k}\n{own.format(k)}\nOwn addition {k}" for k in range(30))
+    assert all(out[100 + k] == f"T\nThe same article with many words in it\nCopy {k}" for k in range(30))
+    assert all(out[200 + k] == f"Few {k}\nThe same" for k in range(3))
+
+
 def test_page_cases(spark):
     rows = [(1, None, None, "z"), (2, "", "", "z"), (None, "x", "<p>a", None), (4, "http://a.b", "<p>" + "w " * 200_000, "z"), (5, "u", "<" * 1000, "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
