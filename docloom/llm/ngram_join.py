@@ -295,8 +295,15 @@ def blocks(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             cut = len(columns[0]) - 1
             # the last block may go on in the next batch; what is known to be large need not wait
             last = int(np.searchsorted(columns[0], columns[0][-1]))
-            if len(columns[0]) - last > SMALL_BLOCK or columns[0][-1] == large:
+            if columns[0][-1] == large:
                 last = cut + 1
+            elif len(columns[0]) - last > SMALL_BLOCK:
+                # copies of a text come from many tasks: only different nodes make a block large
+                _, once = np.unique(columns[1][last:], return_index=True)
+                if len(once) > SMALL_BLOCK:
+                    last = cut + 1
+                else:
+                    columns = [np.concatenate([c[:last], c[last:][once]]) for c in columns]
             held = [c[last:] for c in columns]
             if last:
                 yield work(*[c[:last] for c in columns])

@@ -71,6 +71,24 @@ def test_component_cases(spark, odd, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_blocks_of_copies_go_on_over_batches(spark):
+    """Two texts with a copy in each of 30 tasks: their postings come in different Arrow batches."""
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join([*words[:-1], "changed"])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "30")
+    try:
+        meta = ngram_join.pack(np.arange(50, dtype=np.uint64))
+        posted = spark.createDataFrame([(7, 1 + k // 30, meta) for k in range(60)], "shingle long, node long, meta long").coalesce(1)
+        pairs, large = ngram_join.blocks(posted, 75)
+        assert {tuple(r) for r in pairs.collect()} == {(1, 2)} and large.count() == 0
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(k, a if k < 30 else b) for k in range(60)], 60), "doc_id long, text string")
+        assert {r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     for _ in range(30):
