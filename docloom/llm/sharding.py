@@ -8,8 +8,10 @@ that still have room for its bytes.  The law that the result keeps is
 
 What is placed one by one is bounded at any input size.  A group over
 1/(shards * GRAIN) of all bytes stands for itself, so there are at most
-shards * GRAIN of them; one that would outgrow a shard's share is split into
-pieces of whole documents.  All other groups are hashed whole into ``lots``.
+shards * GRAIN of them, and lies whole in one shard.  Only one that no shard has
+room for is split into pieces of whole documents: one over a shard's share into about
+PIECES for each share.  All other groups are hashed whole into ``lots``, which
+even out the rest.
 Only the vectors of those items, a few thousand rows, are placed on the driver;
 documents then find their shard by a broadcast of that bounded list.
 
@@ -31,18 +33,22 @@ from pyspark.sql import functions as F
 SHARDS = 40
 #: Fineness: items of at most 1/GRAIN of a shard's share of bytes.
 GRAIN = 48
-_SALTS = 512
+#: Pieces for each shard's share of a group that outgrows a share.
+PIECES = 4
+_SALTS = 4096
 _SUBS = 64
 
 
-def place(vectors: np.ndarray, shards: int) -> np.ndarray:
+def place(vectors: np.ndarray, shards: int, total: np.ndarray | None = None, must: bool = True) -> np.ndarray:
     """The shard of each row of (bytes, tokens, rows), by residual dot products.
 
     Every dimension is measured in shards' shares.  A shard has room while the
     item's bytes fit in what is left of its share; when none has, the one with
     most bytes left is taken.  Ties go to the lower shard.
+    ``total``: what the shards share, if it is more than these rows; without
+    ``must``, what fits nowhere is left out (-1).
     """
-    total = vectors.sum(axis=0)
+    total = vectors.sum(axis=0) if total is None else total
     share = np.where(total > 0, vectors / np.where(total > 0, total, 1), 0.0) * shards
     residual = np.ones((shards, share.shape[1]))
     out = np.empty(len(share), np.int64)
@@ -51,12 +57,31 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
         if fits.any():
             score = np.where(fits, residual @ share[i], -np.inf)
             out[i] = int(np.argmax(score))
-        else:
+        elif must:
             out[i] = int(np.argmax(residual[:, 0]))
+        else:
+            out[i] = -1
+            continue
         residual[out[i]] -= share[i]
     return out
 
 
+def pieces_of(groups: np.ndarray, shards: int, total: np.ndarray, limit: float) -> np.ndarray:
+    """Into how many pieces each of the large groups goes: 1 for all that a shard has room for."""
+    share = total[0] / shards
+    pieces = np.ones(len(groups), np.int64)
+    while True:
+        owner = np.repeat(np.arange(len(groups)), pieces)
+        at = place(groups[owner] / pieces[owner, None], shards, total, must=False)
+        homeless = np.unique(owner[at < 0])
+        homeless = homeless[pieces[homeless] == 1]
+        # a piece for each salt at most; two at least, so that this ends
+        size = groups[homeless, 0]
+        pieces[homeless] = np.clip(np.ceil(np.where(size > share, PIECES * size / share, size / limit)), 2, _SALTS)
+        if not len(homeless):
+            return pieces
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
@@ -70,14 +95,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -
         F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(_SALTS)).cast("int").alias("salt"),
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n")]
-    total = rows.agg(F.sum("size")).head()[0] or 0
-    limit = max(1, total // (shards * grain))
+    total = np.array([x or 0 for x in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).head()], float)
+    limit = max(1, int(total[0]) // (shards * grain))
     # A hot group is summed by (group, salt) first: no task holds all of it.
     parts = rows.withColumn("n", F.lit(1)).groupBy("g", "salt").agg(*sums)
-    large = parts.groupBy("g").agg(F.sum("size").alias("gsize")).filter(F.col("gsize") > limit)
-    large = large.select("g", F.least(F.lit(_SALTS), F.ceil(F.col("gsize") / limit)).cast("int").alias("pieces"))
+    large = parts.groupBy("g").agg(*sums).filter(F.col("size") > limit)
     # at most shards * grain rows, each of over 1/(shards * grain) of all bytes
-    large_rows = spark.createDataFrame(large.collect(), "g long, pieces int")
+    found = large.orderBy("g").collect()
+    pieces = pieces_of(np.array([[r["size"], r["tokens"], r["n"]] for r in found], float).reshape(-1, 3), shards, total, limit)
+    large_rows = spark.createDataFrame([(r["g"], int(k)) for r, k in zip(found, pieces)], "g long, pieces int")
     lots = shards * grain * 2
     item = F.when(F.col("pieces").isNull(), F.pmod("g", F.lit(lots))).otherwise(lots + F.pmod(F.xxhash64("g", F.pmod("salt", "pieces")), F.lit(2**62)))
 

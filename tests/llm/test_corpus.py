@@ -54,6 +54,20 @@ def test_sharding_balances(spark):
     assert max(n.values()) < 1.5 * min(n.values())
 
 
+def test_groups_under_a_share_lie_in_one_shard(spark):
+    """1,000 copies of a text (0.4 of a share), two of a long one; only a group over a share is split, into few pieces."""
+    rng = np.random.default_rng(4)
+    texts = ["a" * 984] * 1000 + ["b" * 60_000] * 2 + ["c" * 984] * 4000
+    texts += [f"{k} " + "w " * int(rng.lognormal(5, 1)) for k in range(40_000)]
+    share = sum(len(t) + 16 for t in texts) / 8
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    spread, largest = check_shards(out, 8)
+    assert len(out) == len(texts) and spread <= largest
+    shards = [{r.shard for r in out if texts[r.doc_id][0] == c and len(texts[r.doc_id]) > 900 and texts[r.doc_id][1] == c} for c in "abc"]
+    assert 1000 * 1000 < share < 4000 * 1000
+    assert len(shards[0]) == 1 and len(shards[1]) == 1 and 2 <= len(shards[2]) <= 4 * 4000 * 1000 / share + 1
+
+
 def test_sharding_cases(spark, odd, empty):
     out = sharding.shard_documents(odd, 4).collect()
     check_shards(out, 4)
