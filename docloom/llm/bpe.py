@@ -1,8 +1,10 @@
 """BPE encoding and decoding.  [operator 10]
 
 Short texts are encoded word by word: a tokenizer whose pieces never span white
-space gives a word the same ids wherever it stands, so each worker encodes a
-word once and looks it up from then on.
+space gives a word the same ids wherever it stands, so a worker encodes a word
+once and looks it up from then on, for all words of many texts at once.  Words
+are told apart by 64-bit hashes.  Whether a tokenizer is of that kind is tried
+out on sample words; with any other, texts are encoded whole.
 
 Long texts are encoded by tree concatenation.  Spark cuts a text over
 ``split_chars`` into equal segments that different tasks encode; a task does the
@@ -29,7 +31,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordarrays import slices, utf8
+from .wordarrays import Words, slices
 
 #: Texts over this many code points are cut up by Spark.
 SPLIT_CHARS = 1 << 16
 #: Words over this many code points are cut up inside a task.
 LEAF_CHARS = 2048
-#: Words that a worker remembers; further ones are encoded once for each slice of rows.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 1 << 20
 _WINDOW = 8
+# words by which it is seen whether a tokenizer splits at white space and lowers case
+_PROBES = ["a", "The", "it's", "'Ve", "x1Y2", "ÀÉî", "...", "#A-b", "1", "\"Ab,", "漢字", "I'LL", "E\u0301"]
+# fixed values: the pattern by which the tokenizer splits, with its classes spelled out for Latin-1
+_PIECES = re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(0x21, 0x7F), 0xC2, 0xC3, *range(0x80, 0xC0)]] = True
+_LOWER_CASE = {c: c + 32 for c in range(65, 91)}
 
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte, by its rule."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden) if b != 32}
+
+
+_BYTE_CHARS = _byte_chars()
 _coders: dict[str, "Coder"] = {}
 
 
@@ -68,6 +85,74 @@ class Encoded:
     end: np.ndarray = field(repr=False)
 
 
+class WordTable:
+    """The ids of up to ``most`` words by the words' 64-bit hashes: an open-addressing table in numpy arrays.
+
+    When it is full, words that were not asked for again since the last time make room.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self._mask = (1 << (2 * most - 1).bit_length()) - 1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self._mask + 1, np.uint64)
+        self._entry = np.zeros(self._mask + 1, np.int32)
+        self._hash = np.zeros(self.most, np.uint64)
+        self._used = np.zeros(self.most, bool)
+        self.first = np.zeros(self.most + 1, np.int64)
+        self.ids = np.zeros(1 << 12, np.int32)
+        self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        todo, at = np.arange(len(h)), (h & np.uint64(self._mask)).astype(np.int64)
+        while len(todo):
+            there = self.keys[at]
+            hit = there == h
+            out[todo[hit]] = self._entry[at[hit]]
+            on = ~hit & (there != 0)
+            todo, h, at = todo[on], h[on], (at[on] + 1) & self._mask
+        self._used[out[out >= 0]] = True
+        return out
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New words: different hashes that the table lacks, the number of ids of each, and all ids in turn."""
+        n, m = self.n, len(h)
+        self._hash[n : n + m] = h
+        self.first[n + 1 : n + m + 1] = self.first[n] + np.cumsum(counts)
+        end = int(self.first[n + m])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(end, np.int32)])
+        self.ids[end - len(ids) : end] = ids
+        todo, at = np.arange(m), (h & np.uint64(self._mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] == 0)
+            place, which = np.unique(at[free], return_index=True)  # one word to a place
+            won = free[which]
+            self.keys[place], self._entry[place] = h[todo[won]], n + todo[won]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, at = todo[left], (at[left] + 1) & self._mask
+        self.n = n + m
+
+    def make_room(self, m: int) -> None:
+        if self.n + m > self.most:
+            keep = np.flatnonzero(self._used[: self.n])[: max(0, self.most // 2 - m)]
+            h, counts, ids = self._hash[keep], np.diff(self.first)[keep], self.take(keep)
+            self._clear()
+            self.add(h, counts, ids)
+
+    def take(self, entries: np.ndarray) -> np.ndarray:
+        """The ids of the entries, in turn."""
+        start = self.first[entries]
+        counts = self.first[entries + 1] - start
+        at = np.repeat(start - np.cumsum(counts) + counts, counts)
+        return self.ids[at + np.arange(len(at))]
+
+
 class Coder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -75,80 +160,104 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self._arrow_strings = pa.array(self.strings)
-        self.vocabulary_size = size
-        # The model alone, shared, for pieces that are already normalised and split.
+        self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._arrow_strings = pa.array([self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary_size)])
+        self._splits = all(self._one(a + s + b) == self._one(a) + self._one(b) for a in _PROBES for b in _PROBES for s in (" ", "\n", "\t \r\x0b\x0c"))
+        self._lowers = all(self._one(p) == self._one(p.translate(_LOWER_CASE)) for p in _PROBES)
+        self._special = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        # The model alone, for pieces that are already normalised and split.
         self._bare = Tokenizer(self.tokenizer.model)
         self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        self._ends = np.array([bool(suffix) and s.endswith(suffix) for s in self.strings])
-        self._plain = self._plain_pieces() if suffix else None
-        self._words: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def _plain_pieces(self):
-        """The pattern for words of Latin-1 letters, if this tokenizer splits them as it does."""
-        # fixed values: the tokenizer's split pattern, with its classes spelled out for Latin-1
-        pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-        letters = "".join(chr(c) for c in range(33, 256) if chr(c) not in "\x7f\x85\xa0" and not 0x7F <= c <= 0xA0)
-        sample = " ".join([letters, "It's we'll x1y2²z don't?! ÀÉÎõü--Ab'RE", *[f"a{c}b" for c in letters]])
-        for word in sample.split(" "):
-            if b"".join(self._encode_pieces(pattern.findall(word.lower()))) != self._encode_one(word):
-                return None
-        return pattern
-
-    _plain_word = re.compile(rb"(?:[!-~]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf]){1,256}")
-
-    def _encode_one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces without white space, split and in lower case already."""
-        joined = " ".join(pieces).encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = np.array(self._bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids if joined else [], "<i4")
-        cuts = np.flatnonzero(self._ends[ids]) + 1
-        return [x.tobytes() for x in np.split(ids, cuts)[: len(pieces)]]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that were not met before, as little-endian 32-bit integers."""
-        out: dict[bytes, bytes] = {}
-        split: dict[bytes, list[str]] = {}
-        if self._plain is not None:
-            for w in words:
-                if self._plain_word.fullmatch(w) and b"<|" not in w:
-                    split[w] = self._plain.findall(w.decode().lower())
-            known = self._pieces
-            new = list({p for pieces in split.values() for p in pieces if p not in known})
-            fresh = dict(zip(new, self._encode_pieces(new))) if new else {}
-            if len(known) < REMEMBERED:
-                known.update(fresh)
-                fresh = known
-            for w, pieces in split.items():
-                out[w] = b"".join([fresh[p] if p in fresh else known[p] for p in pieces])
-        for w in words - split.keys():
-            text = w.decode("utf-8", "replace")
-            out[w] = self._encode_one(text) if len(text) <= LEAF_CHARS else self.encode_tree(text).ids.astype("<i4").tobytes()
-        if len(self._words) < REMEMBERED:
-            self._words.update(out)
-        return out
+        mark = self._bare.encode(_BYTE_CHARS[0], add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else -1
+        letters = "".join(map(chr, [*range(33, 127), *range(161, 256)]))
+        sample = [letters, "It's", "we'll", "x1y2²z", "don't?!", "ÀÉÎõü--Ab'RE", *[f"a{c}b" for c in letters]]
+        self._pieced = self._splits and self._mark >= 0 and self._by_pieces(sample)[1].tolist() == self._one(" ".join(sample))
+        self._table = WordTable(REMEMBERED)
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _odd(self, words: Words) -> np.ndarray:
+        """Which words are not of printable ASCII and Latin-1 alone, or may hold a special token."""
+        raw = words.raw
+        odd = ~_PLAIN[raw]
+        odd[:-1] |= (raw[:-1] == 0xC2) & (raw[1:] <= 0xA0)
+        for start in self._special:
+            at = raw == start[0]
+            if len(start) > 1:
+                at[:-1] &= raw[1:] == start[1]
+            odd |= at
+        odd = np.concatenate(([0], np.cumsum(odd)))
+        return odd[words.end] > odd[words.start]
+
+    def _lower(self, words: Words, odd: np.ndarray) -> None:
+        """A-Z in lower case in all but the odd words, so that both forms are one word."""
+        low = words.raw + (np.uint8(32) * ((words.raw >= 65) & (words.raw <= 90)))
+        odd = np.flatnonzero(odd)
+        n = words.end[odd] - words.start[odd]
+        at = np.repeat(words.start[odd] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        low[at] = words.raw[at]
+        words.raw = low
+
+    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each, all ids in turn) of plain words: split by a pattern, and each piece encoded by the model."""
+        pieces = _PIECES.sub(r"\g<0> ", "\0".join(texts).lower())
+        shown = pieces.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = np.array(self._bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.int32)
+        marks = np.flatnonzero(ids == self._mark)
+        counts = np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+        return counts, np.delete(ids, marks)
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        owner = np.searchsorted(begins, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        return np.bincount(owner, minlength=len(texts)), np.array(e.ids, np.int32)
+
+    def _by_tree(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.encode_tree(t).ids.astype(np.int32) for t in texts]
+        return np.array([len(p) for p in parts]), np.concatenate(parts)
+
+    def _learn(self, words: Words, odd: np.ndarray, which: np.ndarray, h: np.ndarray) -> None:
+        """Enter words into the table: plain ones by pieces, odd ones by one call of the library, very long ones by tree."""
+        long = words.end[which] - words.start[which] > LEAF_CHARS
+        plain = ~long & ~odd[which] if self._pieced else np.zeros(len(which), bool)
+        whole = words.raw.tobytes()
+        for mine, encode in ((plain, self._by_pieces), (~long & ~plain, self._by_library), (long, self._by_tree)):
+            if mine.any():
+                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(words.start[which[mine]].tolist(), words.end[which[mine]].tolist())]
+                self._table.add(h[mine], *encode(texts))
 
     def encode_column(self, column: pa.Array) -> pa.ListArray:
         """The ids of each text; a null reads as an empty text."""
-        data, offsets = utf8(column)
-        whole = data.tobytes()
-        split = [whole[a:b].split() for a, b in zip(offsets[:-1], offsets[1:])]
-        known = self._words
-        different = set(chain.from_iterable(split))
-        new = different - known.keys()
-        if new:
-            learned = self._learn(new)
-            if not new <= known.keys():
-                known = dict(zip(different, map(known.get, different))) | learned
-        parts = [b"".join(map(known.__getitem__, words)) for words in split]
-        bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        if not self._splits:
+            parts = [self.encode_tree(t or "").ids.astype(np.int32) for t in column.to_pylist()]
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+        words = Words(column)
+        odd = self._odd(words)
+        if self._lowers:
+            self._lower(words, odd)
+        h = np.maximum(words.hashes(), np.uint64(1))
+        table, step = self._table, max(1, self._table.most // 4)
+        counts, parts = np.zeros(len(h), np.int64), [np.zeros(0, np.int32)]
+        for at in range(0, len(h), step):  # so few that what is new always finds room
+            some = h[at : at + step]
+            entries = table.find(some)
+            for room in (True, False):  # making room may remove words of this range: they are entered again
+                unknown = np.flatnonzero(entries < 0)
+                if not len(unknown):
+                    break
+                new, first = np.unique(some[unknown], return_index=True)
+                if room:
+                    table.make_room(len(new))
+                self._learn(words, odd, at + unknown[first], new)
+                entries = table.find(some)
+            counts[at : at + step] = table.first[entries + 1] - table.first[entries]
+            parts.append(table.take(entries))
+        bounds = np.concatenate(([0], np.cumsum(counts)))[words.first].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))
 
     def decode_column(self, ids: pa.ListArray) -> pa.Array:
         """The text of each id list: token strings joined by one space, as a tokenizer without a decoder gives."""
@@ -211,16 +320,6 @@ def _shared(ids, start, end, w_ids, w_start, w_end, first: bool) -> tuple[int, i
     return None
 
 
-def _byte_chars() -> dict[int, str]:
-    """The printable character that byte-level BPE writes for each byte, by its rule."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden) if b != 32}
-
-
-_BYTE_CHARS = _byte_chars()
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = True, split_chars: int = SPLIT_CHARS) -> DataFrame:
     """The input with ``ids array<int>`` and, if asked for, ``decoded string``."""
     added = ["ids", *(["decoded"] if decoded else [])]

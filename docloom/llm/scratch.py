@@ -61,5 +61,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input for each partition of a result that is written by partition.
+PARTITION_BYTES = 256 << 20
+
+
+def n_partitions(df: DataFrame) -> int:
+    """Partitions for the rows of ``df``: the session's number, or more where its input is large."""
+    # the size that the optimizer takes the input to have, from its files
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 20))

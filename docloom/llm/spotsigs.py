@@ -115,8 +115,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     Parts are ranges of doc_id between approximate quantiles, so only the few
     hundred heads of parts are looked up apart and the texts move once.
     """
-    spark = docs.sparkSession
-    n = 4 * n_partitions(spark)
+    n = 4 * n_partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-_LAST - 1)).alias("o"))
     cuts = sorted(set(rows.agg(F.percentile_approx("o", [k / n for k in range(1, n)], 100_000)).head()[0] or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o"))) if cuts else F.lit(0)
@@ -130,7 +129,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         guests = rows.filter(F.col("o").isin(list(host))).withColumn("part", to[F.col("o")]).withColumn("guest", F.lit(1))
         own = own.unionByName(guests)
     own = own.withColumn("h", F.xxhash64("text"))
-    return own.repartition(n_partitions(spark), "part").sortWithinPartitions("part", "guest", "o", "h").select("part", "guest", "doc_id", "text")
+    return own.repartition(n // 4, "part").sortWithinPartitions("part", "guest", "o", "h").select("part", "guest", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "item_bytes": pa.array([kind.itemsize], pa.int32())})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    ranged = keyed.repartitionByRange(n_partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ranged = keyed.repartitionByRange(n_partitions(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     parts = materialize(ranged.mapInArrow(write, "part int, n_docs long, n_tokens long, item_bytes int"), "manifest")
     # one row for each partition
     base = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")
@@ -115,5 +115,5 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 for local in keep:
                     local.close()
 
-    spread = manifest.repartition(n_partitions(manifest.sparkSession), "part")
+    spread = manifest.repartition(max(1, manifest.count()), "part")  # a file to a task, about
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
