@@ -9,23 +9,25 @@ smallest doc_id that links reach.  The join is exact.
    sets share; their sum over tasks ranks common shingles.
 2. ``postings``      A second pass emits, for each different set, its prefix: the
    n - ceil(p n) + 1 shingles that come first when common ones are put last.  Two
-   sets that qualify share a shingle of their prefixes, under any ranking.
+   sets that qualify share a shingle of their prefixes, under any ranking.  A
+   shingle that very many sets share is dealt out under several salts.
 3. ``blocks``        A block is the sets that have a prefix shingle in common.  Over
-   each block stands a signature tree.  Its records are (size, bitmap of shingles);
-   a tree node holds the OR of the bitmaps below it and the range of their sizes.
-   The tree is joined with itself by dual traversal: a pair of tree nodes is
-   dropped when its size ranges are too far apart, or when the bits that both
-   bitmaps have are too few for the overlap that any pair below would need.
+   each block of up to ``SMALL_BLOCK`` sets stands a signature tree.  Its records
+   are (size, bitmap of shingles); a tree node holds the OR of the bitmaps below it
+   and the range of their sizes.  The tree is joined with itself by dual traversal:
+   a pair of tree nodes is dropped when its size ranges are too far apart, or when
+   the bits that both bitmaps have are too few for the overlap that any pair below
+   would need.  Of a larger block each set is paired with the block's leader first.
 4. The number of blocks in which a pair survives bounds its overlap once more
-   (``possible``).  What is left is verified on the whole texts: first each set with
-   one candidate, then those pairs that are still in different components.
-5. In a block of over ``SMALL_BLOCK`` sets only pairs with a few leaders are tried
-   first, then, for sets still apart from their block's leader, more leaders.
-   Components of the links found so far tell which large blocks still hold sets of
-   different components; only those are split into bounded chunks and traversed,
-   node pairs that lie in one component are dropped, and pairs of records are held
-   against bitmaps of WIDE bits.  A large group of near copies thus costs a number
-   of pairs that grows with its size.
+   (``possible``).  The texts of all sets that are left in a pair or a large block
+   are written once (``contested``); pairs are verified on them: first each set
+   with one candidate, then those pairs that are still in different components,
+   with more leaders for large blocks that hold several components.
+5. Large blocks that then still hold sets of different components are split into
+   bounded chunks and traversed as in 3: chunks of the block's main component only
+   against those of others, node pairs that lie in one component are dropped, and
+   pairs of records are held against bitmaps of WIDE bits.  A large group of near
+   copies thus costs a number of pairs that grows with its size.
 6. Components by alternating large-star and small-star rounds, each written to
    the shared folder.
 
@@ -46,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -63,10 +65,19 @@ CHUNK = 2048
 RANKED = 200_000
 #: A shingle is ranked if tasks that saw it twice or more saw it this often.
 COMMON = 16
+#: Sets in a part of a block whose shingle is dealt out under several salts.
+SPLIT = 1024
 #: Documents whose texts are broadcast-joined by id up to this many.
 MOST_BROADCAST = 300_000
 #: Pairs that share one copy of a text in a verification task.
 GROUP = 256
+#: Keys of sets that a task remembers, so as not to emit copies again.
+REMEMBERED = 200_000
+#: A dealt-out shingle is posted as -1 less its rank and, in the lowest bits, a salt; none is under -_DEALT.
+_SALT_BITS = 16
+_DEALT = 1 << 35
+#: Leaders that the blocks of one group share, in the first and in the second round.
+_SEEDS, _MORE_SEEDS = 8, 64
 _BITS = 40
 _FANOUT = 8
 _U = np.uint64
@@ -109,11 +120,11 @@ def shingle_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 n, keys = np.zeros(rows.num_rows, np.int64), [b""] * rows.num_rows
                 for r, values in _sets(rows):
                     n[r], keys[r] = len(values), _key(values)
-                    if keys[r] not in met and len(met) < 1_000_000:
+                    if keys[r] not in met and len(met) < REMEMBERED:
                         met.add(keys[r])
                         tokens.append(values)
                         held += len(values)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     fold()
                     held = 0
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n": n, "key": pa.array(keys, pa.binary()), "shingle": pa.nulls(rows.num_rows, pa.int64())})
@@ -134,15 +145,16 @@ def _prefix_length(n: int, percent: int) -> int:
 
 def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     """(shingle, node, meta): the prefix of each different set; meta packs size and bitmap."""
-    ranking = common.orderBy(F.desc("seen"), "shingle").limit(RANKED).collect()
-    ranked = np.array([r["shingle"] for r in ranking], np.int64).view(np.uint64)
-    seen = np.array([r["seen"] for r in ranking], np.int64)
+    ranking = common.orderBy(F.desc("seen"), "shingle").limit(RANKED).toArrow()
+    ranked = ranking.column("shingle").to_numpy().view(np.uint64)
+    seen = ranking.column("seen").to_numpy().astype(np.int64)
+    salts = np.clip(-(-seen // SPLIT), 1, 1 << _SALT_BITS)
     order = np.argsort(ranked)
-    ranked, seen = ranked[order], seen[order]
-    shared = docs.sparkSession.sparkContext.broadcast((ranked, seen))  # RANKED entries at most
+    table = ranked[order], seen[order], order, salts[order]
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # RANKED entries at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, seen = shared.value
+        ranked, seen, rank, salts = shared.value
         met: set[bytes] = set()
         for batch in batches:
             for rows in slices(batch):
@@ -151,22 +163,21 @@ def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
                     key = _key(values)
                     if key in met:
                         continue
-                    if len(met) < 1_000_000:
+                    if len(met) < REMEMBERED:
                         met.add(key)
+                    node = int.from_bytes(key[:8], "big") >> 4
                     length = _prefix_length(len(values), percent)
                     if len(ranked):
                         at = np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)
                         common_at = ranked[at] == values
-                        rare = values[~common_at]
-                        if len(rare) < length:
-                            often, times = values[common_at], seen[at[common_at]]
-                            rest = often[np.lexsort((often, times))]
-                            prefix = np.concatenate([rare, rest])[:length]
-                        else:
-                            prefix = rare[:length]
+                        prefix = values[~common_at][:length]
+                        if len(prefix) < length:
+                            often = at[common_at]
+                            often = often[np.lexsort((values[common_at], seen[often]))][: length - len(prefix)]
+                            prefix = np.concatenate([prefix, _dealt(ranked, rank, salts, often, node)])
                     else:
                         prefix = values[:length]
-                    out.append((prefix, int.from_bytes(key[:8], "big") >> 4, pack(values)))
+                    out.append((prefix, node, pack(values)))
                 if out:
                     n = [len(p) for p, _, _ in out]
                     yield pa.RecordBatch.from_pydict({
@@ -178,6 +189,30 @@ def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "shingle long, node long, meta long")
 
 
+def _dealt(ranked: np.ndarray, rank: np.ndarray, salts: np.ndarray, at: np.ndarray, node: int) -> np.ndarray:
+    """The shingles at these places of the ranking; those with several salts as rank and salt."""
+    out = ranked[at].copy()
+    many = np.flatnonzero(salts[at] > 1)
+    if len(many):
+        r = rank[at[many]].astype(np.uint64)
+        # one salt for all shingles that share leaders
+        salt = mix(np.uint64(node) + (r % _U(_SEEDS)) * _U(0x9E3779B97F4A7C15)) % salts[at[many]].astype(np.uint64)
+        out[many] = ~((r << _U(_SALT_BITS)) | salt)
+    return out
+
+
+def _block(shingle: Column) -> Column:
+    """The shingle without its salt."""
+    dealt = (shingle < 0) & (shingle >= -_DEALT)
+    return F.when(dealt, F.shiftright(-1 - shingle, _SALT_BITS)).otherwise(shingle)
+
+
+def _by_leader(rows: DataFrame, seeds: int) -> DataFrame:
+    """Blocks together, copies side by side, and first in each block its leader, which many blocks share."""
+    order = F.xxhash64("node", F.pmod(_block(F.col("shingle")), F.lit(seeds)))
+    return rows.repartition("shingle").sortWithinPartitions("shingle", order)
+
+
 _MOST = (1 << 23) - 1
 
 
@@ -254,89 +289,96 @@ class _Level:
         return cx[keep], cy[keep]
 
 
-_PAIR = "a long, b long, shingle long, node long, meta long"
+_PAIR = "a long, b long, c long, shingle long, node long, meta long"
 
 
 def blocks(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs of small blocks, and the postings of large ones."""
+    """(a, b, c): pairs of small blocks (c = 1) and of large blocks' sets with their leaders (c = 0); and the postings of large ones."""
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        large = None  # the block that has been found to be large and may go on
-
-        def rows(pairs: tuple[np.ndarray, np.ndarray], big: list[np.ndarray]) -> pa.RecordBatch:
-            k, m = len(pairs[0]), len(big[0])
-            null = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(p), null]) for p in pairs] + [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(v)]) for v in big],
-                ["a", "b", "shingle", "node", "meta"],
-            )
+        held = [np.zeros(0, np.int64)] * 3  # the last block as far as it came, while it is small
+        goes_on, leader = None, 0  # the large block that goes on
+        last = (None, None)
 
         def work(s: np.ndarray, v: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            nonlocal large
-            order = np.lexsort((v, s))
-            s, v, m = s[order], v[order], m[order]
-            once = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))
-            s, v, m = s[once], v[once], m[once]
+            nonlocal goes_on, leader
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             size = np.diff(np.append(starts, len(s)))
+            first = np.repeat(v[starts], size)
             size = np.repeat(size, size)
-            big = (size > SMALL_BLOCK) | (s == large if large is not None else False)
-            if big.any() and big[-1]:
-                large = int(s[-1])
+            big = (size > SMALL_BLOCK) | ((s < 0) & (s >= -_DEALT))
+            if goes_on is not None:
+                on = s == goes_on
+                big |= on
+                first[on] = leader
+            goes_on, leader = (int(s[-1]), int(first[-1])) if big[-1] else (None, 0)
             small = (size > 1) & ~big
             s2, v2, m2 = s[small], v[small], m[small]
             group = np.cumsum(np.concatenate(([0], s2[1:] != s2[:-1]))) if len(s2) else s2
             x, y = forest_pairs(group, m2, percent) if len(s2) else (s2, s2)
-            return rows((np.minimum(v2[x], v2[y]), np.maximum(v2[x], v2[y])), [s[big], v[big], m[big]])
+            led = np.unique(np.stack([first[big], v[big]], 1), axis=0) if big.any() else np.zeros((0, 2), np.int64)
+            led = led[led[:, 0] != led[:, 1]]
+            a, b = np.concatenate([v2[x], led[:, 0]]), np.concatenate([v2[y], led[:, 1]])
+            k, n = len(a), int(big.sum())
+            pair, row = pa.nulls(k, pa.int64()), pa.nulls(n, pa.int64())
+            columns = [np.minimum(a, b), np.maximum(a, b), (np.arange(k) < len(x)).astype(np.int64)]
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(c), row]) for c in columns] + [pa.concat_arrays([pair, pa.array(c[big])]) for c in (s, v, m)],
+                ["a", "b", "c", "shingle", "node", "meta"],
+            )
 
         for batch in batches:
-            columns = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            cut = len(columns[0]) - 1
-            # the last block may go on in the next batch; what is known to be large need not wait
-            last = int(np.searchsorted(columns[0], columns[0][-1]))
-            if columns[0][-1] == large:
-                last = cut + 1
-            elif len(columns[0]) - last > SMALL_BLOCK:
-                # copies of a text come from many tasks: only different nodes make a block large
-                _, once = np.unique(columns[1][last:], return_index=True)
-                if len(once) > SMALL_BLOCK:
-                    last = cut + 1
-                else:
-                    columns = [np.concatenate([c[:last], c[last:][once]]) for c in columns]
-            held = [c[last:] for c in columns]
-            if last:
-                yield work(*[c[:last] for c in columns])
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            # copies of a set come from many tasks and stand side by side
+            same = np.concatenate(([(columns[0][0], columns[1][0]) == last], (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])))
+            last = (columns[0][-1], columns[1][-1])
+            columns = [np.concatenate([h, c[~same]]) for h, c in zip(held, columns)]
+            cut = len(columns[0])
+            if not cut:
+                continue
+            begin = int(np.searchsorted(columns[0], columns[0][-1]))
+            if columns[0][-1] != goes_on and cut - begin <= SMALL_BLOCK:
+                cut = begin
+            held = [c[cut:] for c in columns]
+            if cut:
+                yield work(*[c[:cut] for c in columns])
         if len(held[0]):
             yield work(*held)
 
-    done = posted.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(traverse, _PAIR)
-    done = materialize(done, "blocks")
-    return done.filter("a is not null").select("a", "b"), done.filter("shingle is not null").select("shingle", "node", "meta")
+    done = materialize(_by_leader(posted, _SEEDS).mapInArrow(traverse, _PAIR), "blocks")
+    return done.filter("a is not null").select("a", "b", "c"), done.filter("shingle is not null").select("shingle", "node", "meta")
 
 
-def leader_pairs(large: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b): every set of a large block with the block's leader, one of few that many blocks share.
+def more_leaders(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): sets of a large block with one of more leaders, where the two lie in different components."""
+    rows = large.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("comp"))
 
-    With the components so far, only pairs that lie in two of them, and with more leaders.
-    """
-    seeds = 8 if roots is None else 64
-    rows = large.dropDuplicates(["shingle", "node"])
-    if roots is not None:
-        rows = rows.join(roots, "node", "left")
-    rows = rows.withColumn("comp", F.col("node") if roots is None else F.coalesce("root", "node")).select("shingle", "node", "comp")
-    pick = F.struct(F.xxhash64("node", F.pmod("shingle", F.lit(seeds))).alias("h"), F.col("node").alias("leader"), F.col("comp").alias("of"))
-    leaders = rows.groupBy("shingle").agg(F.min(pick).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    both = rows.join(leaders.select("shingle", "l.leader", "l.of"), "shingle").filter("comp <> of")
-    return both.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, leader, of = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, v, c = (x.to_numpy() for x in batch.columns)
+            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            size = np.diff(np.append(starts, len(s)))
+            first, comp = np.repeat(v[starts], size), np.repeat(c[starts], size)
+            if s[0] == block:
+                first[: size[0]], comp[: size[0]] = leader, of
+            block, leader, of = s[-1], first[-1], comp[-1]
+            first, v = first[comp != c], v[comp != c]
+            both = np.unique(np.stack([np.minimum(first, v), np.maximum(first, v)], 1), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+
+    return _by_leader(rows, _MORE_SEEDS).mapInArrow(pair, "a long, b long").distinct()
 
 
 WIDE = 4096
 
 
-def wide_bitmaps(nodes: DataFrame, representatives: DataFrame, docs: DataFrame) -> DataFrame:
+def wide_bitmaps(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, n, wide): the size and a bitmap of WIDE bits of each set."""
-    wanted = nodes.join(representatives, "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,16 +391,35 @@ def wide_bitmaps(nodes: DataFrame, representatives: DataFrame, docs: DataFrame)
                     maps[r], n[r] = np.packbits(bits).tobytes(), len(values)
                 yield pa.RecordBatch.from_pydict({"node": rows.column("node"), "n": n, "wide": pa.array(maps, pa.binary())})
 
-    return texts_of(wanted.select("node", "rep"), docs).select("node", "text").mapInArrow(work, "node long, n long, wide binary")
+    return _of_few(texts, nodes).select("node", "text").mapInArrow(work, "node long, n long, wide binary")
+
+
+def _of_few(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of ``nodes(node)``."""
+    if nodes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        nodes = F.broadcast(nodes)
+    return texts.join(nodes, "node", "left_semi")
 
 
-def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows(rep, ...) with the text of the document rep."""
-    wanted = rows.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
+def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, each with the text of its representative: the one pass that moves texts."""
+    reps = wanted.join(nodes.select("node", "rep"), "node")
     if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(wanted), "rep", "left_semi")
-    return rows.join(texts, "rep")
+        reps = F.broadcast(reps)
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null").join(reps, "rep").select("node", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose text has the node's set: another text may have the same doc_id, and the same text may come twice."""
+        met: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                node = part.column("node").to_pylist()
+                keep = [r for r, values in _sets(part) if int.from_bytes(_key(values)[:8], "big") >> 4 == node[r] and node[r] not in met]
+                if len(met) < REMEMBERED:
+                    met.update(node[r] for r in keep)
+                yield part.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(own, "node long, text string")
 
 
 def _wide_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
@@ -374,38 +435,48 @@ def _wide_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray,
     return keep
 
 
-def open_pairs(large: DataFrame, roots: DataFrame, percent: int, representatives: DataFrame, docs: DataFrame) -> DataFrame | None:
+def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFrame) -> DataFrame | None:
     """(a, b): pairs of different components in large blocks, by dual traversal of bounded chunks."""
-    with_comp = large.dropDuplicates(["shingle", "node"]).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    spans = with_comp.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
-    rest = materialize(with_comp.join(spans, "shingle"), "open-blocks")
+    comp = F.coalesce("root", "node").alias("comp")
+    with_comp = large.join(roots, "node", "left").select(_block(F.col("shingle")).alias("shingle"), "node", "meta", comp)
+    # the main component of each block that holds several
+    sizes = with_comp.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    mains = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    rest = materialize(with_comp.join(mains.select("shingle", "main"), "shingle"), "open-blocks")
     if rest.isEmpty():
         return None
+    # A lane is a band of sizes, one for each factor 1/p, times two: odd for the block's
+    # main component.  Chunks of a lane are bounded; pairs within main lanes are not wanted.
     size = F.shiftright("meta", _BITS)
-    rest = rest.withColumn("band", F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    counts = rest.groupBy("shingle", "band").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("s"))
-    # a band for each factor 1/p of size: a short map for any block
-    maps = counts.groupBy("shingle").agg(F.map_from_entries(F.collect_list(F.struct("band", "s"))).alias("chunks"))
+    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    rest = rest.withColumn("lane", 2 * band + (F.col("comp") == F.col("main")).cast("int"))
+    counts = rest.groupBy("shingle", "lane").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("s"))
+    maps = counts.groupBy("shingle").agg(F.map_from_entries(F.collect_list(F.struct("lane", "s"))).alias("chunks"))
     rest = rest.join(maps, "shingle")
-    own = F.pmod(F.xxhash64("node"), F.element_at("chunks", F.col("band"))).cast("int")
-    rest = rest.withColumn("own", own)
+    lane, mine = F.col("lane"), F.pmod(F.xxhash64("node"), F.element_at("chunks", F.col("lane"))).cast("int")
 
-    def keys(band: Column, of: Column, make) -> Column:
-        n = F.coalesce(F.try_element_at("chunks", of), F.lit(0))
+    def keys(other: Column, wanted: Column, make) -> Column:
+        n = F.coalesce(F.try_element_at("chunks", other), F.lit(0))
         empty = F.array().cast("array<struct<b1:int,t1:int,b2:int,t2:int,side:int>>")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make)).otherwise(empty)
+        return F.when(wanted & (n > 0), F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make)).otherwise(empty)
 
     def key(b1: Column, t1: Column, b2: Column, t2: Column, side: Column) -> Column:
         return F.struct(b1.alias("b1"), t1.alias("t1"), b2.alias("b2"), t2.alias("t2"), side.cast("int").alias("side"))
 
-    band, mine = F.col("band"), F.col("own")
-    every = F.concat(
-        keys(band, band, lambda t: key(band, F.least(t, mine), band, F.greatest(t, mine), F.when(t == mine, -1).when(mine < t, 0).otherwise(1))),
-        keys(band, band + 1, lambda t: key(band, mine, band + 1, t, F.lit(0))),
-        keys(band, band - 1, lambda t: key(band - 1, t, band, mine, F.lit(1))),
-    )
-    spread = rest.select("shingle", "node", "meta", "comp", F.explode(every).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
-    maps = materialize(wide_bitmaps(rest.select("node").distinct(), representatives, docs), "wide")
+    minor = F.pmod(lane, F.lit(2)) == 0
+    floor = lane - F.pmod(lane, F.lit(2))
+    every = [keys(lane, minor, lambda t: key(lane, F.least(t, mine), lane, F.greatest(t, mine), F.when(t == mine, -1).when(mine < t, 0).otherwise(1)))]
+
+    def against(other: Column, wanted: Column) -> list[Column]:
+        return [
+            keys(other, wanted & (lane < other), lambda t: key(lane, mine, other, t, F.lit(0))),
+            keys(other, wanted & (lane > other), lambda t: key(other, t, lane, mine, F.lit(1))),
+        ]
+
+    for step in (-2, -1, 0, 1, 2, 3):
+        every += against(floor + step, (floor + step != lane) & (minor | F.lit(step % 2 == 0)))
+    spread = rest.select("shingle", "node", "meta", "comp", F.explode(F.concat(*every)).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
+    maps = materialize(wide_bitmaps(rest.select("node").distinct(), texts), "wide")
     spread = spread.join(maps, "node")
 
     def traverse(key, table):
@@ -419,8 +490,8 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int, representatives
     return spread.groupBy("shingle", "b1", "t1", "b2", "t2").applyInArrow(traverse, "a long, b long")
 
 
-def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose whole texts qualify.  ``representatives``: node, rep (a doc_id).
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The different (a, b) whose whole texts(node, text) qualify.
 
     Pairs are grouped by a, at most about ``GROUP`` to a group, so a's text moves
     once for a group and b's once for a pair.
@@ -428,9 +499,8 @@ def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, perc
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("s"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "s").cast("int").alias("salt"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
-    rows = heads.unionByName(salted.withColumn("node", F.col("b"))).join(representatives, "node").select("a", "salt", "b", "rep")
-    rows = materialize(rows, "pairs")
-    with_text = texts_of(rows, docs).select("a", "salt", "b", "text")
+    rows = heads.unionByName(salted.withColumn("node", F.col("b")))
+    with_text = rows.join(texts, "node").select("a", "salt", "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, against = None, None
@@ -441,22 +511,28 @@ def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, perc
                 for r, (a, salt, b) in enumerate(zip(*[part.column(k).to_pylist() for k in ("a", "salt", "b")])):
                     if b is None:
                         head, against = (a, salt), sets[r]
-                    elif head == (a, salt):
+                    else:
+                        assert head == (a, salt)
                         common = _overlap(against, sets[r])
                         if 100 * common >= percent * (len(against) + len(sets[r]) - common):
                             found.append((a, b))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     ordered = with_text.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(check, "a long, b long").distinct()
+    return ordered.mapInArrow(check, "a long, b long").distinct()  # a text may be there twice
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that lie in different components."""
+def roots_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs with their sets' components, ra and rb."""
     for side in ("a", "b"):
         named = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
         pairs = pairs.join(named, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
-    return pairs.filter("ra <> rb").select("a", "b")
+    return pairs
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that lie in different components."""
+    return roots_of(pairs, roots).filter("ra <> rb").select("a", "b")
 
 
 def _overlap(u: np.ndarray, v: np.ndarray) -> int:
@@ -467,22 +543,37 @@ def _overlap(u: np.ndarray, v: np.ndarray) -> int:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that edges (a, b) reach, for every node of an edge."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+
+    def cut(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """The different rows, written, with their number and the sum of their hashes."""
+        seen = Observation()
+        out = materialize(df.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        return out, (seen.get["n"], seen.get["h"])
+
+    now, state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "edges")
     before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while state != before:
         before = state
         # large star: every larger neighbour of u is tied to the least around u
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         tied = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialize(tied.distinct(), "stars")
+        now, state = cut(tied, "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all links: ``roots`` of earlier ones, and further links between their components."""
+    between = roots_of(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    over = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # a component's own root, and sets that had no link so far
+    new = over.select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return materialize(old.unionByName(new), "roots")
 
 
 def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) -> DataFrame:
@@ -506,41 +597,30 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets, common = shingle_sets(docs)
     pairs, large = blocks(postings(docs.filter("doc_id is not null"), common, percent), percent)
     known = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    in_large = large.dropDuplicates(["shingle", "node"]).groupBy("node").agg(F.count("*").alias("large"))
+    in_large = large.groupBy("node").agg(F.count("*").alias("large"))
     nodes = materialize(known.join(in_large, "node", "left").fillna(0, ["large"]), "nodes")
-    counted = pairs.withColumn("c", F.lit(1)).union(leader_pairs(large).withColumn("c", F.lit(0)))
-    counted = materialize(counted.groupBy("a", "b").agg(F.sum("c").alias("c")), "counted")
+    counted = materialize(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), "counted")
     candidates = materialize(possible(counted, nodes, percent, F.least("la", "lb")), "candidates")
-    representatives = nodes.select("node", "rep")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(nodes.filter("large > 0").select("node")).distinct()
+    texts = materialize(contested(wanted, nodes, docs), "contested")
     # first each set with the least of its candidates; most others are then in one component
     star = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(verified(star, representatives, docs, percent), "links")
-    roots = components(links)
-
-    def other_candidates() -> DataFrame:
-        return materialize(apart(candidates, roots).join(star, ["a", "b"], "left_anti"), "apart")
-
-    def more_leaders() -> DataFrame:
-        found = leader_pairs(large, roots).join(candidates, ["a", "b"], "left_anti")
-        sized = possible(found.withColumn("c", F.lit(1 << 40)), nodes, percent, F.lit(0))
-        return materialize(sized, "leaders")
-
-    def between_large_blocks() -> DataFrame | None:
-        found = open_pairs(large, roots, percent, representatives, docs)
-        if found is None:
-            return None
-        both = found.groupBy("a", "b").agg(F.count("*").alias("many"))
+    roots = components(verified(star, texts, percent))
+    rest = apart(candidates, roots)
+    if not large.isEmpty():
+        found = more_leaders(large, roots)
+        rest = rest.union(possible(found.withColumn("c", F.lit(1 << 40)), nodes, percent, F.lit(0))).distinct()
+    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "apart")
+    if not rest.isEmpty():
+        roots = joined(roots, materialize(verified(rest, texts, percent), "links"))
+    opened = None if large.isEmpty() else open_pairs(large, roots, percent, texts)
+    if opened is not None:
+        both = opened.groupBy("a", "b").agg(F.count("*").alias("many"))
         exact = both.join(counted, ["a", "b"], "left").select("a", "b", (F.col("many") + F.coalesce("c", F.lit(0))).alias("c"))
-        return materialize(possible(exact, nodes, percent, F.lit(0)).join(candidates, ["a", "b"], "left_anti"), "open-pairs")
-
-    for make in (other_candidates, more_leaders, between_large_blocks):
-        rest = make()
-        if rest is None or rest.isEmpty():
-            continue
-        more = materialize(verified(rest, representatives, docs, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
+        left = possible(exact, nodes, percent, F.lit(0)).join(candidates, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+        left = materialize(left, "open-pairs")
+        if not left.isEmpty():
+            roots = joined(roots, materialize(verified(left, texts, percent), "links"))
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = tied.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return tied.join(least, "comp", "left").select(

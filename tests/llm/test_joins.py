@@ -82,7 +82,7 @@ def test_blocks_of_copies_go_on_over_batches(spark):
         meta = ngram_join.pack(np.arange(50, dtype=np.uint64))
         posted = spark.createDataFrame([(7, 1 + k // 30, meta) for k in range(60)], "shingle long, node long, meta long").coalesce(1)
         pairs, large = ngram_join.blocks(posted, 75)
-        assert {tuple(r) for r in pairs.collect()} == {(1, 2)} and large.count() == 0
+        assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2)} and large.count() == 0
         docs = spark.createDataFrame(spark.sparkContext.parallelize([(k, a if k < 30 else b) for k in range(60)], 60), "doc_id long, text string")
         assert {r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0}
     finally:
