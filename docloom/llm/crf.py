@@ -9,10 +9,11 @@ language has the largest sum of them over its words with letters, and the score
 is its share of the sum.
 
 Fitting takes a bounded sample: about ``SAMPLE_DOCS`` labelled documents of each
-language, chosen by hashes of their ids, and of each at most ``SAMPLE_CHARS``
-code points at a hashed place.  Their words carry the document's language;
-sequences are spliced from two languages as well, so that transitions are
-learned from switches.  Prediction takes every word of every whole text.
+language, fewer where there are many languages so that all together are about
+``SAMPLE_ALL``, chosen by hashes of their ids, with their whole texts.  Their words
+carry the document's language; sequences are spliced from two languages as well,
+so that transitions are learned from switches.  Prediction takes every word of
+every whole text.  Over ``MOST_LANGUAGES`` languages are an error.
 
 Forward-backward runs over all words of a slice at once: texts are cut into
 chunks, products of the chunks' transfer matrices carry the exact messages
@@ -25,7 +26,9 @@ Cases with a defined result
   null doc_id     predicted; never learned from
   nothing to learn from   ``und`` with score 0 for every text
   ties            the language that sorts first
-  repeated rows   each is predicted
+  repeated rows   each is predicted; of rows with one doc_id the text with the least
+                  hash is learned from
+  very long text  all its words count, in fitting and in prediction
   empty table     an empty result
   extra columns   kept; ``lang_pred`` and ``lang_score`` are added and
                   replace columns of these names
@@ -44,9 +47,9 @@ from pyspark.sql import types as T
 
 from .wordarrays import Words, mix, slices
 
-SAMPLE_DOCS = 500
-SAMPLE_CHARS = 1500
-MOST_LANGUAGES = 64
+SAMPLE_DOCS = 300
+SAMPLE_ALL = 6000
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 _AFFIX = 3
@@ -322,20 +325,22 @@ def _expectations(scores: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, n
     return gamma, pairs
 
 
-def learn(docs: DataFrame, usable: Column, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Crf:
+def learn(docs: DataFrame, usable: Column, *, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL) -> Crf:
     """A model from ``docs(doc_id, text, lang)`` of the rows for which ``usable`` (on doc_id) holds."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & usable)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return Crf([])
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    sample_docs = max(2, min(sample_docs, sample_all // len(sizes)))
     # the share of each language's rows whose hashes give sample_docs of them on average
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    room = F.greatest(F.length("text") - F.lit(sample_chars), F.lit(0))
-    at = (F.pmod(F.xxhash64("doc_id", F.lit(6)), room + 1) + 1).cast("int")
-    sample = known.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(sample_chars)).alias("t"))
-    rows = sample.orderBy("doc_id", "t").limit(2 * sample_docs * len(sizes)).collect()
-    return fit([r["t"] for r in rows], [r["lang"] for r in rows])
+    sample = known.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang", "text")).alias("r")
+    rows = sample.groupBy("doc_id").agg(one).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Crf) -> DataFrame:

@@ -12,6 +12,8 @@ Cases with a defined result
   null source     a source of its own
   null doc_id     drawn with the key "null"; such rows share one draw
   repeated rows   each row is drawn, all with the same count
+  very long text  drawn and copied whole
+  ties            rows with equal order keys stand in any order
   empty table     an empty result
   extra columns   kept as they are; ``copy`` and ``order_key`` are added last and
                   replace columns of these names
@@ -24,6 +26,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: Exponent on a source's size for its default target weight: 1 leaves the mix
 #: as it is, 0 gives every source the same share.
 TEMPERATURE = 0.5
@@ -62,7 +66,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, *, temper
     target size is that of the input unless given.
     """
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
-    sizes = docs.groupBy("source").agg(F.sum(size).alias("size"))
+    sizes = materialize(docs.groupBy("source").agg(F.sum(size).alias("size")), "source-sizes")
     if weights is None:
         weighted = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(float(temperature))))
     else:

@@ -45,6 +45,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ PERCENT = 75
 #: Blocks of more sets are traversed only after a first round of links.
 SMALL_BLOCK = 24
 #: Rows of one chunk of a large block.
-CHUNK = 2048
+CHUNK = 1024
 #: Entries of the ranking of common shingles.  It only orders shingles: any
 #: ranking gives the same links, a longer one gives fewer pairs to look at.
 RANKED = 200_000
@@ -78,7 +79,8 @@ _SALT_BITS = 16
 _DEALT = 1 << 35
 #: Leaders that the blocks of one group share, in the first and in the second round.
 _SEEDS, _MORE_SEEDS = 8, 64
-_BITS = 40
+#: Bits of a meta value: a bitmap, above it a place in the prefix, above that the size.
+_BITS, _PLACE = 32, 8
 _FANOUT = 8
 _U = np.uint64
 
@@ -95,7 +97,7 @@ def _key(values: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key, node) of every row, and (shingle, seen) of common shingles."""
+    """(doc_id, text_hash, n_shingles, node) of every row, and (shingle, seen) of common shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -127,14 +129,14 @@ def shingle_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if held > 1_000_000:
                     fold()
                     held = 0
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n": n, "key": pa.array(keys, pa.binary()), "shingle": pa.nulls(rows.num_rows, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "text_hash": rows.column("text_hash"), "n": n, "key": pa.array(keys, pa.binary()), "shingle": pa.nulls(rows.num_rows, pa.int64())})
         fold()
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(counts[0]), pa.int64()), "n": counts[1], "key": pa.nulls(len(counts[0]), pa.binary()), "shingle": counts[0].view(np.int64)})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(counts[0]), pa.int64()), "text_hash": pa.nulls(len(counts[0]), pa.int64()), "n": counts[1], "key": pa.nulls(len(counts[0]), pa.binary()), "shingle": counts[0].view(np.int64)})
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n long, key binary, shingle long")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, "doc_id long, text_hash long, n long, key binary, shingle long")
     both = materialize(both, "shingle-sets")
     node = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
-    sets = both.filter("key is not null").select("doc_id", F.col("n").alias("n_shingles"), "key", F.when(F.col("n") > 0, node).alias("node"))
+    sets = both.filter("key is not null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
     common = both.filter("key is null").groupBy("shingle").agg(F.sum("n").alias("seen")).filter(F.col("seen") >= COMMON)
     return sets, common
 
@@ -144,7 +146,7 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, meta): the prefix of each different set; meta packs size and bitmap."""
+    """(shingle, node, meta): the prefix of each different set; meta packs size, place in the prefix and bitmap."""
     ranking = common.orderBy(F.desc("seen"), "shingle").limit(RANKED).toArrow()
     ranked = ranking.column("shingle").to_numpy().view(np.uint64)
     seen = ranking.column("seen").to_numpy().astype(np.int64)
@@ -180,10 +182,11 @@ def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
                     out.append((prefix, node, pack(values)))
                 if out:
                     n = [len(p) for p, _, _ in out]
+                    place = np.concatenate([(np.arange(k) << _PLACE) // k for k in n]) << _BITS
                     yield pa.RecordBatch.from_pydict({
                         "shingle": np.concatenate([p for p, _, _ in out]).view(np.int64),
                         "node": np.repeat(np.array([k for _, k, _ in out], np.int64), n),
-                        "meta": np.repeat(np.array([m for _, _, m in out], np.int64), n),
+                        "meta": np.repeat(np.array([m for _, _, m in out], np.int64), n) | place,
                     })
 
     return docs.select("text").mapInArrow(emit, "shingle long, node long, meta long")
@@ -217,21 +220,31 @@ _MOST = (1 << 23) - 1
 
 
 def pack(values: np.ndarray) -> int:
-    """Size (23 bits, at most _MOST) and bitmap (40 bits) of a set in one signed 64-bit integer."""
+    """Size (at most _MOST) and bitmap of a set in one signed 64-bit integer, with room for a place in its prefix."""
     bits = np.bitwise_or.reduce(_U(1) << (mix(values) % _U(_BITS)))
-    return (min(len(values), _MOST) << _BITS) | int(bits)
+    return (min(len(values), _MOST) << (_BITS + _PLACE)) | int(bits)
 
 
 def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return meta >> _BITS, meta & ((1 << _BITS) - 1)
+    return meta >> (_BITS + _PLACE), meta & ((1 << _BITS) - 1)
 
 
-def forest_pairs(group: np.ndarray, meta: np.ndarray, percent: int, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def rest_of(meta: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set come, in the order of prefixes, from this posting's on, at most."""
+    n = meta >> (_BITS + _PLACE)
+    before = ((meta >> _BITS & ((1 << _PLACE) - 1)) * _prefix_length(n, percent)) >> _PLACE
+    return np.where(n == _MOST, 1 << 40, n - before)
+
+
+def forest_pairs(
+    group: np.ndarray, meta: np.ndarray, percent: int, side: np.ndarray | None = None, comp: np.ndarray | None = None, first: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of records of one group each that may qualify.
 
     One signature tree stands over each group; all trees are traversed at once.
     ``side``: of two records with the same side, 0 or 1, no pair is wanted (-1:
-    no side).  ``comp``: nor of two records of one component.
+    no side).  ``comp``: nor of two records of one component.  ``first``: only pairs
+    that may qualify if the group's shingle is the first that they share.
     """
     n, bits = unpack(meta)
     order = np.lexsort((bits, n, group))
@@ -239,8 +252,9 @@ def forest_pairs(group: np.ndarray, meta: np.ndarray, percent: int, side: np.nda
     # Of a record's shingles at most (1 - p) n are missing in a partner, and so
     # are at most as many of its bits.
     need = np.where(n == _MOST, 0, np.bitwise_count(bits).astype(np.int64) - (100 - percent) * n // 100)
+    most = rest_of(meta[order], percent) if first else np.full(len(n), 1 << 40)
     marks = [m[order] for m in (side, comp) if m is not None]
-    levels = [_Level(n, n, bits, need, marks, group, None)]
+    levels = [_Level(n, n, bits, need, most, marks, group, None)]
     while len(levels[-1].group) > 1 and (levels[-1].group[1:] == levels[-1].group[:-1]).any():
         levels.append(levels[-1].above())
     x = y = np.arange(len(levels[-1].group))
@@ -255,8 +269,8 @@ def forest_pairs(group: np.ndarray, meta: np.ndarray, percent: int, side: np.nda
 class _Level:
     """The nodes of all trees at one height, as arrays."""
 
-    def __init__(self, low, high, bits, need, marks, group, first):
-        self.low, self.high, self.bits, self.need, self.marks, self.group, self.first = low, high, bits, need, marks, group, first
+    def __init__(self, low, high, bits, need, most, marks, group, first):
+        self.low, self.high, self.bits, self.need, self.most, self.marks, self.group, self.first = low, high, bits, need, most, marks, group, first
 
     def above(self) -> "_Level":
         """Nodes over ``_FANOUT`` of these nodes each, within each group."""
@@ -267,7 +281,7 @@ class _Level:
         for m in self.marks:  # what all below have in common, else -1
             low, high = np.minimum.reduceat(m, at), np.maximum.reduceat(m, at)
             marks.append(np.where(low == high, low, -1))
-        return _Level(np.minimum.reduceat(self.low, at), np.maximum.reduceat(self.high, at), np.bitwise_or.reduceat(self.bits, at), np.minimum.reduceat(self.need, at), marks, self.group[at], np.append(at, len(self.group)))
+        return _Level(np.minimum.reduceat(self.low, at), np.maximum.reduceat(self.high, at), np.bitwise_or.reduceat(self.bits, at), np.minimum.reduceat(self.need, at), np.maximum.reduceat(self.most, at), marks, self.group[at], np.append(at, len(self.group)))
 
     def joinable(self, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         # too far apart in size, whichever records are taken (a full size field may stand for more)
@@ -275,6 +289,8 @@ class _Level:
         keep &= (self.high[y] == _MOST) | (100 * self.high[y] >= percent * self.low[x])
         # the most bits that an overlap can set, against the fewest that a record needs
         keep &= np.bitwise_count(self.bits[x] & self.bits[y]).astype(np.int64) >= np.maximum(self.need[x], self.need[y])
+        # the most shingles that can be shared from here on, against the fewest that a pair needs
+        keep &= (100 + percent) * np.minimum(self.most[x], self.most[y]) >= percent * (self.low[x] + self.low[y])
         for m in self.marks:
             keep &= (m[x] != m[y]) | (m[x] < 0)
         return x[keep], y[keep]
@@ -438,21 +454,31 @@ def _wide_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray,
 def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFrame) -> DataFrame | None:
     """(a, b): pairs of different components in large blocks, by dual traversal of bounded chunks."""
     comp = F.coalesce("root", "node").alias("comp")
-    with_comp = large.join(roots, "node", "left").select(_block(F.col("shingle")).alias("shingle"), "node", "meta", comp)
+    n = F.shiftright("meta", _BITS + _PLACE)
+    place = F.shiftright("meta", _BITS).bitwiseAND((1 << _PLACE) - 1)
+    prefix = n - F.expr(f"(shiftright(meta, {_BITS + _PLACE}) * {percent} + 99) div 100") + 1
+    share = F.when(n == _MOST, 2.0).otherwise((n - F.shiftright(place * prefix, _PLACE)) / n).alias("share")
+    with_comp = large.join(roots, "node", "left").select(_block(F.col("shingle")).alias("shingle"), "node", "meta", comp, share)
     # the main component of each block that holds several
-    sizes = with_comp.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
-    mains = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    rest = materialize(with_comp.join(mains.select("shingle", "main"), "shingle"), "open-blocks")
+    sizes = with_comp.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.max("share").alias("share"))
+    mains = sizes.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("share").alias("most"), F.count("*").alias("comps"))
+    # Let r be what a set has from its posting on, and s the share r / n.  A pair that first
+    # meets here has r1, r2 >= p / (1 + p) (n1 + n2), so n2 <= g1 n1 and n1 <= g2 n2 for
+    # g = s (1 + p) / p - 1: it needs g1 g2 >= 1.
+    gain = lambda s: s * ((100.0 + percent) / percent) - 1
+    mains = mains.filter((F.col("comps") > 1) & (gain(F.col("most")) * gain(F.col("most")) >= 1 - 1e-9))
+    rest = with_comp.join(mains.select("shingle", "main", "total", "most"), "shingle").filter(gain(F.col("share")) * gain(F.col("most")) >= 1 - 1e-9)
+    rest = materialize(rest.drop("share", "most"), "open-blocks")
     if rest.isEmpty():
         return None
-    # A lane is a band of sizes, one for each factor 1/p, times two: odd for the block's
-    # main component.  Chunks of a lane are bounded; pairs within main lanes are not wanted.
-    size = F.shiftright("meta", _BITS)
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    # A block of up to CHUNK rows is one group.  In a larger one, a lane is a band of
+    # sizes, one for each factor 1/p, times two: odd for the block's main component.
+    # Chunks of a lane are bounded; pairs within main lanes are not wanted.
+    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rest = rest.withColumn("lane", 2 * band + (F.col("comp") == F.col("main")).cast("int"))
-    counts = rest.groupBy("shingle", "lane").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("s"))
+    counts = rest.filter(F.col("total") > CHUNK).groupBy("shingle", "lane").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("s"))
     maps = counts.groupBy("shingle").agg(F.map_from_entries(F.collect_list(F.struct("lane", "s"))).alias("chunks"))
-    rest = rest.join(maps, "shingle")
+    rest = rest.join(maps, "shingle", "left")
     lane, mine = F.col("lane"), F.pmod(F.xxhash64("node"), F.element_at("chunks", F.col("lane"))).cast("int")
 
     def keys(other: Column, wanted: Column, make) -> Column:
@@ -475,19 +501,42 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFram
 
     for step in (-2, -1, 0, 1, 2, 3):
         every += against(floor + step, (floor + step != lane) & (minor | F.lit(step % 2 == 0)))
-    spread = rest.select("shingle", "node", "meta", "comp", F.explode(F.concat(*every)).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
+    zero = F.lit(0)
+    whole = F.array(key(zero, zero, zero, zero, F.lit(-1)))
+    spread = rest.select("shingle", "node", "meta", "comp", F.explode(F.when(F.col("total") > CHUNK, F.concat(*every)).otherwise(whole)).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
     maps = materialize(wide_bitmaps(rest.select("node").distinct(), texts), "wide")
     spread = spread.join(maps, "node")
 
-    def traverse(key, table):
-        meta, node = table.column("meta").to_numpy(), table.column("node").to_numpy()
-        x, y = forest_pairs(np.zeros(len(meta), np.int64), meta, percent, table.column("side").to_numpy().astype(np.int64), table.column("comp").to_numpy())
-        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(meta), -1)
-        keep = _wide_enough(x, y, table.column("n").to_numpy(), wide, percent)
-        x, y = x[keep], y[keep]
-        return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+    names = ["shingle", "b1", "t1", "b2", "t2"]
+
+    def pairs(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        meta, node, n, comp, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("meta", "node", "n", "comp", "side"))
+        x, y = forest_pairs(group, meta, percent, side, comp, first=True)
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(meta), -1)
+        keep = _wide_enough(x, y, n, wide, percent)
+        x, y = node[x[keep]], node[y[keep]]
+        return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group, which the next batch may go on with
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                both = pa.Table.from_batches([batch])
+                held = (both if held is None else pa.concat_tables([held, both])).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            columns = [held.column(c).to_numpy() for c in names]
+            starts = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+            end = held.num_rows if batch is None else int(starts[-1])
+            at = 0
+            while at < end:  # as many whole groups as have about the rows of one pair of chunks
+                to = int(np.append(starts, held.num_rows)[np.searchsorted(starts, at + 2 * CHUNK, "right") - 1])
+                to = min(end, to if to > at else int(np.append(starts, held.num_rows)[np.searchsorted(starts, at, "right")]))
+                yield pairs(held.slice(at, to - at), np.searchsorted(starts, np.arange(at, to), "right"))
+                at = to
+            held = held.slice(end)
 
-    return spread.groupBy("shingle", "b1", "t1", "b2", "t2").applyInArrow(traverse, "a long, b long")
+    return spread.repartition(*names).sortWithinPartitions(*names).mapInArrow(traverse, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -594,6 +643,38 @@ def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) ->
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return jaccard_members(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each component of rows one stays.
+
+    It is the row with the least doc_id, of several with that doc_id the one with the
+    least hash of its text, and of rows with both alike the one whose other columns
+    sort first.  Rows without a doc_id or without a word stay.
+    """
+    columns = docs.columns
+    linked = jaccard_members(docs, percent).filter("class is not null and doc_id is not null")
+    texts = linked.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    first = texts.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    marks = texts.join(first, "class").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(F.struct("doc_id", "text_hash") != F.col("first"), "drop").when(F.col("copies") > 1, "several").alias("_mark")
+    )
+    marks = materialize(marks.filter("_mark is not null"), "marks")
+    marked = docs.withColumns({"_id0": F.col("doc_id").cast("long"), "_hash0": F.xxhash64("text")})
+    marked = marked.join(marks, (F.col("_id0") == F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
+    rest = [F.col(c) for c in columns if c not in ("doc_id", "text")]
+    order = F.struct(*[c.cast("string") for c in rest]) if rest else F.lit(0)
+    several = marked.filter("_mark = 'several'").groupBy("_id", "_hash").agg(F.min_by(F.struct(*columns), order).alias("r")).select("r.*")
+    return marked.filter("_mark is null").select(*columns).unionByName(several)
+
+
+def jaccard_members(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class and component_id of every row.
+
+    ``class`` tells components apart, null for a row without a word; two of them
+    have the same component_id only where different texts have one doc_id.
+    """
     sets, common = shingle_sets(docs)
     pairs, large = blocks(postings(docs.filter("doc_id is not null"), common, percent), percent)
     known = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
@@ -615,14 +696,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         roots = joined(roots, materialize(verified(rest, texts, percent), "links"))
     opened = None if large.isEmpty() else open_pairs(large, roots, percent, texts)
     if opened is not None:
-        both = opened.groupBy("a", "b").agg(F.count("*").alias("many"))
-        exact = both.join(counted, ["a", "b"], "left").select("a", "b", (F.col("many") + F.coalesce("c", F.lit(0))).alias("c"))
-        left = possible(exact, nodes, percent, F.lit(0)).join(candidates, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-        left = materialize(left, "open-pairs")
+        # pairs that also meet in a small block have been looked at
+        left = materialize(opened.distinct().join(counted, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "open-pairs")
         if not left.isEmpty():
             roots = joined(roots, materialize(verified(left, texts, percent), "links"))
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = tied.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return tied.join(least, "comp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("comp").alias("class"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )

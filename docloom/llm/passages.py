@@ -8,13 +8,16 @@ weighted sum of the passages' representations.  All of it is learned together,
 from document labels alone.
 
 Fitting takes a bounded sample: the ``SAMPLE_DOCS`` labelled documents with the
-least hashes of their ids, and of a longer one ``SAMPLE_PASSAGES`` passages at
-even distances.  Scoring takes every passage of every whole text.
+least hashes of their ids, each with all its passages.  Scoring takes every
+passage of every whole text.
 
 Cases with a defined result
   null text       scored like an empty text: one passage without words
   null doc_id     scored; never learned from
-  repeated rows   each is scored
+  repeated rows   each is scored; of rows with one doc_id the text with the least
+                  hash, and of its labels the least, are learned from
+  very long text  all its passages count, in fitting and in scoring
+  ties            a score of exactly 0.3 or more is label 1
   no labels, or labels of one kind: every score is the share of label 1 (1 if none)
   empty table     an empty result
   extra columns   kept; ``score`` is added and replaces a column of this name
@@ -35,7 +38,6 @@ from .wordarrays import Words, mix, slices
 
 PASSAGE_WORDS = 40
 SAMPLE_DOCS = 5000
-SAMPLE_PASSAGES = 32
 BUCKETS = 1 << 12
 _VECTOR, _HIDDEN, _ATTENTION = 16, 24, 12
 _CLASSES = {
@@ -209,6 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample_docs rows at most
+    text = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    rows = rows.groupBy("doc_id").agg(text.alias("text"), F.min("quality").cast("int").alias("quality"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +220,6 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
                 x = passages(part.column("text"))
                 for r in range(part.num_rows):
                     k = np.arange(x.docs[r], x.docs[r + 1])
-                    if len(k) > SAMPLE_PASSAGES:
-                        k = k[np.linspace(0, len(k) - 1, SAMPLE_PASSAGES).astype(int)]
                     n = np.diff(x.words)[k]
                     bucket = np.concatenate([x.bucket[x.words[i] : x.words[i + 1]] for i in k])
                     yield pa.RecordBatch.from_pydict({
@@ -225,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
                         "shape": [x.shape[k].tobytes()], "bucket": [bucket.astype("<u2").tobytes()], "n": [n.astype("<i4").tobytes()],
                     })
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(bags, "doc_id long, quality int, shape binary, bucket binary, n binary").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates("doc_id")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality")
+    got = rows.mapInArrow(bags, "doc_id long, quality int, shape binary, bucket binary, n binary").toArrow().to_pandas().sort_values("doc_id")
     if not len(got):
         return fit(Passages(np.zeros((0, _SHAPE), np.float32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.zeros(0))
     n = [np.frombuffer(b, "<i4") for b in got["n"]]

@@ -18,6 +18,10 @@ Cases with a defined result
   no whitespace    one word, whatever its length
   null doc_id      measured and judged like any other row; it has no label
   repeated rows    each is judged by itself
+  very long text   measured whole
+  ties             of literals with equal gain the one whose feature and threshold
+                   sort last is taken; a value equal to a threshold is not above it
+  empty table      an empty result
   no labels        an empty list: kept is the negation of base_failed
   extra columns    ignored; only doc_id and text are read
 """
@@ -87,7 +91,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("p")
+    done = base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("p")
+    # A generator's output: a later filter on a statistic stays above it and does not
+    # repeat the array expressions that the statistic is made of.
+    return done.select(F.inline(F.array(F.struct(*done.columns))))
 
 
 def base_failed() -> Column:

@@ -18,8 +18,11 @@ documents then find their shard by a broadcast of that bounded list.
 Cases with a defined result
   null text       no bytes: size 16; all null texts form one group with the
                   empty text (crc 0)
-  null doc_id     placed like any other, first in its shard
-  repeated rows   each takes a slot of its own
+  null doc_id     placed like any other
+  repeated rows   each takes a slot of its own; they are one group, and lie in one
+                  shard unless it had no room for the group
+  very long text  its size counts whole; over a shard's share it is a shard's main item
+  ties            of equally good shards the lowest is taken
   empty table     an empty result
   extra columns   not returned; the result has doc_id and the columns it names
 """
@@ -30,6 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 SHARDS = 40
 #: Fineness: items of at most 1/GRAIN of a shard's share of bytes.
 GRAIN = 48
@@ -86,14 +91,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.trim(F.translate(text, "\t\n\x0b\f\r", " " * 5))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.size(F.split(F.trim(text), "[ \\x09-\\x0D]+")).cast("long").alias("tokens"),
+        F.when(words != "", F.size(F.split(words, " +"))).otherwise(0).cast("long").alias("tokens"),
         F.xxhash64(text, F.octet_length(text)).alias("g"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(_SALTS)).cast("int").alias("salt"),
+        # rows that are alike in all columns are spread as well
+        F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(_SALTS)).cast("int").alias("salt"),
     )
+    rows = materialize(rows, "sizes")  # all that follows reads these few bytes a row
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n")]
     total = np.array([x or 0 for x in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).head()], float)
     limit = max(1, int(total[0]) // (shards * grain))
@@ -113,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -
     items = with_item(parts).groupBy("item").agg(*sums).orderBy("item").collect()
     shard_of = place(np.array([[r["size"], r["tokens"], r["n"]] for r in items], float).reshape(-1, 3), shards)
     placed = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(items, shard_of)], "item long, shard int")
-    found = with_item(rows).join(F.broadcast(placed), "item").withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(_SUBS)).cast("int"))
+    found = with_item(rows).join(F.broadcast(placed), "item").withColumn("sub", F.pmod(F.xxhash64("salt", F.lit(13)), F.lit(_SUBS)).cast("int"))
     # Slots: each (shard, sub) is numbered by itself, after the rows of the subs before it.
     before = found.groupBy("shard", "sub").agg(F.count("*").alias("n"))
     before = before.select("shard", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("base"))

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import corpus_pipeline
 from docloom.llm import mixing, queries, sharding, sitestyle
 
 from ..conftest import SF, same_rows
+from .test_joins import shingles
 
 
 def test_mixing_against_sql(spark, duck):
@@ -158,6 +160,46 @@ def test_near_duplicates_leave_one(spark, odd):
     assert 102 in kept and 103 in kept
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows with clashing doc_ids against a plain search: no different text is lost, and one row of each group stays."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(14):
+        base = [f"w{rng.randint(0, 500)}" for _ in range(rng.choice([3, 12, 40]))]
+        for _ in range(rng.randint(1, 6)):
+            text = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 9])):
+                text[rng.randrange(len(text))] = f"e{rng.randint(0, 9)}"
+            rows.append((rng.choice([None, *range(8)]) if rng.random() < 0.9 else rng.randint(50, 60), " ".join(text), "en", f"s{rng.randint(0, 1)}", rng.randint(0, 3)))
+    rows += [(1, "A " * 9, "en", "s", 1), (1, None, "en", "s", 1), (1, None, "en", "s", 1), (2, "", "en", "s", 1)] + rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    sets = [shingles(t) if i is not None else frozenset() for i, t, *_ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    want = Counter()
+    for g in set(group):
+        mine = [r for r, s, h in zip(rows, sets, group) if h == g and s]
+        want.update([min(mine, key=lambda r: (r[0], hashes[r[1]], r[2:4], str(r[4])))] if mine else [])
+    want.update(r for r, s in zip(rows, sets) if not s)
+    assert Counter(map(tuple, corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect())) == want
+    four = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (2, "o p q r s t u")], "doc_id long, text string")
+    four = four.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(13)})
+    assert {(r.doc_id, r.text[0]) for r in corpus_pipeline.ngram_jaccard_join(spark, four, SF).collect()} == {(1, "a"), (1, "h"), (2, "o")}
+
+
+def test_repeated_rows_over_a_share_spread_out(spark):
+    """Rows alike in all columns, a third of all: over several shards and numbered without gaps."""
+    rows = [(7, "same " * 40)] * 900 + [(k, f"own {k} " * rng) for k, rng in enumerate([20, 30, 10] * 600)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    spread, _ = check_shards(out, 8)
+    share = sum(r["size"] for r in out) / 8
+    assert len(out) == len(rows) and spread < share / 2 and len({r.shard for r in out if r.doc_id == 7 and r["size"] == 216}) > 1
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -108,6 +108,26 @@ def test_trees_lose_no_pair():
                     assert frozenset((a, b)) in got
 
 
+@pytest.mark.parametrize("split,seed", [(3, 5), (1024, 6)])
+def test_large_blocks_match_brute_force(spark, monkeypatch, split, seed):
+    """Chains of near copies in large blocks, whose ends are not alike, with dealt-out shingles and small chunks."""
+    for name, value in (("SMALL_BLOCK", 3), ("CHUNK", 6), ("COMMON", 2), ("SPLIT", split), ("_SEEDS", 1), ("_MORE_SEEDS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(seed)
+    rows = []
+    for g in range(4):
+        text = [f"g{g}w{k}" for k in range(rng.choice([30, 60]))]
+        for step in range(24):
+            rows.append(" ".join(text))
+            for _ in range(rng.choice([1, 1, 2])):
+                text[(3 * step + g) % len(text)] = f"e{rng.randint(0, 10**6)}"
+    for k in range(20):  # texts that share a passage and are otherwise their own
+        rows.append(" ".join([f"p{j}" for j in range(30)] + [f"own{k}x{j}" for j in range(rng.choice([4, 6, 25]))]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (5, 5)], "a long, b long")

@@ -109,3 +109,22 @@ def test_language_cases(spark, odd, empty):
     assert {102, 103, 104, 108} <= und and 109 not in und and 105 not in und
     assert crf.predict(empty, model).count() == 0
     assert {r.lang_pred for r in crf.predict(odd, crf.learn(empty, F.lit(True))).collect()} == {"und"}
+
+
+def test_sample_is_one_text_for_each_id(spark):
+    """Repeated doc_ids give the text with the least hash, whatever the order of rows."""
+    rows = [(1, "good words here", "en"), (1, "AND THESE !!", "en"), (2, "mauvais mots", "fr"), (2, "mauvais mots", "fr"), (3, "x " * 5000, "en")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    a, b = (spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (rows, rows[::-1]))
+    x, y = (passages.learn(d.repartition(2), labels, F.lit(True)) for d in (a, b))
+    assert all(np.array_equal(x.p[k], y.p[k]) for k in x.p)
+    x, y = (crf.learn(d.repartition(2), F.lit(True)) for d in (a, b))
+    assert np.array_equal(x.table, y.table) and x.languages == ["en", "fr"]
+
+
+def test_all_languages_are_learned(spark):
+    docs = spark.createDataFrame([(k, f"wort{k % 80} " * 12, f"l{k % 80:02d}") for k in range(400)], "doc_id long, text string, lang string")
+    model = crf.learn(docs, F.lit(True))
+    assert len(model.languages) == 80
+    got = crf.predict(docs, model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9
