@@ -626,7 +626,7 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) -> DataFrame:
-    """The (a, b) of counts(a, b, c) whose overlap can be large enough.
+    """The rows of counts(a, b, c) whose overlap can be large enough.
 
     Of the two prefixes' ends, take the one that comes first in the ranking: what
     the sets share up to there lies in both prefixes, so it is among the ``c``
@@ -638,7 +638,7 @@ def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) ->
     behind = lambda n: F.expr(f"({n} * {percent} + 99) div 100") - 1  # noqa: E731  n less the prefix
     needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return counts.filter(near & (F.col("c") + more + F.greatest(behind("na"), behind("nb")) >= needed)).select("a", "b")
+    return counts.filter(near & (F.col("c") + more + F.greatest(behind("na"), behind("nb")) >= needed)).select("a", "b", "c")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -684,13 +684,14 @@ def jaccard_members(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     candidates = materialize(possible(counted, nodes, percent, F.least("la", "lb")), "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(nodes.filter("large > 0").select("node")).distinct()
     texts = materialize(contested(wanted, nodes, docs), "contested")
-    # first each set with the least of its candidates; most others are then in one component
-    star = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # first each set with the candidate that it meets most often; most others are then in one component
+    star = candidates.groupBy("b").agg(F.min_by("a", F.struct(-F.col("c"), "a")).alias("a")).select("a", "b")
     roots = components(verified(star, texts, percent))
     rest = apart(candidates, roots)
     if not large.isEmpty():
-        found = more_leaders(large, roots)
-        rest = rest.union(possible(found.withColumn("c", F.lit(1 << 40)), nodes, percent, F.lit(0))).distinct()
+        # pairs that also meet in a small block are candidates already, or cannot qualify
+        found = more_leaders(large, roots).join(counted, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
+        rest = rest.union(possible(found, nodes, percent, F.least("la", "lb")).select("a", "b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
         roots = joined(roots, materialize(verified(rest, texts, percent), "links"))
