@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import begin_task, kept
 from .wordarrays import Words, slices
 
 #: Texts over this many code points are cut up by Spark.
@@ -66,6 +67,7 @@ def _byte_chars() -> dict[int, str]:
 
 _BYTE_CHARS = _byte_chars()
 _coders: dict[str, "Coder"] = {}
+kept.append(_coders)
 
 
 def coder(path: str) -> "Coder":
@@ -330,6 +332,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = Tr
         return [ids, *([c.decode_column(ids)] if decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("bpe")
         c = coder(tokenizer_path)
         for batch in batches:
             for part in slices(batch):
@@ -345,6 +348,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = Tr
     segments = segments.select("_bpe_key", "_bpe_part", F.substring(F.col("text"), F.col("_bpe_part") * split_chars + 1, F.lit(split_chars)).alias("_bpe_segment")).dropDuplicates(["_bpe_key", "_bpe_part"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("bpe")
         c = coder(tokenizer_path)
         for batch in batches:
             for n in range(batch.num_rows):
@@ -355,6 +359,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = Tr
                 )
 
     def join(key, table):
+        begin_task("bpe")
         c = coder(tokenizer_path)
         level = [
             Encoded(r["_bpe_segment"], *[np.frombuffer(r[k], "<i4").astype(np.int64) for k in ("ids", "start", "end")])

@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import begin_task
 from .wordarrays import Words, mix, slices
 
 SAMPLE_DOCS = 300
@@ -349,6 +350,7 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: buckets, languages, sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("crf")
         for batch in batches:
             for part in slices(batch):
                 names, score = shared.value.predict(part.column("text"))

@@ -20,13 +20,14 @@ smallest doc_id that links reach.  The join is exact.
    would need.  Of a larger block each set is paired with the block's leader first.
 4. The number of blocks in which a pair survives bounds its overlap once more
    (``possible``).  The texts of all sets that are left in a pair or a large block
-   are written once (``contested``); pairs are verified on them: first each set
-   with one candidate, then those pairs that are still in different components,
-   with more leaders for large blocks that hold several components.
+   are written once with wider bitmaps (``contested``).  Pairs that these do not rule
+   out (``sifted``) are verified on the texts: first each set with one candidate, then
+   those pairs that are still in different components, with more leaders for large
+   blocks that hold several components.
 5. Large blocks that then still hold sets of different components are split into
    bounded chunks and traversed as in 3: chunks of the block's main component only
    against those of others, node pairs that lie in one component are dropped, and
-   pairs of records are held against bitmaps of WIDE bits.  A large group of near
+   pairs of records are held against the wider bitmaps.  A large group of near
    copies thus costs a number of pairs that grows with its size.
 6. Components by alternating large-star and small-star rounds, each written to
    the shared folder.
@@ -44,7 +45,7 @@ Cases with a defined result
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import begin_task, materialize
 from .wordarrays import Words, mix, shingles, slices
 
 SIZE = 5
@@ -85,7 +86,11 @@ _FANOUT = 8
 _U = np.uint64
 
 
-def _sets(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+#: The sets of the rows of a batch: (row, sorted different 64-bit values) of each row whose set is not empty.
+Sets = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
+
+
+def shingles_of(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted different shingles) of each row with a word."""
     h, bounds = shingles(Words(rows.column("text"), lower=True), SIZE)
     for r in np.flatnonzero(np.diff(bounds)):
@@ -96,10 +101,11 @@ def _key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def shingle_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shingle_sets(docs: DataFrame, sets_of: Sets = shingles_of) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_shingles, node) of every row, and (shingle, seen) of common shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("ngram_join")
         met: set[bytes] = set()
         tokens: list[np.ndarray] = []
         counts = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
@@ -120,7 +126,7 @@ def shingle_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for rows in slices(batch):
                 n, keys = np.zeros(rows.num_rows, np.int64), [b""] * rows.num_rows
-                for r, values in _sets(rows):
+                for r, values in sets_of(rows):
                     n[r], keys[r] = len(values), _key(values)
                     if keys[r] not in met and len(met) < REMEMBERED:
                         met.add(keys[r])
@@ -145,7 +151,7 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+def postings(docs: DataFrame, common: DataFrame, percent: int, sets_of: Sets = shingles_of) -> DataFrame:
     """(shingle, node, meta): the prefix of each different set; meta packs size, place in the prefix and bitmap."""
     ranking = common.orderBy(F.desc("seen"), "shingle").limit(RANKED).toArrow()
     ranked = ranking.column("shingle").to_numpy().view(np.uint64)
@@ -156,12 +162,13 @@ def postings(docs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)  # RANKED entries at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("ngram_join")
         ranked, seen, rank, salts = shared.value
         met: set[bytes] = set()
         for batch in batches:
             for rows in slices(batch):
                 out: list[tuple[np.ndarray, int, int]] = []
-                for _, values in _sets(rows):
+                for _, values in sets_of(rows):
                     key = _key(values)
                     if key in met:
                         continue
@@ -390,35 +397,76 @@ def more_leaders(large: DataFrame, roots: DataFrame) -> DataFrame:
     return _by_leader(rows, _MORE_SEEDS).mapInArrow(pair, "a long, b long").distinct()
 
 
-WIDE = 4096
-
-
-def wide_bitmaps(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, n, wide): the size and a bitmap of WIDE bits of each set."""
+def bitmap(values: np.ndarray) -> bytes:
+    """Eight bits or more for each value, a power of two of them, 512 at least and 2**16 at most."""
+    size = 1 << min(16, max(9, (8 * len(values) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(values) >> _U(20)) % _U(size)] = 1
+    return np.packbits(bits).tobytes()
+
+
+class Bitmaps:
+    """Sizes and bitmaps of sets, as one matrix for each length of bitmap."""
+
+    def __init__(self, n: np.ndarray, maps: list[bytes]):
+        self.n = n
+        self.length = np.array([len(m) for m in maps], np.int64)
+        self.at = np.zeros(len(maps), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for length in np.unique(self.length).tolist():
+            mine = np.flatnonzero(self.length == length)
+            self.at[mine] = np.arange(len(mine))
+            self.rows[length] = np.frombuffer(b"".join([maps[k] for k in mine]), np.uint64).reshape(len(mine), -1)
+
+    def enough(self, x: np.ndarray, other: "Bitmaps", y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets x and the other's sets y can overlap enough, by the bits that one has and the other lacks."""
+        keep = np.zeros(len(x), bool)
+        kinds = self.length[x] << 32 | other.length[y]
+        for kind in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == kind)
+            p, q = kind >> 32, kind & ((1 << 32) - 1)
+            step = max(1, (1 << 24) // max(p, q))
+            for first in range(0, len(mine), step):
+                k = mine[first : first + step]
+                u, v = self.rows[p][self.at[x[k]]], other.rows[q][other.at[y[k]]]
+                u, v = _folded(u, min(p, q) // 8), _folded(v, min(p, q) // 8)
+                both = u & v
+                only_u, only_v = (np.bitwise_count(w ^ both).sum(1).astype(np.int64) for w in (u, v))
+                most = np.minimum(self.n[x[k]] - only_u, other.n[y[k]] - only_v)
+                keep[k] = (100 + percent) * most >= percent * (self.n[x[k]] + other.n[y[k]])
+        return keep
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of so many 64-bit words, which are what the same values give in shorter bitmaps."""
+    while maps.shape[1] > words:
+        maps = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :]
+    return maps
+
+
+def sifted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs(a, b, c) whose bitmaps do not rule them out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
-                maps: list[bytes] = [b""] * rows.num_rows
-                n = np.zeros(rows.num_rows, np.int64)
-                for r, values in _sets(rows):
-                    bits = np.zeros(WIDE, np.uint8)
-                    bits[(mix(values) >> _U(20)) % _U(WIDE)] = 1
-                    maps[r], n[r] = np.packbits(bits).tobytes(), len(values)
-                yield pa.RecordBatch.from_pydict({"node": rows.column("node"), "n": n, "wide": pa.array(maps, pa.binary())})
+            u, v = (Bitmaps(batch.column(f"n{k}").to_numpy(), batch.column(f"bits{k}").to_pylist()) for k in "ab")
+            every = np.arange(batch.num_rows)
+            yield batch.select(["a", "b", "c"]).filter(pa.array(u.enough(every, v, every, percent)))
 
-    return _of_few(texts, nodes).select("node", "text").mapInArrow(work, "node long, n long, wide binary")
+    return pairs.select("a", "b", F.col("c").cast("long").alias("c"), "na", "bitsa", "nb", "bitsb").mapInArrow(sift, "a long, b long, c long").distinct()
 
 
 def _of_few(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of ``nodes(node)``."""
-    if nodes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        nodes = F.broadcast(nodes)
-    return texts.join(nodes, "node", "left_semi")
+    """The texts of ``nodes(node)`` where these are few; of further nodes too where they are many."""
+    if nodes.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return texts
+    return texts.join(F.broadcast(nodes), "node", "left_semi")
 
 
-def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, each with the text of its representative: the one pass that moves texts."""
+def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, sets_of: Sets) -> DataFrame:
+    """(node, n, bits, text) of the wanted nodes: size and bitmap of its set, and the text of its representative."""
     reps = wanted.join(nodes.select("node", "rep"), "node")
     if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         reps = F.broadcast(reps)
@@ -430,25 +478,13 @@ def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
         for batch in batches:
             for part in slices(batch):
                 node = part.column("node").to_pylist()
-                keep = [r for r, values in _sets(part) if int.from_bytes(_key(values)[:8], "big") >> 4 == node[r] and node[r] not in met]
+                found = [(r, len(v), bitmap(v)) for r, v in sets_of(part) if int.from_bytes(_key(v)[:8], "big") >> 4 == node[r] and node[r] not in met]
                 if len(met) < REMEMBERED:
-                    met.update(node[r] for r in keep)
-                yield part.take(pa.array(keep, pa.int64()))
-
-    return rows.mapInArrow(own, "node long, text string")
-
+                    met.update(node[r] for r, *_ in found)
+                kept = part.take(pa.array([r for r, *_ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column("node"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([m for *_, m in found], pa.binary()), kept.column("text")], ["node", "n", "bits", "text"])
 
-def _wide_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can overlap enough, by the bits that one set has and the other lacks."""
-    keep = np.zeros(len(x), bool)
-    for at in range(0, len(x), 20_000):
-        i, j = x[at : at + 20_000], y[at : at + 20_000]
-        both = wide[i] & wide[j]
-        only_i = np.bitwise_count(wide[i] ^ both).sum(1).astype(np.int64)
-        only_j = np.bitwise_count(wide[j] ^ both).sum(1).astype(np.int64)
-        most = np.minimum(n[i] - only_i, n[j] - only_j)
-        keep[at : at + 20_000] = (100 + percent) * most >= percent * (n[i] + n[j])
-    return keep
+    return rows.mapInArrow(own, "node long, n long, bits binary, text string")
 
 
 def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFrame) -> DataFrame | None:
@@ -504,16 +540,15 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFram
     zero = F.lit(0)
     whole = F.array(key(zero, zero, zero, zero, F.lit(-1)))
     spread = rest.select("shingle", "node", "meta", "comp", F.explode(F.when(F.col("total") > CHUNK, F.concat(*every)).otherwise(whole)).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
-    maps = materialize(wide_bitmaps(rest.select("node").distinct(), texts), "wide")
-    spread = spread.join(maps, "node")
+    spread = spread.join(_of_few(texts, rest.select("node").distinct()).select("node", "n", "bits"), "node")
 
     names = ["shingle", "b1", "t1", "b2", "t2"]
 
     def pairs(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         meta, node, n, comp, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("meta", "node", "n", "comp", "side"))
         x, y = forest_pairs(group, meta, percent, side, comp, first=True)
-        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(meta), -1)
-        keep = _wide_enough(x, y, n, wide, percent)
+        maps = Bitmaps(n, rows.column("bits").to_pylist())
+        keep = maps.enough(x, maps, y, percent)
         x, y = node[x[keep]], node[y[keep]]
         return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -539,7 +574,7 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFram
     return spread.repartition(*names).sortWithinPartitions(*names).mapInArrow(traverse, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, sets_of: Sets = shingles_of) -> DataFrame:
     """The different (a, b) whose whole texts(node, text) qualify.
 
     Pairs are grouped by a, at most about ``GROUP`` to a group, so a's text moves
@@ -549,13 +584,14 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "s").cast("int").alias("salt"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     rows = heads.unionByName(salted.withColumn("node", F.col("b")))
+    texts = _of_few(texts.select("node", "text"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     with_text = rows.join(texts, "node").select("a", "salt", "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, against = None, None
         for batch in batches:
             for part in slices(batch):
-                sets = dict(_sets(part))
+                sets = dict(sets_of(part))
                 found: list[tuple[int, int]] = []
                 for r, (a, salt, b) in enumerate(zip(*[part.column(k).to_pylist() for k in ("a", "salt", "b")])):
                     if b is None:
@@ -669,38 +705,40 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return marked.filter("_mark is null").select(*columns).unionByName(several)
 
 
-def jaccard_members(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_members(docs: DataFrame, percent: int = PERCENT, sets_of: Sets = shingles_of) -> DataFrame:
     """doc_id, text_hash, n_shingles, class and component_id of every row.
 
+    ``sets_of`` says what the sets are that rows are compared by: shingles, or others.
     ``class`` tells components apart, null for a row without a word; two of them
     have the same component_id only where different texts have one doc_id.
     """
-    sets, common = shingle_sets(docs)
-    pairs, large = blocks(postings(docs.filter("doc_id is not null"), common, percent), percent)
+    sets, common = shingle_sets(docs, sets_of)
+    pairs, large = blocks(postings(docs.filter("doc_id is not null"), common, percent, sets_of), percent)
     known = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     in_large = large.groupBy("node").agg(F.count("*").alias("large"))
     nodes = materialize(known.join(in_large, "node", "left").fillna(0, ["large"]), "nodes")
     counted = materialize(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")), "counted")
     candidates = materialize(possible(counted, nodes, percent, F.least("la", "lb")), "candidates")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(nodes.filter("large > 0").select("node")).distinct()
-    texts = materialize(contested(wanted, nodes, docs), "contested")
+    texts = materialize(contested(wanted, nodes, docs, sets_of), "contested")
+    candidates = materialize(sifted(candidates, texts, percent), "sifted")
     # first each set with the candidate that it meets most often; most others are then in one component
     star = candidates.groupBy("b").agg(F.min_by("a", F.struct(-F.col("c"), "a")).alias("a")).select("a", "b")
-    roots = components(verified(star, texts, percent))
+    roots = components(verified(star, texts, percent, sets_of))
     rest = apart(candidates, roots)
     if not large.isEmpty():
         # pairs that also meet in a small block are candidates already, or cannot qualify
         found = more_leaders(large, roots).join(counted, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
-        rest = rest.union(possible(found, nodes, percent, F.least("la", "lb")).select("a", "b")).distinct()
+        rest = rest.union(sifted(possible(found, nodes, percent, F.least("la", "lb")), texts, percent).select("a", "b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        roots = joined(roots, materialize(verified(rest, texts, percent), "links"))
+        roots = joined(roots, materialize(verified(rest, texts, percent, sets_of), "links"))
     opened = None if large.isEmpty() else open_pairs(large, roots, percent, texts)
     if opened is not None:
         # pairs that also meet in a small block have been looked at
         left = materialize(opened.distinct().join(counted, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "open-pairs")
         if not left.isEmpty():
-            roots = joined(roots, materialize(verified(left, texts, percent), "links"))
+            roots = joined(roots, materialize(verified(left, texts, percent, sets_of), "links"))
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = tied.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return tied.join(least, "comp", "left").select(

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import begin_task
 from .wordarrays import Words, mix, slices
 
 PASSAGE_WORDS = 40
@@ -215,6 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
     rows = rows.groupBy("doc_id").agg(text.alias("text"), F.min("quality").cast("int").alias("quality"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("passages")
         for batch in batches:
             for part in slices(batch):
                 x = passages(part.column("text"))
@@ -247,6 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("passages")
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("text")))], [*part.schema.names, "score"])

@@ -88,6 +88,11 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def spotsigs_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with like fingerprints, by pruned Jaccard over partitions of set length."""
+    return spotsigs.near_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.col("copy").cast("long").alias("copy"), "order_key")
@@ -125,5 +130,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op4_site_style_tree": op4_site_style_tree, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op4_site_style_tree": op4_site_style_tree, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe, "spotsigs_near": spotsigs_near}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}

@@ -9,9 +9,12 @@ temporary folder is made.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -61,6 +64,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What tasks keep in a Python worker for the next task, and the operator whose tasks ran last.
+kept: list[dict] = []
+_last: list[str] = [""]
+
+
+def begin_task(operator: str) -> None:
+    """Called first in a task: a reused worker gives back what tasks of another operator left in it."""
+    if _last[0] != operator:
+        _last[0] = operator
+        for cache in kept:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 #: Bytes of input for each partition of a result that is written by partition.
 PARTITION_BYTES = 256 << 20
 

@@ -3,10 +3,15 @@
 A signature is a common word (the anchor) with the next ``CHAIN`` content words
 after it.  A text's fingerprint is the set of its signatures, as sorted 32-bit
 hashes written in Base64; the likeness of two fingerprints is the Jaccard
-similarity of the sets.  ``near_documents`` finds all pairs over a threshold:
-sets are partitioned by length so that only neighbouring partitions can match,
-each set is posted under its rarest signatures only, and a pair whose lengths
-alone rule it out is dropped before the sets are compared.
+similarity of the sets.
+
+``near_components`` finds all documents whose sets have a Jaccard similarity over a
+threshold, without a pair for each two of them: each set is posted under its rarest
+signatures only, sets are partitioned by length so that only neighbouring
+partitions can match, and pairs that lengths, places in the postings or bitmaps rule
+out are dropped before the sets are compared.  ``near_documents`` lists the pairs
+themselves, for tables of few near documents: a signature that many sets share
+gives a pair for each two of its sets.
 
 A word counts without the punctuation around it, in lower case (A-Z).
 
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
 from .scratch import materialize, n_partitions
 from .wordarrays import Words, mix, slices
 
@@ -180,6 +186,20 @@ def signature_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, sigs array<int>")
 
 
+def _sets(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for r, values in enumerate(signatures(rows.column("text"))):
+        if len(values):
+            yield r, np.sort(mix(values.astype(np.uint64)))
+
+
+def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_signatures, component_id of every row: the smallest doc_id that links of likeness
+    ``percent``/100 or more reach.  A row without a word is linked with nothing, and its
+    component_id is its doc_id; a row without a doc_id is linked with nothing and has none."""
+    found = ngram_join.jaccard_members(docs, percent, _sets)
+    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), "component_id")
+
+
 def near_documents(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b, likeness): pairs of representatives of different signature sets; a < b.
 

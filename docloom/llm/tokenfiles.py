@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .scratch import materialize, n_partitions
+from .scratch import begin_task, materialize, n_partitions
 from .wordarrays import slices
 
 _NULL = -(2**63)
@@ -50,6 +50,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, root = fs.FileSystem.from_uri(folder)
+        begin_task("bpe")
         c = coder(tokenizer_path)
         kind = np.dtype("<u2" if c.vocabulary_size <= 1 << 16 else "<u4")
         ids_tmp = f"{root}/_tmp-{part}-{attempt}"

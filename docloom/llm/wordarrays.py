@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .scratch import kept
+
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -23,6 +25,7 @@ _VALUE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64
 _BASE = 0x9E6C63D0876A9A47 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
+kept.append(_powers)
 
 
 def _power(which: str, n: int) -> np.ndarray:

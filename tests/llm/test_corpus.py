@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -10,6 +11,7 @@ import corpus_pipeline
 from docloom.llm import mixing, queries, sharding, sitestyle
 
 from ..conftest import SF, same_rows
+from .conftest import sentence
 from .test_joins import shingles
 
 
@@ -84,6 +86,23 @@ def test_placing_prefers_the_dot_product():
     assert sharding.place(np.zeros((0, 3)), 3).tolist() == []
 
 
+def test_placing_matches_plain():
+    """Each item, largest first, goes where its dot product with what is left is highest."""
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(1, 100, (60, 3)).astype(float)
+    got = sharding.place(vectors, 5)
+    share = vectors / vectors.sum(0) * 5
+    left = [[1.0] * 3 for _ in range(5)]
+    for i in sorted(range(60), key=lambda i: (-share[i][0], -share[i].sum(), i)):
+        fits = [s for s in range(5) if left[s][0] >= share[i][0]]
+        if fits:
+            best = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(left[s], share[i])), 12), -s))
+        else:
+            best = max(range(5), key=lambda s: (left[s][0], -s))
+        assert got[i] == best
+        left[best] = [a - b for a, b in zip(left[best], share[i])]
+
+
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class="top menu">m</div>
 <article><h1>T &amp; &eacute;</h1><p>a\n  b<b>c</b><br>d<p>e<ul><li>1<li>2</ul><div class="comments"><p>bad</div><form><p>x</p></form></article>
 <script>var t="</p>";</script><!-- no --><aside>s</aside><footer>f</footer>"""
@@ -200,6 +219,43 @@ def test_repeated_rows_over_a_share_spread_out(spark):
     assert len(out) == len(rows) and spread < share / 2 and len({r.shard for r in out if r.doc_id == 7 and r["size"] == 216}) > 1
 
 
+def test_pipeline_end_to_end(spark, tmp_path):
+    """run() against its parts: scores and languages of the operators, a plain search for near duplicates, SQL, and the library."""
+    import duckdb
+
+    from docloom.llm import bpe
+
+    rng = random.Random(12)
+    texts = [sentence(rng, "en" if k % 3 else "fr", rng.randint(20, 60)) for k in range(120)]
+    texts = [t.upper() + " !! ###" if k % 5 == 0 else t for k, t in enumerate(texts)] + texts[:25] + [None, "", "12 !!"]
+    rows = [(k, t, None if t is None else "en" if k % 3 else "fr", f"s{k % 2}", None if t is None else len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 != 0)) for k in range(120)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = {r.doc_id: r.score for r in queries.op2_quality_classifier(spark, str(tmp_path)).collect()}
+    left = [r for r in rows if score[r[0]] >= queries.KEEP_SCORE]
+    first = spark.createDataFrame(left, docs.schema)
+    lang = {r.doc_id: (r.lang_pred, r.lang_score) for r in queries.languages(first).collect()}
+    left = [r for r in left if lang[r[0]][0] != "und" and lang[r[0]][1] >= corpus_pipeline.KEEP_LANGUAGE]
+    sets = {r[0]: shingles(r[1]) for r in left}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    left = [r for r in left if group[r[0]] == r[0]]
+    assert 40 < len(left) < 110
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    c.executemany("insert into documents values (?, ?, ?, ?, ?)", left)
+    mixed = c.execute(f"select doc_id, text from ({queries.OP7_SQL})").fetchall()
+    t = bpe.coder(queries.tokenizer_file()).tokenizer
+    want = Counter((i, len(ids := t.encode(x, add_special_tokens=False).ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, x in mixed)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -195,3 +195,26 @@ def test_near_documents(spark, odd):
         first.setdefault(sets[i], i)
     ids = [i for i in sets if sets[i] and first[sets[i]] == i]
     assert got == {(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.75} and got
+
+
+def test_near_components(spark):
+    """Near copies of texts with anchors, and rows that are linked with nothing, against a plain search."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(8):
+        words = sentence(rng, "en", rng.choice([30, 80, 200])).split(" ")
+        for _ in range(rng.randint(1, 7)):
+            text = list(words)
+            for _ in range(rng.choice([0, 1, 2, 12])):
+                text[rng.randrange(len(text))] = f"new{rng.randint(0, 99)}"
+            rows.append(" ".join(text))
+    rows = list(enumerate([*rows, "", None, "word", "word"])) + [(None, rows[0])]
+    sets = [spots(t) if i is not None else set() for i, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.75 and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    want = Counter((i, len(spots(t)), None if i is None else min(j for (j, _), h in zip(rows, group) if h == g)) for (i, t), g in zip(rows, group))
+    got = spotsigs.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, got.collect())) == want and len(set(group)) < len(rows) - 5

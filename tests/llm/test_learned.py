@@ -128,3 +128,47 @@ def test_all_languages_are_learned(spark):
     assert len(model.languages) == 80
     got = crf.predict(docs, model).collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9
+
+
+def test_attention_matches_plain():
+    """The score of each text against loops over its passages and words."""
+    texts = ["Alpha beta. " * 45, "one two three", "", "x! " * 130]
+    model = passages.Model(5)
+    rng = np.random.default_rng(2)
+    model.mean, model.scale = rng.normal(size=passages._SHAPE).astype(np.float32), rng.random(passages._SHAPE).astype(np.float32)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for text, score in zip(texts, model.scores(pa.array(texts))):
+        x = passages.passages(pa.array([text]))
+        words = text.split()
+        n = max(1, -(-len(words) // passages.PASSAGE_WORDS))
+        assert len(x.shape) == n and x.words[-1] == len(words)
+        hidden, raw = [], []
+        for k in range(n):
+            buckets = x.bucket[k * passages.PASSAGE_WORDS : (k + 1) * passages.PASSAGE_WORDS]
+            mean = sum((p["E"][b] for b in buckets), np.zeros(passages._VECTOR)) / max(1, len(buckets))
+            h = np.tanh((x.shape[k] - model.mean) * model.scale @ p["W"] + mean @ p["X"] + p["b"])
+            hidden.append(h)
+            raw.append(float(p["w"] @ (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))))))
+        weights = np.exp(raw) / np.exp(raw).sum()
+        z = sum(a * h for a, h in zip(weights, hidden))
+        assert abs(score - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-4
+
+
+def test_document_language_matches_all_labellings():
+    """The winning language and its share against a sum over every labelling of the words."""
+    from itertools import product
+
+    model = crf.fit(["the house and the river", "la maison et la pierre", "das haus und der stein"] * 4, ["en", "fr", "de"] * 4)
+    model.switch = np.array([[0.5, -0.2, 0.1], [0.0, 0.7, -0.4], [0.3, -0.1, 0.2]])
+    texts = ["the maison und 12", "la la stein", "x", "12 the !! haus river"]
+    names, scores = model.predict(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        f = crf.features(pa.array([text]))
+        e = model.emissions(f)[f.word]
+        total = np.zeros(3)
+        for labels in product(range(3), repeat=len(e)):
+            weight = np.exp(sum(e[k, j] for k, j in enumerate(labels)) + sum(model.switch[a, b] for a, b in zip(labels, labels[1:])))
+            for k, j in enumerate(labels):
+                total[j] += weight * any(map(str.isalpha, text.split()[k]))
+        share = np.array(total) / total.sum()
+        assert name == model.languages[int(share.argmax())] and abs(score - share.max()) < 1e-6

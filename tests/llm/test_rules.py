@@ -47,6 +47,26 @@ def test_cases(spark, odd, empty, marks):
     assert none.filter("kept = base_failed").count() == 0
 
 
+def test_kept_matches_plain(spark):
+    """base_failed and kept against loops over the learned rules and plain statistics."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(8 + k % 30)) + (" ###" * (k % 5) if k % 3 == 0 else "") + (" a b c d e" * 9 if k % 11 == 0 else "")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(300)], "doc_id long, quality int")
+    learned = rules.learn(rules.text_statistics(docs).cache(), labels)
+    assert learned
+    got = {r.doc_id: r for r in rules.apply_rules(docs, labels).collect()}
+    for k, text in rows:
+        words = text.split()
+        n, chars, symbols, dup, repeat = plain(text)
+        values = {
+            "words": n, "word_length": chars / n, "symbol_share": symbols / chars, "upper_share": sum(c.isupper() for c in text) / chars,
+            "repeat_share": repeat / n, "dup_line_share": dup / 1, "distinct_share": len(set(words)) / n,
+        }
+        failed = n < 10 or 100 * repeat > 20 * n
+        hit = [i + 1 for i, rule in enumerate(learned) if all((values[x.feature] > x.threshold) == x.above for x in rule)]
+        assert got[k].base_failed == failed and got[k].kept == (not failed and not hit) and got[k].rule == (hit[0] if hit else None)
+
+
 def test_native(spark, odd, marks):
     plan = rules.apply_rules(odd.select("doc_id", "text"), marks)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
