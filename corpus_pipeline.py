@@ -3,6 +3,19 @@
 Each stage takes (spark, docs, sf_dir), where docs has the columns of the table
 ``documents`` (further ones are left out), and returns a DataFrame; it is written as Parquet and read again
 as the next stage's docs.  The last stage returns the encoded documents.
+
+Cases with a defined result, in all stages
+  null text       scored like an empty text by the first stage; without a letter, so
+                  the second drops it
+  empty text      the same
+  very long text  read whole by every stage
+  null doc_id     kept or dropped by its text; linked with no other, so near duplicates
+                  among such rows all stay; drawn with the key "null"
+  repeated rows   judged alike by the first two stages; one of each group of near
+                  duplicates stays, of equal doc_ids the least hash of a text
+  ties            a score equal to a limit keeps the document
+  empty table     an empty result with the stage's columns
+  extra columns   left out
 """
 
 from __future__ import annotations
@@ -34,14 +47,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; a null doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    classes = ngram_join.jaccard_components(docs)
-    others = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    # rows that repeat the kept one
-    first = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(kept.filter("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
