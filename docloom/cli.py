@@ -1,7 +1,8 @@
-"""Command line: ``python -m docloom.cli run|validate|generate|tree ...``.
+"""Command line: ``python -m docloom.cli run|validate|generate|converse|tree ...``.
 
 ``run`` prints the execution order of step plans; actions are not executed, and
-``execute_command`` never is.  ``generate`` writes documents from recorded answers.
+``execute_command`` never is.  ``generate`` writes documents and ``converse`` answers
+conversations, both from recorded answers.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .operators import agent, docgen
+from .model import LOG, TOOL_CALLS
+from .operators import agent, docgen, tools
 from .plans import parse, waves
 from .sources import files
 
@@ -32,6 +34,9 @@ def main(arguments: list[str] | None = None) -> None:
     generate.add_argument("answers", help="JSON lines of request_sha, content")
     generate.add_argument("--output", default=None)
     generate.add_argument("--overwrite", action="store_true")
+    converse = commands.add_parser("converse")
+    converse.add_argument("log", help="JSON lines of conv_id, turn, role, content")
+    converse.add_argument("answers", help="JSON lines of request_sha, content, tool_calls")
     tree = commands.add_parser("tree")
     tree.add_argument("root")
     options = parser.parse_args(arguments)
@@ -54,7 +59,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif options.command == "generate":
         asked = spark.read.schema("id long, category string, topic string, context string").json(options.requests)
         answers = spark.read.schema("request_sha string, content string").json(options.answers)
-        made = docgen.generate(asked, agent.Recorded(answers.withColumn("tool_calls", F.lit(None))))
+        made = docgen.generate(asked, agent.responder(settings, recordings=answers.withColumn("tool_calls", F.lit(None))))
         output = options.output or settings.output
         os.makedirs(output, exist_ok=True)
         existing = spark.read.format("tree").option("content", "false").option("gitignore", "false").load(output)
@@ -64,6 +69,15 @@ def main(arguments: list[str] | None = None) -> None:
         write.select(relative.alias("path"), F.col("document").alias("content")).write.format("documents").mode("overwrite" if options.overwrite else "append").save(output)
         made.filter("error is not null").select("id", "error.message").show(truncate=False)
         refused.select("id", "error.message").show(truncate=False)
+    elif options.command == "converse":
+        from .queries import _cut
+
+        _cut(spark)
+        log_rows = spark.read.schema(LOG).json(options.log)
+        answers = spark.read.schema(f"request_sha string, content string, tool_calls {TOOL_CALLS}").json(options.answers)
+        responder = agent.responder(settings, recordings=answers)
+        _, outcomes = agent.run(log_rows, responder, tools.file_tools(), most_rounds=settings.max_rounds, compact_to=settings.context_tokens)
+        outcomes.select("conv_id", "answer", "error.message").show(1000, truncate=False)
     else:
         spark.read.format("tree").option("ignore", "\n".join(settings.ignore)).option("content", "false").load(options.root).orderBy("path").show(1000, truncate=False)
     log.info("%s done", options.command)

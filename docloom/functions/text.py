@@ -14,6 +14,10 @@ FENCE = "```"
 _TRIM = r"(?U)^\s+|\s+\z"
 
 
+#: The line of a first fence with its info string, what follows it, and the next line of a fence or the end.
+_BLOCK = r"(?mdU)^[^\S\n]*```([^\n]*)(?:\n|\z)(?s:(.*?))(?:^[^\S\n]*```|\z)"
+
+
 def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, _TRIM, "")
 
@@ -47,15 +51,11 @@ def first_block(c: Column) -> Column:
     An info string of exactly ``json`` marks JSON, any other YAML.  A block that
     is not closed runs to the end.  No block, or an empty first one, gives null.
     """
-    ls = lines(c)
-    is_fence = lambda line: trim_space(line).startswith(FENCE)
-    places = F.filter(F.transform(ls, lambda line, i: F.when(is_fence(line), i)), lambda i: i.isNotNull())
-    start = F.get(places, F.lit(0))
-    end = F.coalesce(F.get(places, F.lit(1)), F.size(ls))
-    body = F.array_join(F.transform(F.slice(ls, start + 2, F.greatest(end - start - 1, F.lit(0))), lambda line: F.concat(line, F.lit("\n"))), "")
-    info = trim_space(strip_all_prefixes(trim_space(F.get(ls, start)), FENCE))
+    inside = F.replace(F.regexp_extract(c, _BLOCK, 2), F.lit("\r\n"), F.lit("\n"))
+    body = F.when((inside == "") | inside.endswith("\n"), inside).otherwise(F.concat(inside, F.lit("\n")))
+    info = trim_space(strip_all_prefixes(trim_space(F.regexp_extract(c, _BLOCK, 1)), FENCE))
     block = F.struct(F.when(info == "json", "json").otherwise("yaml").alias("format"), body.alias("body"))
-    return F.when(start.isNotNull() & (body != ""), block)
+    return F.when(inside != "", block)
 
 
 def extension(path: Column) -> Column:

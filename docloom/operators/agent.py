@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import errors
+from ..config import Config
+from ..errors import DocloomError
 from ..functions.text import trim_space
 from ..model import MOST_ROUNDS, TOOL_CALLS
 from . import conversation
@@ -47,6 +50,33 @@ class Template:
         return requests.select("conv_id", self._content.alias("content"), self._calls.cast(TOOL_CALLS).alias("tool_calls"))
 
 
+#: Each kind of responder: the model where none is set, whether tools are called, whether answers come in chunks.
+RESPONDERS = {"recorded": ("recordings", True, False), "template": ("expression", True, False)}
+
+
+def responder(settings: Config, *, recordings: DataFrame | None = None, content: Column | None = None, tool_calls: Column | None = None) -> Responder:
+    """The responder that the settings name; an unknown one is an error."""
+    if settings.responder == "recorded" and recordings is not None:
+        return Recorded(recordings)
+    if settings.responder == "template" and content is not None:
+        return Template(content, tool_calls)
+    why = "nothing to answer from for " if settings.responder in RESPONDERS else "Unknown provider: "
+    raise DocloomError("provider.auth", why + settings.responder)
+
+
+def responders(spark: SparkSession) -> DataFrame:
+    """(name, model, tools, streaming) of every kind."""
+    return spark.createDataFrame([(k, *v) for k, v in RESPONDERS.items()], "name string, model string, tools boolean, streaming boolean")
+
+
+def chosen(asked: DataFrame) -> DataFrame:
+    """asked(responder, model, ...) with the kind's model where none is given, its abilities, and an error for an unknown kind."""
+    known = responders(asked.sparkSession).select(F.col("name").alias("responder"), F.col("model").alias("_model"), "tools", "streaming")
+    found = asked.join(F.broadcast(known), "responder", "left")  # a row for each kind
+    problem = F.when(F.col("_model").isNull(), errors.error("provider.auth", F.concat(F.lit("Unknown provider: "), F.coalesce("responder", F.lit("")))))
+    return found.withColumn("model", F.coalesce("model", "_model")).withColumn("error", problem).drop("_model")
+
+
 def request_key(request: Column) -> Column:
     return F.sha2(request.cast("binary"), 256)
 

@@ -8,6 +8,7 @@ round in which all its dependencies are done.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,25 +36,26 @@ def validate(steps: DataFrame) -> DataFrame:
 def waves(steps: DataFrame, *, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """(plan, id, wave) of every id that can run; ids that never can are left out.
 
-    Each round settles one level of all plans: an edge whose dependency is done is
-    dropped, and a step without edges left is done next.  Rows of settled steps
-    leave the working set, so a round costs what is still open.
+    A step carries the number of its dependencies that are still open.  A round
+    takes away those that the last wave has done and writes what is open and what
+    has become ready; a step without open ones is of the next wave and leaves the
+    working set.
     """
-    ids = steps.select("plan", "id").distinct()
-    edges = steps.select("plan", "id", F.explode("deps").alias("dep")).distinct()
-    ready = ids.join(edges.select("plan", "id"), ["plan", "id"], "left_anti")
-    done = checkpoint(ready.withColumn("wave", F.lit(0).cast("long")))
-    edges = checkpoint(edges)
-    latest, all_done, wave = done, done, 0
+    asked = steps.select("plan", "id", F.explode_outer(F.array_distinct("deps")).alias("dep")).distinct()
+    edges = checkpoint(asked)
+    state = checkpoint(edges.groupBy("plan", "id").agg(F.count("dep").alias("open")))
+    done, wave = [], 0
     while True:
+        ready = state.filter("open = 0").select("plan", "id", F.lit(wave).cast("long").alias("wave"))
+        n_ready, n_open = state.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).head()
+        done.append(ready)
+        if not n_ready or not n_open:
+            return reduce(DataFrame.unionByName, done)
+        settled = ready.select("plan", F.col("id").alias("dep"))
+        fewer = edges.join(settled, ["plan", "dep"]).groupBy("plan", "id").agg(F.count("*").alias("less"))
+        left = state.filter("open > 0").join(fewer, ["plan", "id"], "left")
+        state = checkpoint(left.select("plan", "id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
         wave += 1
-        settled = latest.select("plan", F.col("id").alias("dep"))
-        left = checkpoint(edges.join(settled, ["plan", "dep"], "left_anti").select("plan", "id", "dep"))
-        moved = edges.join(settled, ["plan", "dep"], "left_semi").select("plan", "id").distinct()
-        latest = checkpoint(moved.join(left.select("plan", "id"), ["plan", "id"], "left_anti").withColumn("wave", F.lit(wave).cast("long")))
-        if latest.isEmpty():
-            return all_done
-        all_done, edges = all_done.unionByName(latest), left
 
 
 def deadlocks(steps: DataFrame, settled: DataFrame) -> DataFrame:

@@ -35,23 +35,30 @@ def status(repositories: DataFrame) -> DataFrame:
 
 
 def status_text(repositories: DataFrame) -> DataFrame:
-    """(repository, text): a line for each entry in order of paths, or ``Clean``."""
-    found = status(repositories).filter("error is null")
-    lines = found.groupBy("repository").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "status"))), lambda e: F.concat(e["status"], F.lit(" "), e["path"], F.lit("\n"))), "").alias("text"))
-    return repositories.select("repository").distinct().join(lines, "repository", "left").select("repository", F.coalesce("text", F.lit("Clean")).alias("text"))
+    """(repository, text, error): a line for each entry in order of paths, or ``Clean``; a null text and the error where git fails."""
+    different = repositories.select("repository").distinct()
+    entries = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("path", "status"))))
+    lines = F.array_join(F.transform(entries, lambda e: F.concat(e["status"], F.lit(" "), e["path"], F.lit("\n"))), "")
+    found = status(different).groupBy("repository").agg(lines.alias("text"), F.max("error").alias("error"))
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit("Clean")))
+    return different.join(found, "repository", "left").select("repository", text.alias("text"), "error")
 
 
 def diff_stats(repositories: DataFrame) -> DataFrame:
-    """(repository, path, insertions, deletions) between index and working tree; nulls for binary files."""
+    """(repository, path, insertions, deletions, error) between index and working tree; nulls for
+    binary files; a row with an error where git fails."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for repository in frame["repository"]:
-                for line in filter(None, _git(repository, "diff", "--numstat", "--no-renames", "-z")[0].split("\0")):
+                out, problem = _git(repository, "diff", "--numstat", "--no-renames", "-z")
+                for line in filter(None, out.split("\0")):
                     plus, minus, path = line.split("\t", 2)
-                    rows.append((repository, path, int(plus) if plus != "-" else None, int(minus) if minus != "-" else None))
-            out = pd.DataFrame(rows, columns=["repository", "path", "insertions", "deletions"])
+                    rows.append((repository, path, int(plus) if plus != "-" else None, int(minus) if minus != "-" else None, None))
+                if problem is not None:
+                    rows.append((repository, None, None, None, problem))
+            out = pd.DataFrame(rows, columns=["repository", "path", "insertions", "deletions", "error"])
             yield out.astype({"insertions": "Int64", "deletions": "Int64"})
 
-    return repositories.select("repository").mapInPandas(work, "repository string, path string, insertions long, deletions long")
+    return repositories.select("repository").mapInPandas(work, "repository string, path string, insertions long, deletions long, error string")

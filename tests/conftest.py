@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 from pathlib import Path
 
@@ -11,6 +12,24 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Seconds that one test may take.
+MOST_SECONDS = 240
+
+
+@pytest.fixture(autouse=True)
+def limit():
+    """A test that never ends fails instead of stopping the others."""
+
+    def late(*_):
+        raise TimeoutError(f"the test took over {MOST_SECONDS} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(MOST_SECONDS)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

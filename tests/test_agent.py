@@ -1,8 +1,11 @@
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import config
+from docloom.errors import DocloomError
 from docloom.model import LOG
 from docloom.operators import agent, conversation, docgen, tools
 
@@ -68,6 +71,48 @@ def test_file_tools(spark, tmp_path):
     assert [r.name for r in registry.definitions(spark).collect()] == ["read_file", "write_file"]
 
 
+def test_refused_calls_have_no_effect(spark, tmp_path):
+    """Neither a call of another tool nor one that is refused writes, and a good one writes once."""
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text("old")
+    rows = [
+        ("read_file", f'{{"path": "{tmp_path}/a", "content": "new"}}'), ("delete_file", f'{{"path": "{tmp_path}/b", "content": "new"}}'),
+        ("write_file", f'{{"path": "{tmp_path}/c"}}'), ("write_file", f'{{"path": "{tmp_path}/d", "content": "new"}}'), (None, None),
+    ]
+    done = tools.file_tools().execute(spark.createDataFrame(rows, "name string, arguments string")).checkpoint()
+    assert [(tmp_path / n).read_text() for n in ("a", "b", "c", "d")] == ["old"] * 3 + ["new"]
+    got = {r.name: r for r in done.filter("error is null").collect()}
+    assert got["read_file"].result.output == "old" and set(got) == {"read_file", "write_file"}
+    assert sorted(r.error.message for r in done.filter("error is not null").collect()) == ["Missing content parameter", "Tool not found: ", "Tool not found: delete_file"]
+
+
+def test_effects_happen_once(spark, tmp_path):
+    log_file = f"{tmp_path}/calls"
+
+    @F.pandas_udf("struct<output:string,error:string>")
+    def note(a: pd.Series) -> pd.DataFrame:
+        with open(log_file, "a") as f:
+            f.writelines(f"{x}\n" for x in a)
+        return pd.DataFrame([(x, None) for x in a], columns=["output", "error"])
+
+    registry = tools.Registry()
+    registry.register(tools.Tool("note", "", "{}", note.asNondeterministic()))
+    calls = spark.createDataFrame([("note", f'{{"k": {k}}}') for k in range(5)] + [("other", "{}")], "name string, arguments string")
+    done = registry.execute(calls).checkpoint()
+    assert done.filter("error is null").count() == 5 and done.filter("result.output like '%3%'").count() == 1
+    with open(log_file) as f:
+        assert sorted(f) == [f'{{"k": {k}}}\n' for k in range(5)]
+
+
+def test_responder_by_settings(spark):
+    asked = log(spark, [(1, 0, "user", "q")])
+    made = agent.responder(config.Config(responder="template"), content=F.lit("a"))
+    assert agent.run(asked, made, tools.Registry())[1].head().answer == "a"
+    for settings in (config.Config(responder="live"), config.Config(responder="recorded")):
+        with pytest.raises(DocloomError):
+            agent.responder(settings)
+
+
 CALL = "array(named_struct('id', 'c', 'function', named_struct('name', '{}', 'arguments', '{}')))"
 
 

@@ -5,16 +5,16 @@ import pytest
 from docloom.plans import parse, waves
 
 YAML = """
-name: Test Plan
-description: A test plan
+name: Harbour guide
+description: What the ferries need
 steps:
-  - id: step1
-    description: Scan repo
+  - id: quay
+    description: Look at every pier
     action:
       type: scan_repository
       params: null
 """
-JSON = '{"name": "Test Plan", "description": "d", "steps": [{"id": "s", "description": "on", "action": {"type": "agent_task", "params": {"prompt": "p"}}, "dependencies": ["t"]}], "deliverables": []}'
+JSON = '{"name": "Harbour guide", "description": "d", "steps": [{"id": "s", "description": "on", "action": {"type": "agent_task", "params": {"prompt": "p"}}, "dependencies": ["t"]}], "deliverables": []}'
 
 
 def parsed(spark, *plans):
@@ -23,9 +23,9 @@ def parsed(spark, *plans):
 
 
 def test_three_formats(spark):
-    rows = parsed(spark, ("yaml", YAML), ("json", JSON), ("md", f"# My Plan\n\nHere:\n\n```yaml{YAML}```\n"), ("md", f"```json\n{JSON}\n```")).orderBy("path").collect()
+    rows = parsed(spark, ("yaml", YAML), ("json", JSON), ("md", f"Ferries\n=======\nas agreed\n\n```yaml{YAML}```\n"), ("md", f"```json\n{JSON}\n```")).orderBy("path").collect()
     assert [r.error for r in rows] == [None] * 4
-    assert [r.plan.name for r in rows] == ["Test Plan"] * 4
+    assert [r.plan.name for r in rows] == ["Harbour guide"] * 4
     assert rows[0].plan.steps[0].action.type == "scan_repository" and len(rows[0].plan.steps) == 1
     assert rows[1].plan.steps[0].dependencies == ["t"]
 
@@ -33,7 +33,7 @@ def test_three_formats(spark):
 @pytest.mark.parametrize(
     "change",
     [
-        ("scan_repository", "ScanRepository"), ("params: null", "params: {x: 1}"), ("name: Test Plan", "name: 5"), ("description: A test plan", ""), ("steps:", "stages:"),
+        ("scan_repository", "ScanRepository"), ("params: null", "params: {x: 1}"), ("name: Harbour guide", "name: 5"), ("description: What the ferries need", ""), ("steps:", "stages:"),
         ("type: scan_repository\n      params: null", "type: generate_docs\n      params: {category: how-to}"),
         ("type: scan_repository\n      params: null", "type: generate_docs"),
         ("type: scan_repository\n      params: null", "type: execute_command\n      params: {command: 3}"),

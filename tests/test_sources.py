@@ -68,8 +68,11 @@ def test_git(spark, tmp_path):
     (tmp_path / "a").write_text("1\n3\n4\n")
     (tmp_path / "b c").write_text("")
     assert git.status_text(repositories).head().text == "M a\n?? b c\n"
-    assert tuple(git.diff_stats(repositories).head())[1:] == ("a", 2, 1)
-    assert git.status(spark.createDataFrame([("/no/such",)], "repository string")).head().error
+    assert tuple(git.diff_stats(repositories).head())[1:] == ("a", 2, 1, None)
+    gone = spark.createDataFrame([("/no/such",)], "repository string")
+    assert git.status(gone).head().error and git.diff_stats(gone).head().error
+    row = git.status_text(gone).head()
+    assert row.text is None and "/no/such" in row.error
 
 
 LINES = ['data: {"choices":[{"delta":{"role":"assistant","content":"He"}}]}', "data: [DONE]", "data: {bad", 'data: {"choices":[]}', 'data: {"choices":[{"delta":{"content":"x"}}]}', "other"]

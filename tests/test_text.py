@@ -70,10 +70,10 @@ def test_names_and_paths(spark):
 
 
 def test_errors(spark):
-    assert format_error("config.validation", "invalid field") == "Configuration error: Validation error: invalid field"
+    assert format_error("config.validation", "no such colour") == "Configuration error: Validation error: no such colour"
     assert str(DocloomError("io", "x")) == "IO error: x"
     with pytest.raises(DocloomError):
-        raise DocloomError("config.load", "test failure")
+        raise DocloomError("config.load", "lost key")
     assert column(spark, ["provider.auth", "nothing"], lambda c: error_text(c, F.lit("m"))) == ["Provider error: Authentication failed: m", None]
 
 
@@ -88,10 +88,10 @@ def test_utf8(spark):
 
 
 def test_render(spark):
-    data = '{"title": "Test <T>", "introduction": "a & b", "steps": [{"number": 1, "title": "First Step", "content": "Do \\"this\\""}]}'
+    data = '{"title": "Nets <T>", "introduction": "a & b", "steps": [{"number": 1, "title": "Find Twine", "content": "Do \\"this\\""}]}'
     got = column(spark, [data], lambda c: render_variant(F.lit("tutorial"), jsons.parsed(c)))[0]
-    assert got.startswith("# Test &lt;T&gt;\n") and "### Step 1: First Step\nDo &quot;this&quot;\n" in got and "a &amp; b" in got and "## Conclusion\n\n" in got
-    how = column(spark, ["x"], lambda c: render("how-to", {"title": F.lit("Do Something"), "steps": F.array(F.lit("Step 1"), F.lit("Step 2"))}))[0]
-    assert how.startswith("# How to Do Something\n") and "1. Step 1\n1. Step 2\n" in how
+    assert got.startswith("# Nets &lt;T&gt;\n") and "### Step 1: Find Twine\nDo &quot;this&quot;\n" in got and "a &amp; b" in got and "## Conclusion\n\n" in got
+    how = column(spark, ["x"], lambda c: render("how-to", {"title": F.lit("Mend a Net"), "steps": F.array(F.lit("cut"), F.lit("knot"))}))[0]
+    assert how.startswith("# How to Mend a Net\n") and "1. cut\n1. knot\n" in how
     assert column(spark, ["{}"], lambda c: render_variant(F.lit("nothing"), jsons.parsed(c))) == [None]
     assert column(spark, ["&<'`=>\"", None], escape) == ["&amp;&lt;&#x27;&#x60;&#x3D;&gt;&quot;", ""]
