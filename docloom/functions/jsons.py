@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def parsed(c: Column) -> Column:
-    """A VARIANT, or null where the text is not JSON."""
-    return F.try_parse_json(c)
+    """A VARIANT, or null where the text is not JSON.
+
+    Spark's parser stops after the first value, so the text is parsed as the one
+    element of a list and as the one field of an object: what follows a value
+    cannot be right in both.
+    """
+    element = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(element.isNotNull(), F.try_variant_get(value, "$.v", "variant"))
 
 
 def kind(v: Column, path: str = "$") -> Column:

@@ -80,6 +80,8 @@ def test_errors(spark):
 def test_json_is_strict(spark):
     xs = ['{"path": "a"}', '{"path": 5}', '{"path": null}', "{}", "no", None]
     assert column(spark, xs, lambda c: jsons.text_at(jsons.parsed(c), "$.path")) == ["a", None, None, None, None, None]
+    more = ['{"a": 1}}', "1 2", "1, 2", "1], [2", '1}, {"b": 2', '1, "v": 2', "", " ", "null", "[1]", ' {"a": []} ']
+    assert column(spark, more, lambda c: jsons.parsed(c).isNotNull()) == [False] * 8 + [True] * 3
 
 
 def test_utf8(spark):
