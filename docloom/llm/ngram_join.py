@@ -27,7 +27,8 @@ smallest doc_id that links reach.  The join is exact.
 5. Large blocks that then still hold sets of different components are split into
    bounded chunks and traversed as in 3: chunks of the block's main component only
    against those of others, node pairs that lie in one component are dropped, and
-   pairs of records are held against the wider bitmaps.  A large group of near
+   pairs of records are held against bitmaps of 512 bits, then against the wider
+   ones.  A large group of near
    copies thus costs a number of pairs that grows with its size.
 6. Components by alternating large-star and small-star rounds, each written to
    the shared folder.
@@ -397,9 +398,9 @@ def more_leaders(large: DataFrame, roots: DataFrame) -> DataFrame:
     return _by_leader(rows, _MORE_SEEDS).mapInArrow(pair, "a long, b long").distinct()
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """Eight bits or more for each value, a power of two of them, 512 at least and 2**16 at most."""
-    size = 1 << min(16, max(9, (8 * len(values) - 1).bit_length()))
+def bitmap(values: np.ndarray, least: int = 9, most: int = 16) -> bytes:
+    """Four bits or more for each value, a power of two of them from 2**least to 2**most."""
+    size = 1 << min(most, max(least, (4 * len(values) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(mix(values) >> _U(20)) % _U(size)] = 1
     return np.packbits(bits).tobytes()
@@ -466,7 +467,7 @@ def _of_few(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, sets_of: Sets) -> DataFrame:
-    """(node, n, bits, text) of the wanted nodes: size and bitmap of its set, and the text of its representative."""
+    """(node, n, bits, few, text) of the wanted nodes: size, bitmap and bitmap of 512 bits of its set, and the text of its representative."""
     reps = wanted.join(nodes.select("node", "rep"), "node")
     if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         reps = F.broadcast(reps)
@@ -478,13 +479,13 @@ def contested(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, sets_of: Set
         for batch in batches:
             for part in slices(batch):
                 node = part.column("node").to_pylist()
-                found = [(r, len(v), bitmap(v)) for r, v in sets_of(part) if int.from_bytes(_key(v)[:8], "big") >> 4 == node[r] and node[r] not in met]
+                found = [(r, len(v), bitmap(v), bitmap(v, 9, 9)) for r, v in sets_of(part) if int.from_bytes(_key(v)[:8], "big") >> 4 == node[r] and node[r] not in met]
                 if len(met) < REMEMBERED:
                     met.update(node[r] for r, *_ in found)
                 kept = part.take(pa.array([r for r, *_ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([kept.column("node"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([m for *_, m in found], pa.binary()), kept.column("text")], ["node", "n", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([kept.column("node"), pa.array([n for _, n, *_ in found], pa.int64()), *[pa.array([f[k] for f in found], pa.binary()) for k in (2, 3)], kept.column("text")], ["node", "n", "bits", "few", "text"])
 
-    return rows.mapInArrow(own, "node long, n long, bits binary, text string")
+    return rows.mapInArrow(own, "node long, n long, bits binary, few binary, text string")
 
 
 def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFrame) -> DataFrame | None:
@@ -540,14 +541,14 @@ def open_pairs(large: DataFrame, roots: DataFrame, percent: int, texts: DataFram
     zero = F.lit(0)
     whole = F.array(key(zero, zero, zero, zero, F.lit(-1)))
     spread = rest.select("shingle", "node", "meta", "comp", F.explode(F.when(F.col("total") > CHUNK, F.concat(*every)).otherwise(whole)).alias("k")).select("shingle", "node", "meta", "comp", "k.*")
-    spread = spread.join(_of_few(texts, rest.select("node").distinct()).select("node", "n", "bits"), "node")
+    spread = spread.join(_of_few(texts, rest.select("node").distinct()).select("node", "n", "few"), "node")
 
     names = ["shingle", "b1", "t1", "b2", "t2"]
 
     def pairs(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         meta, node, n, comp, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("meta", "node", "n", "comp", "side"))
         x, y = forest_pairs(group, meta, percent, side, comp, first=True)
-        maps = Bitmaps(n, rows.column("bits").to_pylist())
+        maps = Bitmaps(n, rows.column("few").to_pylist())
         keep = maps.enough(x, maps, y, percent)
         x, y = node[x[keep]], node[y[keep]]
         return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -697,6 +698,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(F.struct("doc_id", "text_hash") != F.col("first"), "drop").when(F.col("copies") > 1, "several").alias("_mark")
     )
     marks = materialize(marks.filter("_mark is not null"), "marks")
+    if marks.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        marks = F.broadcast(marks)
     marked = docs.withColumns({"_id0": F.col("doc_id").cast("long"), "_hash0": F.xxhash64("text")})
     marked = marked.join(marks, (F.col("_id0") == F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
     rest = [F.col(c) for c in columns if c not in ("doc_id", "text")]
@@ -736,7 +739,8 @@ def jaccard_members(docs: DataFrame, percent: int = PERCENT, sets_of: Sets = shi
     opened = None if large.isEmpty() else open_pairs(large, roots, percent, texts)
     if opened is not None:
         # pairs that also meet in a small block have been looked at
-        left = materialize(opened.distinct().join(counted, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "open-pairs")
+        left = opened.distinct().join(counted, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
+        left = materialize(sifted(materialize(left, "open-pairs"), texts, percent), "open-pairs")
         if not left.isEmpty():
             roots = joined(roots, materialize(verified(left, texts, percent, sets_of), "links"))
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
