@@ -113,6 +113,9 @@ def test_large_blocks_match_brute_force(spark, monkeypatch, split, seed):
     """Chains of near copies in large blocks, whose ends are not alike, with dealt-out shingles and small chunks."""
     for name, value in (("SMALL_BLOCK", 3), ("CHUNK", 6), ("COMMON", 2), ("SPLIT", split), ("_SEEDS", 1), ("_MORE_SEEDS", 1)):
         monkeypatch.setattr(ngram_join, name, value)
+    if split == 3:  # as with more texts than may be broadcast
+        monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 1)
+        monkeypatch.setattr(ngram_join, "REMEMBERED", 2)
     rng = random.Random(seed)
     rows = []
     for g in range(4):
