@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, mixing, ngram_join, passages, rules, sharding, sitestyle, spotsigs, tokenfiles
+from . import bpe, crf, elkan, mixing, ngram_join, passages, rules, secret_scan, sharding, sitestyle, spotsigs, tokenfiles, turns
 from .scratch import materialize, read_table, scratch_path
+from .sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 #: A public tokenizer's file, by its name in the folder of vocabularies.
 VOCABULARY = "word_bpe_49k.json"
@@ -130,5 +131,20 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op4_site_style_tree": op4_site_style_tree, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe, "spotsigs_near": spotsigs_near}
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.reports(turns.repair(turns.damage(read_table(spark, sf_dir, "conversations"))))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, base = F.col("spans"), secret_scan.of_kinds(F.col("spans"), [r.kind for r in secret_scan.BASE])
+    counts = [F.size(secret_scan.of_kinds(spans, [r.kind])).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spelled(base).cast("binary"), 256).alias("base_sha256"), secret_scan.spelled(spans).alias("spans"))
+
+
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.report(*elkan.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_token_files": op3_token_files, "op4_site_style_tree": op4_site_style_tree, "op5_language_id": op5_language_id, "op6_spotsigs": op6_spotsigs, "op7_mixing": op7_mixing, "op8_sharding": op8_sharding, "op9_ngram_join": op9_ngram_join, "op10_bpe": op10_bpe, "op11_turn_repair": op11_turn_repair, "op12_secret_scan": op12_secret_scan, "op13_elkan": op13_elkan, "spotsigs_near": spotsigs_near}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_turn_repair": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_elkan": OP13_SQL}

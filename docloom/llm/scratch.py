@@ -60,6 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` has written and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    roots = {f[: f.rindex("/")] for f in df.inputFiles()}
+    for root in roots:
+        if "/docloom-" in root:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
