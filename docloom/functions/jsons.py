@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def parsed(c: Column) -> Column:
     """A VARIANT, or null where the text is not JSON.
 
-    Spark's parser stops after the first value, so the text is parsed as the one
-    element of a list and as the one field of an object: what follows a value
-    cannot be right in both.
+    Spark's parser stops after the first value, so the text is parsed as the first
+    element of a list whose second and last is the text's own hash: what ends the list
+    before it, or adds to it, does not give that hash.
     """
-    element = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    value = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when(element.isNotNull(), F.try_variant_get(value, "$.v", "variant"))
+    mark = F.md5(c.cast("binary"))
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]')))
+    return F.transform(F.array(both), lambda v: F.when((F.try_variant_get(v, "$[1]", "string") == mark) & F.try_variant_get(v, "$[2]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))[0]
 
 
 def kind(v: Column, path: str = "$") -> Column:

@@ -1,13 +1,15 @@
-"""Rounds of model answers and tool calls over many conversations at once.
+"""Agents as rounds over many conversations at once.
 
-A round is one batch: all open conversations are answered, their tool calls run,
-and the log grows.  A conversation closes with an answer without calls; one that
-still calls after ``MOST_ROUNDS`` rounds fails.  The model is a ``Responder``, a
-function of DataFrames; two deterministic ones stand in for a live model.
+A round asks a responder for the next message of every open conversation, executes the
+tool calls of the answers, and adds what was said to the log.  A conversation closes with
+an answer without calls; one that still calls after ``MOST_ROUNDS`` rounds fails.  The
+model is a ``Responder``, a function of DataFrames; two deterministic ones stand in for a
+live model.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +19,7 @@ from .. import errors
 from ..config import Config
 from ..errors import DocloomError
 from ..functions.text import trim_space
-from ..model import MOST_ROUNDS, TOOL_CALLS
+from ..model import ERROR, MESSAGE, MOST_ROUNDS, TOOL_CALLS
 from . import conversation
 from .tools import Registry, result_message
 
@@ -40,14 +42,16 @@ class Recorded:
 
 
 class Template:
-    """Answers that are an expression of the request."""
+    """Answers that are an expression of the request; where ``answers`` is false there is none."""
 
-    def __init__(self, content: Column, tool_calls: Column | None = None):
+    def __init__(self, content: Column, tool_calls: Column | None = None, answers: Column | None = None):
         self._content = content
         self._calls = F.lit(None) if tool_calls is None else tool_calls
+        self._answers = answers
 
     def complete(self, requests: DataFrame) -> DataFrame:
-        return requests.select("conv_id", self._content.alias("content"), self._calls.cast(TOOL_CALLS).alias("tool_calls"))
+        asked = requests if self._answers is None else requests.filter(self._answers)
+        return asked.select("conv_id", self._content.alias("content"), self._calls.cast(TOOL_CALLS).alias("tool_calls"))
 
 
 #: Each kind of responder: the model where none is set, whether tools are called, whether answers come in chunks.
@@ -100,38 +104,60 @@ def has_calls(calls: Column) -> Column:
     return F.coalesce(F.size(calls), F.lit(0)) > 0
 
 
-def run(log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(log, outcomes): the grown log and (conv_id, answer, error) of each conversation.
+def _problem(kind: str, message: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(message).alias("message"))
+
+
+def _messages(df: DataFrame, message: Column) -> DataFrame:
+    names = [f.split()[0] for f in MESSAGE.split(", ")]
+    return df.select("conv_id", "turn", message.alias("_m")).select("conv_id", "turn", *[F.col(f"_m.{n}").alias(n) for n in names])
+
+
+def rounds(
+    log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(said, outcomes): the messages that were added and (conv_id, answer, error) of each conversation.
 
-    An unknown tool or bad arguments end a conversation with an error; a tool that
-    fails does not.  The log is not rolled back.  Every round is checkpointed.
+    An unknown tool or bad arguments end a conversation with an error; a tool that fails
+    does not.  A round keeps its answers and the results of its calls, and nothing of the
+    log is written again.
     """
-    open_ids = log.select("conv_id").distinct()
-    outcomes = None
+    none, no_error = F.lit(None).cast("string"), F.lit(None).cast(ERROR)
+    still = log.groupBy("conv_id").agg(F.max("turn").alias("last")).checkpoint()
+    said: list[DataFrame] = []
+    ended: list[DataFrame] = []
     for _ in range(most_rounds):
-        seen = log.join(open_ids, "conv_id", "left_semi")
+        seen = reduce(DataFrame.unionByName, [log, *said]).join(still.select("conv_id"), "conv_id", "left_semi")
         if compact_to is not None:
             seen = conversation.compact(seen, compact_to)
-        answers = responder.complete(requests(seen, system_prompt=system_prompt)).checkpoint()
-        said = F.struct(F.lit("assistant").alias("role"), F.col("content"), F.lit(None).cast("string").alias("name"), F.col("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
-        grown = answers.select("conv_id", said.alias("message"), F.lit(-1).alias("ord"))
-        asked = answers.filter(has_calls(F.col("tool_calls"))).select("conv_id", F.posexplode("tool_calls").alias("ord", "call"))
-        calls = registry.execute(asked.select("conv_id", "ord", F.col("call.id").alias("id"), F.col("call.function.name").alias("name"), F.col("call.function.arguments").alias("arguments"))).checkpoint()
-        failed = calls.filter("error is not null").groupBy("conv_id").agg(F.min_by("error", "ord").alias("error"), F.min("ord").alias("_at"))
-        # results of the calls before the first that is in error
-        good = calls.join(failed.select("conv_id", "_at"), "conv_id", "left").filter("result is not null and (_at is null or ord < _at)")
-        results = good.select("conv_id", result_message(F.col("id"), F.col("name"), F.col("result")).alias("message"), "ord")
-        log = conversation.append(log, grown.unionByName(results)).checkpoint()
-        done = answers.filter(~has_calls(F.col("tool_calls"))).select("conv_id", F.col("content").alias("answer"), F.lit(None).cast("struct<kind:string,message:string>").alias("error"))
-        broken = failed.select("conv_id", F.lit(None).cast("string").alias("answer"), "error")
-        missing = open_ids.join(answers, "conv_id", "left_anti").select("conv_id", F.lit(None).cast("string").alias("answer"), F.struct(F.lit("provider.api").alias("kind"), F.lit("no answer").alias("message")).alias("error"))
-        ended = done.unionByName(broken).unionByName(missing)
-        outcomes = (ended if outcomes is None else outcomes.unionByName(ended)).checkpoint()
-        open_ids = open_ids.join(outcomes, "conv_id", "left_anti").checkpoint()
-        if open_ids.isEmpty():
+        found = responder.complete(requests(seen, system_prompt=system_prompt)).select("conv_id", "content", "tool_calls", F.lit(True).alias("_answered"))
+        answers = still.join(found, "conv_id", "left").checkpoint()
+        calling, n_rows = answers.agg(F.count_if(has_calls(F.col("tool_calls"))), F.count("*")).head()
+        answer = F.struct(F.lit("assistant").alias("role"), F.col("content"), none.alias("name"), F.col("tool_calls"), none.alias("tool_call_id"))
+        said.append(_messages(answers.filter("_answered").withColumn("turn", F.col("last") + 1), answer))
+        over = answers.filter(~has_calls(F.col("tool_calls")))
+        ended.append(over.select("conv_id", F.col("content").alias("answer"), F.when(F.col("_answered").isNull(), _problem("provider.api", "no answer")).alias("error")))
+        if not calling:
+            still = None
             break
-    late = open_ids.select("conv_id", F.lit(None).cast("string").alias("answer"), F.struct(F.lit("workflow.execution").alias("kind"), F.lit(f"no answer after {most_rounds} rounds").alias("message")).alias("error"))
-    return log, outcomes.unionByName(late)
+        asked = answers.filter(has_calls(F.col("tool_calls"))).select("conv_id", "last", F.size("tool_calls").alias("_n"), F.posexplode("tool_calls").alias("ord", "call"))
+        asked = asked.select("conv_id", "last", "_n", "ord", F.col("call.id").alias("id"), F.col("call.function.name").alias("name"), F.col("call.function.arguments").alias("arguments"))
+        calls = registry.execute(asked).checkpoint()
+        failed = calls.groupBy("conv_id", "last", "_n").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("ord", "error"))).alias("_f"))
+        # results of the calls before the first that is in error
+        good = calls.join(failed.select("conv_id", F.col("_f.ord").alias("_at")), "conv_id").filter("result is not null and (_at is null or ord < _at)")
+        said.append(_messages(good.withColumn("turn", (F.col("last") + 2 + F.col("ord")).cast("long")), result_message(F.col("id"), F.col("name"), F.col("result"))))
+        ended.append(failed.filter("_f is not null").select("conv_id", none.alias("answer"), F.col("_f.error").alias("error")))
+        still = failed.filter("_f is null").select("conv_id", (F.col("last") + 1 + F.col("_n")).cast("long").alias("last")).checkpoint()
+    if still is not None:
+        ended.append(still.select("conv_id", none.alias("answer"), _problem("workflow.execution", f"no answer after {most_rounds} rounds").alias("error")))
+    return reduce(DataFrame.unionByName, said), reduce(DataFrame.unionByName, [df.withColumn("error", F.coalesce("error", no_error)) for df in ended])
+
+
+def run(log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(log, outcomes): the grown log and (conv_id, answer, error) of each conversation.  The log is not rolled back."""
+    said, outcomes = rounds(log, responder, registry, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
+    return log.unionByName(said), outcomes
 
 
 def prompts(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from .. import errors
 from ..functions import jsons
 from ..functions.render import SECTIONS, render_variant
 from ..functions.text import category, document_path, safe_name, topic_file, unfence
-from .agent import Responder
+from .agent import Responder, request_key
 
 #: The JSON that an answer has, by category: its fields, a list's as an example.
 SHAPES = {
@@ -57,11 +57,15 @@ def documents(answers: DataFrame) -> DataFrame:
 
 
 def generate(asked: DataFrame, responder: Responder) -> DataFrame:
-    """asked(id, category, topic, context) with prompt, file, answer, document and error."""
-    wanted = requests(asked)
-    sent = wanted.filter("error is null").select(F.col("id").alias("conv_id"), F.col("prompt").alias("request"))
-    answered = responder.complete(sent).select(F.col("conv_id").alias("id"), F.col("content").alias("answer"))
-    return documents(wanted.join(answered, "id", "left"))
+    """asked(id, category, topic, context) with prompt, file, answer, document and error.
+
+    A prompt is sent once, with its hash as conv_id, and all requests with that prompt get
+    its answer; ids may be null or repeat.
+    """
+    wanted = requests(asked).withColumn("_key", request_key(F.col("prompt")))
+    sent = wanted.filter("error is null").select(F.col("_key").alias("conv_id"), F.col("prompt").alias("request")).dropDuplicates(["conv_id"])
+    answered = responder.complete(sent).select(F.col("conv_id").alias("_key"), F.col("content").alias("answer"))
+    return documents(wanted.join(answered, "_key", "left").drop("_key"))
 
 
 def guard(documents: DataFrame, existing: DataFrame, directory: str, *, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:

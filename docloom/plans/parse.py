@@ -8,6 +8,7 @@ error, never a failed job; ``strict`` raises instead.
 
 from __future__ import annotations
 
+import functools
 import json
 from typing import Any
 
@@ -29,13 +30,14 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(ext == "", "yaml").otherwise(ext).alias("format"), "content")
 
 
+@functools.cache
 def _yaml_loader() -> Any:
-    """YAML's core schema: null, true/false, numbers; yes/no/on stay strings."""
+    """YAML's core schema: null, true/false, numbers; yes/no/on stay strings.  Built once a worker, on the C parser where there is one."""
     import re
 
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers: dict = {}
 
     for tag, pattern, first in (
@@ -120,10 +122,11 @@ def parse_plans(files: DataFrame, *, strict: bool = False) -> DataFrame:
         F.col("_yaml.problem"),
         _plan_problem(F.col("_v")),
     )
-    out = loaded.select(
+    checked = loaded.withColumn("_problem", problem)
+    out = checked.select(
         "path",
-        F.when(problem.isNull(), F.try_variant_get("_v", "$", PLAN)).alias("plan"),
-        F.when(problem.isNotNull(), errors.error("workflow.parse", problem)).alias("error"),
+        F.when(F.col("_problem").isNull(), F.try_variant_get("_v", "$", PLAN)).alias("plan"),
+        F.when(F.col("_problem").isNotNull(), errors.error("workflow.parse", F.col("_problem"))).alias("error"),
     )
     if strict:
         return out.select("path", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("Plan parsing failed: "), "error.message")).cast(PLAN)).otherwise(F.col("plan")).alias("plan"), "error")

@@ -1,18 +1,26 @@
 """Dependency graphs of many plans: validation, waves and deadlocks.
 
-``steps(plan, ord, id, deps array<string>)`` holds all plans at once; a plan is a
-graph of its own.  Waves are levels of the graph: a step's wave is the first
-round in which all its dependencies are done.
+``steps(plan, ord, id, deps array<string>)`` holds all plans at once; a plan is a graph
+of its own, of any shape.  A wave is the set of steps whose dependencies were all done
+before it and whose id is not done yet.  So of steps with one id those run that are ready
+first, and the others never do.  What waits for a cycle, for itself or for an unknown id
+never runs; a null among the dependencies is an unknown id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Plans with more steps than this are peeled by rounds of joins, with the same result.
+MOST_STEPS = 1 << 17
+
 
 def duplicate_ids(steps: DataFrame) -> DataFrame:
     """(plan, id, n) of ids that several steps of a plan have."""
@@ -33,39 +41,139 @@ def validate(steps: DataFrame) -> DataFrame:
     return twice.unionByName(unknown).groupBy("plan").agg(F.min_by("problem", F.struct("rank", "ord", "problem")).alias("problem"))
 
 
-def waves(steps: DataFrame, *, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """(plan, id, wave) of every id that can run; ids that never can are left out.
+# -- waves --------------------------------------------------------------------------------
+
 
-    A step carries the number of its dependencies that are still open.  A round
-    takes away those that the last wave has done and writes what is open and what
-    has become ready; a step without open ones is of the next wave and leaves the
-    working set.
+def peel(plan: np.ndarray, ids: np.ndarray, owner: np.ndarray, deps: np.ndarray) -> np.ndarray:
+    """The wave of each step, -1 where it never runs; all plans are peeled at once.
+
+    ``plan`` and ``ids`` are numbers of the steps' plans and ids, ``owner`` and ``deps`` the
+    step and the id of each dependency.  Ids are different numbers in different plans, and
+    the numbers of dependencies that no step has are not among ``ids``.
+    """
+    wave = np.full(len(ids), -1, np.int64)
+    edges = np.unique(np.stack([deps, owner]), axis=1) if len(deps) else np.zeros((2, 0), np.int64)
+    waits = np.bincount(edges[1], minlength=len(ids))
+    width = int(max(ids.max(initial=-1), deps.max(initial=-1))) + 1
+    first = np.searchsorted(edges[0], np.arange(width + 1))
+    done = np.zeros(width, bool)
+    ready, n = np.flatnonzero(waits == 0), 0
+    while len(ready):
+        ready = ready[~done[ids[ready]]]
+        wave[ready] = n
+        settled = np.unique(ids[ready])
+        done[settled] = True
+        many = first[settled + 1] - first[settled]
+        at = np.repeat(first[settled] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        after, less = np.unique(edges[1][at], return_counts=True)
+        waits[after] -= less
+        ready, n = after[waits[after] == 0], n + 1
+    return wave
+
+
+def _scheduled(table: pa.Table) -> pa.RecordBatch:
+    """Steps of whole plans, sorted by plan, with their waves."""
+    plans = table.column("plan").combine_chunks()
+    ids = table.column("id").combine_chunks()
+    listed = table.column("deps").combine_chunks()
+    n = len(ids)
+    plan = pd.factorize(plans.to_pandas(), use_na_sentinel=False)[0].astype(np.int64)
+    counts = listed.value_lengths().fill_null(0).to_numpy()
+    owner = np.repeat(np.arange(n), counts)
+    names = np.concatenate([ids.to_numpy(zero_copy_only=False), listed.flatten().to_numpy(zero_copy_only=False)])
+    code = pd.factorize(names)[0].astype(np.int64)  # -1: null, which is no other step's id
+    own = np.where(code[:n] >= 0, plan * (n + len(owner) + 1) + code[:n], -1 - np.arange(n))
+    wanted = np.where(code[n:] >= 0, plan[owner] * (n + len(owner) + 1) + code[n:], np.iinfo(np.int64).min)
+    number = pd.factorize(np.concatenate([own, wanted]))[0]
+    wave = peel(plan, number[:n], owner, number[n:])
+    return pa.RecordBatch.from_arrays([plans, *[table.column(c).combine_chunks() for c in ("ord", "id")], pa.array(wave, pa.int64(), mask=wave < 0)], ["plan", "ord", "id", "wave"])
+
+
+def _by_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plans follow each other; those that are whole are scheduled together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        plans = batch.column("plan")
+        last = plans[batch.num_rows - 1]
+        changes = pd.factorize(plans.to_pandas(), use_na_sentinel=False)[0]
+        start = int(np.flatnonzero(changes == changes[-1])[0])  # of the last plan in the batch
+        if held and (start > 0 or held[-1].column("plan")[held[-1].num_rows - 1].as_py() != last.as_py()):
+            yield _scheduled(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            held = []
+        elif start > 0:
+            yield _scheduled(pa.Table.from_batches([batch.slice(0, start)]))
+        held.append(batch.slice(start))
+    if held:
+        yield _scheduled(pa.Table.from_batches(held))
+
+
+def schedule(steps: DataFrame, *, most_steps: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """(plan, ord, id, wave) of every step; a null wave for one that never runs.
+
+    Plans are dealt out whole by one shuffle and peeled where they lie.  A plan of over
+    ``most_steps`` steps is never gathered in one task but peeled by joins.
     """
-    asked = steps.select("plan", "id", F.explode_outer(F.array_distinct("deps")).alias("dep")).distinct()
+    most_steps = MOST_STEPS if most_steps is None else most_steps
+    steps = steps.select("plan", "ord", "id", "deps")
+    kinds = steps.schema
+    sizes = steps.groupBy("plan").agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") > most_steps).select(F.col("plan").alias("_large"))
+    result = f"plan {kinds['plan'].dataType.simpleString()}, ord {kinds['ord'].dataType.simpleString()}, id string, wave long"
+    if large.isEmpty():
+        return steps.repartition("plan").sortWithinPartitions("plan").mapInArrow(_by_partition, result)
+    same = F.col("plan").eqNullSafe(F.col("_large"))
+    small = steps.join(large, same, "left_anti").repartition("plan").sortWithinPartitions("plan").mapInArrow(_by_partition, result)
+    return small.unionByName(_by_rounds(steps.join(large, same, "left_semi"), checkpoint))
+
+
+def _by_rounds(steps: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The schedule by one round of joins for each wave.  Steps with one id and one set of dependencies go alike."""
+    steps = checkpoint(steps.withColumn("_set", F.sha2(F.to_json(F.array_sort(F.array_distinct("deps"))), 256)).withColumn("_set", F.coalesce("_set", F.lit(""))))
+    asked = steps.dropDuplicates(["plan", "id", "_set"]).select("plan", "id", "_set", F.explode_outer(F.array_distinct("deps")).alias("dep"), (F.coalesce(F.size("deps"), F.lit(0)) > 0).alias("_some"))
     edges = checkpoint(asked)
-    state = checkpoint(edges.groupBy("plan", "id").agg(F.count("dep").alias("open")))
+    state = checkpoint(edges.groupBy("plan", "id", "_set").agg(F.count_if("_some").alias("open")))
     done, wave = [], 0
     while True:
-        ready = state.filter("open = 0").select("plan", "id", F.lit(wave).cast("long").alias("wave"))
+        ready = state.filter("open = 0").select("plan", "id", "_set", F.lit(wave).cast("long").alias("wave"))
         n_ready, n_open = state.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).head()
         done.append(ready)
         if not n_ready or not n_open:
-            return reduce(DataFrame.unionByName, done)
-        settled = ready.select("plan", F.col("id").alias("dep"))
-        fewer = edges.join(settled, ["plan", "dep"]).groupBy("plan", "id").agg(F.count("*").alias("less"))
-        left = state.filter("open > 0").join(fewer, ["plan", "id"], "left")
-        state = checkpoint(left.select("plan", "id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
+            break
+        settled = ready.filter("id is not null").select(F.col("plan").alias("_plan"), F.col("id").alias("_id")).distinct()
+        same_plan = F.col("plan").eqNullSafe(F.col("_plan"))
+        fewer = edges.join(settled, same_plan & (F.col("dep") == F.col("_id"))).groupBy("plan", "id", "_set").agg(F.count("*").alias("less"))
+        fewer = fewer.select(F.col("plan").alias("_p"), F.col("id").alias("_i"), F.col("_set").alias("_s"), "less")
+        # other steps of a settled id never run
+        left = state.filter("open > 0").join(settled, same_plan & (F.col("id") == F.col("_id")), "left_anti")
+        left = left.join(fewer, F.col("plan").eqNullSafe(F.col("_p")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("_set") == F.col("_s")), "left")
+        state = checkpoint(left.select("plan", "id", "_set", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
         wave += 1
+    waves_of = reduce(DataFrame.unionByName, done).select(F.col("plan").alias("_p"), F.col("id").alias("_i"), F.col("_set").alias("_s"), "wave")
+    found = steps.join(waves_of, F.col("plan").eqNullSafe(F.col("_p")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("_set") == F.col("_s")), "left")
+    return found.select("plan", "ord", "id", "wave")
+
+
+def waves(steps: DataFrame, *, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """(plan, id, wave) of every id that can run; ids that never can are left out."""
+    return schedule(steps, checkpoint=checkpoint).filter("wave is not null").select("plan", "id", "wave").distinct()
+
+
+def stalled(scheduled: DataFrame) -> DataFrame:
+    """(plan, n_steps, n_done, deadlocked) of a schedule: a plan stops short when fewer different ids
+    ran than it has steps, so a cycle, an unknown dependency and a repeated id all count."""
+    counts = scheduled.groupBy("plan").agg(F.count("*").alias("n_steps"), F.size(F.collect_set(F.when(F.col("wave").isNotNull(), F.col("id")))).cast("long").alias("n_done"))
+    return counts.withColumn("deadlocked", F.col("n_done") != F.col("n_steps"))
 
 
 def deadlocks(steps: DataFrame, settled: DataFrame) -> DataFrame:
-    """(plan, n_steps, n_done, deadlocked): a plan stops short when fewer different ids ran than it has
-    steps, so a cycle, an unknown dependency and a repeated id all count."""
+    """``stalled`` from ``steps`` and their ``waves``."""
     total = steps.groupBy("plan").agg(F.count("*").alias("n_steps"))
     ran = settled.groupBy("plan").agg(F.count_distinct("id").alias("n_done"))
     return total.join(ran, "plan", "left").fillna(0, ["n_done"]).withColumn("deadlocked", F.col("n_done") != F.col("n_steps"))
 
 
 def execution_order(steps: DataFrame, settled: DataFrame) -> DataFrame:
-    """(plan, wave, ord, id): steps by wave and, within one, in plan order; a repeated id runs in its wave each time."""
+    """(plan, wave, ord, id): steps by wave and, within one, in plan order."""
     return steps.select("plan", "ord", "id").join(settled, ["plan", "id"]).select("plan", "wave", "ord", "id")

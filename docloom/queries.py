@@ -106,8 +106,7 @@ SELECT s.plan, s.n_steps, coalesce(d.n_done, 0) AS n_done, coalesce(d.n_done, 0)
 FROM (SELECT l_orderkey AS plan, count(*) AS n_steps FROM lineitem GROUP BY 1) s
 LEFT JOIN (SELECT plan, count(DISTINCT id) AS n_done FROM done GROUP BY 1) d ON s.plan = d.plan""")
 def plan_deadlock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = _steps(spark, sf_dir)
-    return waves.deadlocks(steps, waves.waves(steps, checkpoint=_cut(spark)))
+    return waves.stalled(waves.schedule(_steps(spark, sf_dir), checkpoint=_cut(spark)))
 
 
 @query("SELECT l_orderkey AS plan, CAST(l_linenumber AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

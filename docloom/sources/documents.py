@@ -1,24 +1,46 @@
 """A sink of documents, one file a row: ``df.write.format("documents").mode("append").save(root)``.
 
-Rows are (path, content), paths relative to the root.  In mode ``append`` a file
-that exists already fails the write and in ``overwrite`` it is replaced.  A
-failing task can leave files of others behind, so refuse known paths with
-``operators.docgen.guard`` first.  A file is whole or absent: it is written
-under another name and then moved.
+Rows are (path, content), paths relative to the root, which is a path or the URI of any
+file system that pyarrow knows.  A write is whole or absent.  Tasks write into a staging
+folder below the root; when all are done, the driver compares their sorted lists of paths,
+which it reads one line at a time, and moves the files to their places.  Two rows of one
+path, or in mode ``append`` a file that exists already, fail the write before anything is
+moved, and a move that fails is undone.  A failed job leaves nothing but what was there.
+In mode ``overwrite`` files are replaced; files without a row stay.
+
+A null path is an error, a null content an empty file.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
+import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+#: Files that the driver moves at once.
+MOVERS = 16
+
+
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in root or root.startswith("file:"):
+        store, path = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        return store, path.rstrip("/")
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
 
 @dataclass
 class Written(WriterCommitMessage):
+    manifest: str
     files: int
 
 
@@ -36,27 +58,98 @@ class DocumentSink(DataSource):
 
 class DocumentWriter(DataSourceWriter):
     def __init__(self, root: str, overwrite: bool):
-        self.root, self.overwrite = os.path.abspath(root.removeprefix("file://")), overwrite
+        self.uri, self.overwrite = root, overwrite
+        file_system(root)  # an unknown one is refused at once
+        self.job = uuid.uuid4().hex
+
+    def _open(self) -> tuple[fs.FileSystem, str, str]:
+        store, root = file_system(self.uri)
+        return store, root, f"{root}/.staging-{self.job}"
 
     def write(self, rows: Iterator) -> Written:
-        n = 0
-        for row in rows:
-            target = os.path.normpath(os.path.join(self.root, row["path"]))
-            if os.path.commonpath([self.root, target]) != self.root:
+        store, root, staging = self._open()
+        attempt = uuid.uuid4().hex
+        folder = f"{staging}/{attempt}"
+        store.create_dir(folder, recursive=True)
+        listed = []
+        for n, row in enumerate(rows):
+            if row["path"] is None:
+                raise ValueError("a document without a path")
+            path = posixpath.normpath(row["path"].lstrip("/"))
+            if path in (".", "..") or path.startswith("../"):
                 raise ValueError(f"path leaves the folder: {row['path']}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{uuid.uuid4().hex}"
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(row["content"] or "")
+            with store.open_output_stream(f"{folder}/{n}") as f:
+                f.write((row["content"] or "").encode())
+            listed.append((path, n))
+        manifest = f"{folder}/manifest"
+        with store.open_output_stream(manifest) as f:
+            for path, n in sorted(listed):
+                f.write((json.dumps([path, f"{attempt}/{n}"]) + "\n").encode())
+        return Written(manifest, len(listed))
+
+    def _listed(self, store: fs.FileSystem, messages: list) -> Iterator[tuple[str, str]]:
+        """(path, staged file) of all tasks in order of paths, a line of each task's list in memory."""
+
+        def lines(manifest: str) -> Iterator[tuple[str, str]]:
+            with store.open_input_stream(manifest) as f:
+                rest = b""
+                while block := f.read(1 << 16):
+                    *whole, rest = (rest + block).split(b"\n")
+                    yield from (tuple(json.loads(x)) for x in whole)
+
+        return heapq.merge(*(lines(m.manifest) for m in messages if m is not None and m.files))
+
+    def _check(self, store: fs.FileSystem, root: str, messages: list) -> None:
+        before, listed = None, self._listed(store, messages)
+        while some := list(islice(listed, 1000)):
+            for path, _ in some:
+                if path == before:
+                    raise FileExistsError(f"several documents for {path}")
+                before = path
+            for info, (path, _) in zip(store.get_file_info([f"{root}/{path}" for path, _ in some]), some):
+                if info.type == fs.FileType.Directory or info.type == fs.FileType.File and not self.overwrite:
+                    raise FileExistsError(f"File already exists: {path}")
+
+    def commit(self, messages: list) -> None:
+        store, root, staging = self._open()
+        try:
+            self._check(store, root, messages)
             try:
-                if self.overwrite:
-                    os.replace(part, target)
-                else:
-                    os.link(part, target)  # fails where the target exists
-            except FileExistsError as e:
-                raise FileExistsError(f"File already exists: {row['path']}") from e
-            finally:
-                if os.path.exists(part):
-                    os.remove(part)
-            n += 1
-        return Written(n)
+                self._all(lambda path, part: self._place(store, root, staging, path, part), store, messages)
+            except BaseException:
+                self._all(lambda path, part: self._take_back(store, root, staging, path, part), store, messages)
+                raise
+        finally:
+            self._clear(store, staging)
+
+    def _all(self, do: Callable[[str, str], None], store: fs.FileSystem, messages: list) -> None:
+        listed = self._listed(store, messages)
+        with ThreadPoolExecutor(MOVERS) as pool:
+            while some := list(islice(listed, 1000)):
+                list(pool.map(lambda x: do(*x), some))
+
+    @staticmethod
+    def _exists(store: fs.FileSystem, path: str) -> bool:
+        return store.get_file_info(path).type == fs.FileType.File
+
+    def _place(self, store: fs.FileSystem, root: str, staging: str, path: str, part: str) -> None:
+        target = f"{root}/{path}"
+        store.create_dir(posixpath.dirname(target), recursive=True)
+        if self.overwrite and self._exists(store, target):
+            store.move(target, f"{staging}/{part}.before")
+        store.move(f"{staging}/{part}", target)
+
+    def _take_back(self, store: fs.FileSystem, root: str, staging: str, path: str, part: str) -> None:
+        if not self._exists(store, f"{staging}/{part}") and self._exists(store, f"{root}/{path}"):
+            store.delete_file(f"{root}/{path}")
+        if self._exists(store, f"{staging}/{part}.before"):
+            store.move(f"{staging}/{part}.before", f"{root}/{path}")
+
+    def abort(self, messages: list) -> None:
+        store, _, staging = self._open()
+        self._clear(store, staging)
+
+    @staticmethod
+    def _clear(store: fs.FileSystem, staging: str) -> None:
+        if store.get_file_info(staging).type == fs.FileType.Directory:
+            store.delete_dir(staging)
