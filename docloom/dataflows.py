@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import jsons
@@ -225,12 +225,17 @@ def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('read_file', 'Give the text of a UTF-8 file', 'path', 1), ('write_file', 'Replace or create a UTF-8 file', 'path,content', 2)) t(name, description, required, n)""")
+WITH said AS (SELECT event_type, event_id, 'last by user ' || user_id AS description, list_sort(json_keys(props)) AS names FROM events),
+last AS (SELECT event_type AS name, arg_max(description, event_id) AS description, arg_max(names, event_id) AS names FROM said GROUP BY 1)
+SELECT name, description, '{"type":"object","properties":{' || array_to_string(list_transform(names, lambda n: to_json(n) || ':{"type":"string"}'), ',')
+  || '},"required":[' || array_to_string(list_transform(names, lambda n: to_json(n)), ',') || ']}' AS parameters FROM last""")
 def tool_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = jsons.parsed(F.col("parameters"))
-    required = F.try_variant_get(v, "$.required", "array<string>")
-    known = F.size(F.map_keys(F.try_variant_get(v, "$.properties", "map<string,variant>")))
-    return tools.file_tools().definitions(spark).select("name", "description", F.array_join(required, ",").alias("required"), known.alias("n"))
+    """The tools that events name; a later event of a name registers it again, with the fields of its props."""
+    names = F.array_sort(F.json_object_keys("props"))
+    said = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.concat(F.lit("last by user "), F.col("user_id").cast("string")).alias("description"), names.alias("properties"), names.alias("required")
+    )
+    return tools.definition_rows(said)
 
 
 @query("""
@@ -358,8 +363,5 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT conv_id, n, CASE WHEN n >= 5 THEN 5 ELSE n END AS calls, n > 5 AS over FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)""")
 def call_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counter of a conversation's answers as state: it stops at the most rounds of a run."""
-    answers = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    count = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    counted = answers.select("conv_id", count.alias("k"), F.least(count, F.lit(agent.MOST_ROUNDS)).alias("calls"))
-    return counted.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("calls").cast("long").alias("calls"), (F.max("k") > agent.MOST_ROUNDS).alias("over"))
+    """Answers of a conversation, counted up to the most rounds of a run."""
+    return conversation.call_counts(log_of(spark, sf_dir), agent.MOST_ROUNDS)

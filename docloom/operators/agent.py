@@ -31,10 +31,14 @@ class Responder(Protocol):
 
 
 class Recorded:
-    """Answers looked up by the hash of the request: recordings(request_sha, content, tool_calls)."""
+    """Answers looked up by the hash of the request: recordings(request_sha, content, tool_calls).
+
+    Of several recordings of one request the one with the least text answers.
+    """
 
     def __init__(self, recordings: DataFrame):
-        self._recordings = recordings
+        one = F.min_by(F.struct("content", "tool_calls"), F.coalesce("content", F.lit("")))
+        self._recordings = recordings.groupBy("request_sha").agg(one.alias("_r")).select("request_sha", "_r.*")
 
     def complete(self, requests: DataFrame) -> DataFrame:
         keyed = requests.withColumn("request_sha", request_key(F.col("request")))
@@ -114,16 +118,16 @@ def _messages(df: DataFrame, message: Column) -> DataFrame:
 
 
 def rounds(
-    log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
+    log: DataFrame, responder: Responder, registry: Registry, *, last: DataFrame | None = None, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(said, outcomes): the messages that were added and (conv_id, answer, error) of each conversation.
+    """(said, outcomes): the messages that were added and (conv_id, answer, error, last) of each conversation, last being its last turn.
 
-    An unknown tool or bad arguments end a conversation with an error; a tool that fails
+    ``last(conv_id, last)`` tells the last turns in the log where they are known.  An unknown tool or bad arguments end a conversation with an error; a tool that fails
     does not.  A round keeps its answers and the results of its calls, and nothing of the
     log is written again.
     """
     none, no_error = F.lit(None).cast("string"), F.lit(None).cast(ERROR)
-    still = log.groupBy("conv_id").agg(F.max("turn").alias("last")).checkpoint()
+    still = log.groupBy("conv_id").agg(F.max("turn").alias("last")).checkpoint() if last is None else last.select("conv_id", "last")
     said: list[DataFrame] = []
     ended: list[DataFrame] = []
     for _ in range(most_rounds):
@@ -132,11 +136,12 @@ def rounds(
             seen = conversation.compact(seen, compact_to)
         found = responder.complete(requests(seen, system_prompt=system_prompt)).select("conv_id", "content", "tool_calls", F.lit(True).alias("_answered"))
         answers = still.join(found, "conv_id", "left").checkpoint()
-        calling, n_rows = answers.agg(F.count_if(has_calls(F.col("tool_calls"))), F.count("*")).head()
+        calling = not answers.filter(has_calls(F.col("tool_calls"))).isEmpty()
         answer = F.struct(F.lit("assistant").alias("role"), F.col("content"), none.alias("name"), F.col("tool_calls"), none.alias("tool_call_id"))
         said.append(_messages(answers.filter("_answered").withColumn("turn", F.col("last") + 1), answer))
         over = answers.filter(~has_calls(F.col("tool_calls")))
-        ended.append(over.select("conv_id", F.col("content").alias("answer"), F.when(F.col("_answered").isNull(), _problem("provider.api", "no answer")).alias("error")))
+        turn = F.col("last") + F.col("_answered").isNotNull().cast("long")
+        ended.append(over.select("conv_id", F.col("content").alias("answer"), F.when(F.col("_answered").isNull(), _problem("provider.api", "no answer")).alias("error"), turn.alias("last")))
         if not calling:
             still = None
             break
@@ -147,17 +152,17 @@ def rounds(
         # results of the calls before the first that is in error
         good = calls.join(failed.select("conv_id", F.col("_f.ord").alias("_at")), "conv_id").filter("result is not null and (_at is null or ord < _at)")
         said.append(_messages(good.withColumn("turn", (F.col("last") + 2 + F.col("ord")).cast("long")), result_message(F.col("id"), F.col("name"), F.col("result"))))
-        ended.append(failed.filter("_f is not null").select("conv_id", none.alias("answer"), F.col("_f.error").alias("error")))
+        ended.append(failed.filter("_f is not null").select("conv_id", none.alias("answer"), F.col("_f.error").alias("error"), (F.col("last") + 1 + F.col("_f.ord")).cast("long").alias("last")))
         still = failed.filter("_f is null").select("conv_id", (F.col("last") + 1 + F.col("_n")).cast("long").alias("last")).checkpoint()
     if still is not None:
-        ended.append(still.select("conv_id", none.alias("answer"), _problem("workflow.execution", f"no answer after {most_rounds} rounds").alias("error")))
+        ended.append(still.select("conv_id", none.alias("answer"), _problem("workflow.execution", f"no answer after {most_rounds} rounds").alias("error"), "last"))
     return reduce(DataFrame.unionByName, said), reduce(DataFrame.unionByName, [df.withColumn("error", F.coalesce("error", no_error)) for df in ended])
 
 
 def run(log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(log, outcomes): the grown log and (conv_id, answer, error) of each conversation.  The log is not rolled back."""
     said, outcomes = rounds(log, responder, registry, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
-    return log.unionByName(said), outcomes
+    return log.unionByName(said), outcomes.drop("last")
 
 
 def prompts(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -29,7 +29,8 @@ def compact(log: DataFrame, most: int = CONTEXT_TOKENS, content: str = "content"
     taken from the newest row backwards, fits: sums only grow towards the front.
     A newest message that alone is over the budget leaves nothing.
     """
-    newest_first = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # messages with one turn go by role and text, so that the same ones are dropped each time
+    newest_first = Window.partitionBy("conv_id").orderBy(F.desc("turn"), *[F.desc(c) for c in ("role", content) if c in log.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = log.withColumn("_suffix", F.sum(F.coalesce(F.octet_length(content), F.lit(0))).over(newest_first))
     return summed.filter(estimated_tokens(F.col("_suffix")) <= most).drop("_suffix")
 
@@ -62,3 +63,37 @@ def append(log: DataFrame, more: DataFrame) -> DataFrame:
 def cleared(log: DataFrame, conversations: DataFrame) -> DataFrame:
     """The log without the given conversations."""
     return log.join(conversations, "conv_id", "left_anti")
+
+
+def call_counts(log: DataFrame, most: int) -> DataFrame:
+    """(conv_id, n, calls, over): answers of a conversation, counted up to ``most``, and whether there were more."""
+    answers = log.filter(F.lower("role") == "assistant").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return answers.select("conv_id", "n", F.least("n", F.lit(most).cast("long")).alias("calls"), (F.col("n") > most).alias("over"))
+
+
+def match_results(log: DataFrame) -> DataFrame:
+    """(conv_id, call_id, call_turn, ord, name, arguments, result_turn, output, state) of all tool calls and results.
+
+    A result belongs to the earliest call before it with its ``tool_call_id`` that has none
+    yet, since ids may repeat in a conversation.  A call without a result is ``open``, a
+    result without a call an ``orphan``, any other pair ``answered``; a null id matches
+    nothing.  One shuffle by conversation and id: running counts number the calls and
+    those results that find one, and equal numbers meet.
+    """
+    calls = log.select("conv_id", "turn", F.posexplode("tool_calls").alias("ord", "c"))
+    calls = calls.select("conv_id", F.col("c.id").alias("call_id"), "turn", "ord", F.struct("turn", "ord", F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments")).alias("call"))
+    results = log.filter(F.lower("role") == "tool").select("conv_id", F.col("tool_call_id").alias("call_id"), "turn", F.lit(-1).alias("ord"), F.struct("turn", F.col("content").alias("output")).alias("result"))
+    events = calls.unionByName(results, allowMissingColumns=True)
+    known = events.filter("call_id is not null")
+    so_far = Window.partitionBy("conv_id", "call_id").orderBy("turn", "ord", "result.output").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_call = F.col("call").isNotNull()
+    counted = known.withColumn("_calls", F.count("call").over(so_far)).withColumn("_results", F.count("result").over(so_far))
+    # results without a call so far: how deep the balance of calls and results has ever been below zero
+    counted = counted.withColumn("_lost", F.greatest(F.lit(0), F.max(F.col("_results") - F.col("_calls")).over(so_far)))
+    earlier = F.coalesce(F.lag("_lost").over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "ord", "result.output")), F.lit(0))
+    orphan = ~is_call & (F.col("_lost") > earlier)
+    numbered = counted.withColumn("_n", F.when(is_call, F.col("_calls")).when(orphan, -F.col("_lost")).otherwise(F.col("_results") - F.col("_lost")))
+    pairs = numbered.groupBy("conv_id", "call_id", "_n").agg(F.max("call").alias("call"), F.max("result").alias("result")).drop("_n")
+    pairs = pairs.unionByName(events.filter("call_id is null").select("conv_id", "call_id", "call", "result"))
+    state = F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "open").otherwise("answered")
+    return pairs.select("conv_id", "call_id", F.col("call.turn").alias("call_turn"), "call.ord", "call.name", "call.arguments", F.col("result.turn").alias("result_turn"), "result.output", state.alias("state"))

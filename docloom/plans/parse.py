@@ -115,14 +115,15 @@ def parse_plans(files: DataFrame, *, strict: bool = False) -> DataFrame:
     text = text.withColumn("_kind", kind)
     loaded = text.withColumn("_yaml", F.when(F.col("_kind") == "yaml", _yaml_to_json(F.when(F.col("_kind") == "yaml", F.col("_text")))))
     v = jsons.parsed(F.when(F.col("_kind") == "yaml", F.col("_yaml.json")).otherwise(F.col("_text")))
-    loaded = loaded.withColumn("_v", v)
+    # bound behind a generator: a filter on the result would else repeat the parsing for each of its uses
+    loaded = loaded.select("*", F.explode(F.array(v)).alias("_v"))
     problem = F.coalesce(
         F.when(~F.col("format").isin(*PLAN_FORMATS), F.concat(F.lit("Unsupported format: "), "format")),
         F.when(markdown & F.col("_block").isNull(), "No code block found in markdown"),
         F.col("_yaml.problem"),
         _plan_problem(F.col("_v")),
     )
-    checked = loaded.withColumn("_problem", problem)
+    checked = loaded.select("path", "_v", F.explode(F.array(problem)).alias("_problem"))
     out = checked.select(
         "path",
         F.when(F.col("_problem").isNull(), F.try_variant_get("_v", "$", PLAN)).alias("plan"),

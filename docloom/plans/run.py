@@ -11,7 +11,8 @@ A round runs the next agent task of every plan that is still going, so there are
 rounds as the plan with the most of them has, however many plans there are.
 
 Cases with a defined result
-  no steps          the plan is done
+  null plan         left out
+  no steps          the plan is not among the results
   repeated id       those that are ready first run; the plan ends with an error
   null prompt       an empty message
   empty table       empty results
@@ -46,6 +47,7 @@ def run_plans(
     plans  (plan, n_steps, n_done, error): the failed step's error, or that of a deadlock
     log    the conversations, with the plan as conv_id
     """
+    steps = steps.filter("plan is not null")
     scheduled = waves.schedule(steps)
     wanted = steps.select(F.col("plan").alias("_p"), F.col("ord").alias("_o"), F.col("action.type").alias("action"), F.col("action.params.prompt").alias("prompt"))
     joined = scheduled.join(wanted, F.col("plan").eqNullSafe(F.col("_p")) & (F.col("ord") == F.col("_o"))).drop("_p", "_o")
@@ -53,7 +55,7 @@ def run_plans(
     task = (F.col("action") == "agent_task") & F.col("wave").isNotNull()
     placed = joined.withColumn("place", F.when(F.col("wave").isNotNull(), F.row_number().over(in_order)))
     placed = placed.withColumn("_task", F.when(task, F.sum(task.cast("long")).over(in_order))).checkpoint()
-    tasks = placed.filter("_task is not null").select("plan", "_task", "place", F.coalesce("prompt", F.lit("")).alias("prompt"))
+    tasks = placed.filter("_task is not null").select(F.col("plan").alias("conv_id"), "_task", F.coalesce("prompt", F.lit("")).alias("prompt"))
     most = tasks.agg(F.max("_task")).head()[0] or 0
 
     spark = steps.sparkSession
@@ -61,27 +63,23 @@ def run_plans(
     empty = spark.createDataFrame([], LOG.replace("conv_id long", f"conv_id {kind}"))
     parts: list[DataFrame] = []  # what each round adds to the log
     results: list[DataFrame] = []
-    going = None  # plans still going, with their last turn; before the first round all of them
     for k in range(1, most + 1):
-        asked = tasks.filter(F.col("_task") == k).select(F.col("plan").alias("conv_id"), "prompt", "place")
-        if going is not None:
-            asked = asked.join(going, "conv_id")
-        last = F.col("last") if going is not None else F.lit(-1)
-        asked = asked.withColumn("turn", (last + 1).cast("long"))
-        new = agent._messages(asked, conversation.message("user", F.col("prompt")))
+        asked = tasks.filter(F.col("_task") == k)
+        if results:
+            asked = asked.join(results[-1].filter("error is null").select("conv_id", "last"), "conv_id").withColumn("last", F.col("last") + 1)
+        else:
+            asked = asked.withColumn("last", F.lit(0).cast("long"))
+        asked = asked.checkpoint()
+        new = agent._messages(asked.withColumn("turn", F.col("last")), conversation.message("user", F.col("prompt")))
         before = reduce(DataFrame.unionByName, parts).join(asked.select("conv_id"), "conv_id", "left_semi") if parts else empty
-        said, outcomes = agent.rounds(before.unionByName(new), responder, registry, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
-        part = new.unionByName(said).checkpoint()
-        parts.append(part)
-        ended = outcomes.join(asked.select("conv_id", "place"), "conv_id").checkpoint()
-        results.append(ended)
-        turns = part.groupBy("conv_id").agg(F.max("turn").alias("last"))
-        going = ended.filter("error is null").select("conv_id").join(turns, "conv_id").checkpoint()
+        said, outcomes = agent.rounds(before.unionByName(new), responder, registry, last=asked, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
+        parts.append(new.unionByName(said))
+        results.append(outcomes.withColumn("_task", F.lit(k).cast("long")))
 
-    done = reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], f"conv_id {kind}, answer string, error {ERROR}, place int")
-    done = done.select(F.col("conv_id").alias("plan"), "place", F.col("answer").alias("output"), F.col("error").alias("_error"))
+    done = reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], f"conv_id {kind}, answer string, error {ERROR}, last long, _task long")
+    done = done.select(F.col("conv_id").alias("plan"), "_task", F.col("answer").alias("output"), F.col("error").alias("_error"))
     stopped = Window.partitionBy("plan")
-    ran = placed.join(done, ["plan", "place"], "left").withColumn("_stop", F.min(F.when(F.col("_error").isNotNull(), F.col("place"))).over(stopped))
+    ran = placed.join(done, ["plan", "_task"], "left").withColumn("_stop", F.min(F.when(F.col("_error").isNotNull(), F.col("place"))).over(stopped))
     state = F.when(F.col("place").isNull() | (F.col("place") > F.col("_stop")), "skipped").when(F.col("place") == F.col("_stop"), "failed").otherwise("done")
     ran = ran.select("plan", "wave", "ord", "id", "place", state.alias("state"), "output", F.col("_error").alias("error"))
     counted = ran.groupBy("plan").agg(

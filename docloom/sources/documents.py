@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import logging
 import os
 import posixpath
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -26,6 +28,7 @@ from itertools import islice
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+log = logging.getLogger("docloom")
 #: Files that the driver moves at once.
 MOVERS = 16
 
@@ -59,8 +62,10 @@ class DocumentSink(DataSource):
 class DocumentWriter(DataSourceWriter):
     def __init__(self, root: str, overwrite: bool):
         self.uri, self.overwrite = root, overwrite
-        file_system(root)  # an unknown one is refused at once
         self.job = uuid.uuid4().hex
+        store, _, staging = self._open()  # an unknown file system is refused at once
+        # tasks do not make this folder, so one that outlives an abort has nowhere to write
+        store.create_dir(staging, recursive=True)
 
     def _open(self) -> tuple[fs.FileSystem, str, str]:
         store, root = file_system(self.uri)
@@ -70,7 +75,7 @@ class DocumentWriter(DataSourceWriter):
         store, root, staging = self._open()
         attempt = uuid.uuid4().hex
         folder = f"{staging}/{attempt}"
-        store.create_dir(folder, recursive=True)
+        store.create_dir(folder, recursive=False)
         listed = []
         for n, row in enumerate(rows):
             if row["path"] is None:
@@ -151,5 +156,11 @@ class DocumentWriter(DataSourceWriter):
 
     @staticmethod
     def _clear(store: fs.FileSystem, staging: str) -> None:
-        if store.get_file_info(staging).type == fs.FileType.Directory:
-            store.delete_dir(staging)
+        for wait in (0, 0.1, 0.5, 2):  # a task that is being killed may still write
+            time.sleep(wait)
+            if store.get_file_info(staging).type != fs.FileType.Directory:
+                return
+            try:
+                store.delete_dir(staging)
+            except OSError as e:
+                log.warning("%s: %s", staging, e)

@@ -1,24 +1,34 @@
 """A source tree as a table: ``spark.read.format("tree").load(root)``.
 
-Spark's own file sources leave out names that begin with a dot or an underscore
-and know no ignore rules, hence a Python data source.  Each entry of the top
-folder is a partition.  Options: ``ignore`` (rules, one a line; what they match
-is left out whatever else says), ``gitignore`` (default true: honour .gitignore
-files at every level), ``content`` (default true).
+Spark's own file sources leave out names that begin with a dot or an underscore and know
+no ignore rules, hence a Python data source.  The root is a path or the URI of any file
+system that pyarrow knows.  Options: ``ignore`` (rules, one a line; what they match is
+left out whatever else says), ``gitignore`` (default true: honour .gitignore files at
+every level), ``content`` (default true), ``partitions`` (default 64).
+
+The tree is opened level by level, each folder with the rules that it inherits, until
+there are enough folders for all partitions; those and the files above them are packed
+into partitions by how many entries they have, so that a tree below one top folder, or a
+folder with very many files, is read by many tasks.  Links are not followed.
 """
 
 from __future__ import annotations
 
-import datetime
 import os
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import ignore
+from .documents import file_system
 
 SCHEMA = "path string, length long, modified timestamp, content binary"
+#: Files of an opened folder that make one piece of work.
+PIECE = 1000
 
 
 class TreeSource(DataSource):
@@ -33,54 +43,108 @@ class TreeSource(DataSource):
         return TreeReader(dict(self.options))
 
 
-class Entry(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+@dataclass
+class Piece:
+    """A folder with all below it, or one of ``of`` shares of the files in it."""
+
+    folder: str
+    rules: list
+    entries: int
+    share: int = 0
+    of: int = 0
+
+
+@dataclass
+class Packed(InputPartition):
+    pieces: list[Piece]
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = os.path.abspath(options["path"].removeprefix("file://"))
+        self.uri = options["path"]
         self.fixed = ignore.rules(options.get("ignore", ""))
         self.honour = options.get("gitignore", "true").lower() == "true"
         self.content = options.get("content", "true").lower() == "true"
+        self.wanted = int(options.get("partitions", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        return [Entry(name) for name in sorted(os.listdir(self.root))]
+        store, root = file_system(self.uri)
+        if store.get_file_info(root).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"no folder: {self.uri}")
+        level = [("", self._rules_of(store, root, "", []))]
+        pieces: list[Piece] = []
+        while level and len(level) < 4 * self.wanted:
+            below = []
+            for folder, sets in level:
+                files = 0
+                for path, info in self._entries(store, root, folder, sets):
+                    if info.type == fs.FileType.Directory:
+                        below.append((path, self._rules_of(store, root, path, sets)))
+                    else:
+                        files += 1
+                of = -(-files // PIECE)
+                pieces += [Piece(folder, sets, files // of, share, of) for share in range(of)]
+            level = below
+        pieces += [Piece(folder, sets, len(self._listed(store, root, folder))) for folder, sets in level]
+        packed = [Packed([]) for _ in range(min(self.wanted, max(1, len(pieces))))]
+        loads = [0] * len(packed)
+        for piece in sorted(pieces, key=lambda p: -p.entries):
+            least = loads.index(min(loads))
+            packed[least].pieces.append(piece)
+            loads[least] += piece.entries + 1
+        return packed
+
+    def read(self, partition: Packed) -> Iterator[tuple]:
+        store, root = file_system(self.uri)
+        for piece in partition.pieces:
+            if piece.of:
+                for path, info in self._entries(store, root, piece.folder, piece.rules):
+                    if info.type == fs.FileType.File and zlib.crc32(info.base_name.encode("utf-8", "surrogateescape")) % piece.of == piece.share:
+                        yield self._row(store, path, info)
+            else:
+                yield from self._walk(store, root, piece.folder, piece.rules)
+
+    def _walk(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> Iterator[tuple]:
+        for path, info in self._entries(store, root, folder, sets):
+            if info.type == fs.FileType.Directory:
+                yield from self._walk(store, root, path, self._rules_of(store, root, path, sets))
+            else:
+                yield self._row(store, path, info)
+
+    def _rules_of(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> list:
+        """The rules inside a folder: those of the folders above, and its own."""
+        path = f"{root}/{folder}/.gitignore" if folder else f"{root}/.gitignore"
+        if self.honour and store.get_file_info(path).type == fs.FileType.File:
+            with store.open_input_stream(path) as f:
+                return [*sets, (folder, ignore.rules(f.read().decode("utf-8", "replace")))]
+        return sets
 
-    def read(self, partition: Entry) -> Iterator[tuple]:
-        yield from self._walk(partition.name, self._rules_of("", []))
+    @staticmethod
+    def _listed(store: fs.FileSystem, root: str, folder: str) -> list[fs.FileInfo]:
+        return store.get_file_info(fs.FileSelector(f"{root}/{folder}" if folder else root))
 
-    def _rules_of(self, folder: str, sets: list) -> list:
-        path = os.path.join(self.root, folder, ".gitignore")
-        if self.honour and os.path.isfile(path):
-            with open(path, encoding="utf-8", errors="replace") as f:
-                return [*sets, (folder, ignore.rules(f.read()))]
-        return sets
+    def _entries(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> Iterator[tuple[str, fs.FileInfo]]:
+        """(path, info) of the files and folders in a folder that no rule leaves out, by name."""
+        for info in sorted(self._listed(store, root, folder), key=lambda i: i.base_name):
+            path = f"{folder}/{info.base_name}" if folder else info.base_name
+            directory = info.type == fs.FileType.Directory
+            if not directory and info.type != fs.FileType.File or isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path):
+                continue
+            if not ignore.ignored(path, directory, [("", self.fixed)]) and not ignore.ignored(path, directory, sets):
+                yield path, info
 
-    def _walk(self, path: str, sets: list) -> Iterator[tuple]:
-        full = os.path.join(self.root, path)
-        if os.path.islink(full):
-            return
-        directory = os.path.isdir(full)
-        if ignore.ignored(path, directory, [("", self.fixed)]) or ignore.ignored(path, directory, sets):
-            return
-        if directory:
-            inner = self._rules_of(path, sets)
-            for name in sorted(os.listdir(full)):
-                yield from self._walk(f"{path}/{name}", inner)
-        elif os.path.isfile(full):
-            stat = os.stat(full)
-            data = None
-            if self.content:
-                with open(full, "rb") as f:
-                    data = f.read()
-            yield (path, stat.st_size, datetime.datetime.fromtimestamp(stat.st_mtime, datetime.UTC), data)
+    def _row(self, store: fs.FileSystem, path: str, info: fs.FileInfo) -> tuple:
+        data = None
+        if self.content:
+            with store.open_input_stream(info.path) as f:
+                data = f.read()
+        return (path, info.size, info.mtime, data)
 
 
 def register(spark: SparkSession) -> None:
+    from ..streaming.recorded import RecordedChunks
     from .documents import DocumentSink
 
     spark.dataSource.register(TreeSource)
     spark.dataSource.register(DocumentSink)
+    spark.dataSource.register(RecordedChunks)
