@@ -3,7 +3,7 @@
 Short texts are encoded word by word: a tokenizer whose pieces never span white
 space gives a word the same ids wherever it stands, so a worker encodes a word
 once and looks it up from then on, for all words of many texts at once.  Words
-are told apart by 64-bit hashes.  Whether a tokenizer is of that kind is tried
+are found by 64-bit hashes and compared byte by byte.  Whether a tokenizer is of that kind is tried
 out on sample words; with any other, texts are encoded whole.
 
 Long texts are encoded by tree concatenation.  Spark cuts a text over
@@ -40,14 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import begin_task, kept
-from .wordarrays import Words, slices
+from .wordarrays import Words, same_bytes, slices
 
 #: Texts over this many code points are cut up by Spark.
 SPLIT_CHARS = 1 << 16
 #: Words over this many code points are cut up inside a task.
 LEAF_CHARS = 2048
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+#: Words whose ids a worker remembers, and the bytes from which on it forgets some.
+REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 26
 _WINDOW = 8
 # words by which it is seen whether a tokenizer splits at white space and lowers case
 _PROBES = ["a", "The", "it's", "'Ve", "x1Y2", "ÀÉî", "...", "#A-b", "1", "\"Ab,", "漢字", "I'LL", "E\u0301"]
@@ -90,7 +90,8 @@ class Encoded:
 class WordTable:
     """The ids of up to ``most`` words by the words' 64-bit hashes: an open-addressing table in numpy arrays.
 
-    When it is full, words that were not asked for again since the last time make room.
+    The words' bytes stand beside their ids, so that a word is known for certain.  When it
+    is full, words that were not asked for again since the last time make room.
     """
 
     def __init__(self, most: int):
@@ -105,6 +106,8 @@ class WordTable:
         self._used = np.zeros(self.most, bool)
         self.first = np.zeros(self.most + 1, np.int64)
         self.ids = np.zeros(1 << 12, np.int32)
+        self.at = np.zeros(self.most + 1, np.int64)
+        self.bytes = np.zeros(1 << 12, np.uint8)
         self.n = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -120,9 +123,14 @@ class WordTable:
         self._used[out[out >= 0]] = True
         return out
 
-    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New words: different hashes that the table lacks, the number of ids of each, and all ids in turn."""
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray, raw: np.ndarray) -> None:
+        """New words: different hashes that the table lacks, the number of ids of each, all ids in turn, and the same of bytes."""
         n, m = self.n, len(h)
+        self.at[n + 1 : n + m + 1] = self.at[n] + np.cumsum(lengths)
+        end = int(self.at[n + m])
+        if end + 24 > len(self.bytes):  # room to read whole 64-bit words
+            self.bytes = np.concatenate([self.bytes, np.zeros(-(-(end + 24) // 8) * 8, np.uint8)])
+        self.bytes[end - len(raw) : end] = raw
         self._hash[n : n + m] = h
         self.first[n + 1 : n + m + 1] = self.first[n] + np.cumsum(counts)
         end = int(self.first[n + m])
@@ -141,18 +149,33 @@ class WordTable:
         self.n = n + m
 
     def make_room(self, m: int) -> None:
-        if self.n + m > self.most:
+        if self.n + m > self.most or self.at[self.n] > REMEMBERED_BYTES:
             keep = np.flatnonzero(self._used[: self.n])[: max(0, self.most // 2 - m)]
+            keep = keep[np.cumsum(np.diff(self.at)[keep]) <= REMEMBERED_BYTES // 2]
             h, counts, ids = self._hash[keep], np.diff(self.first)[keep], self.take(keep)
+            lengths = np.diff(self.at)[keep]
+            raw = self.bytes[places(self.at[keep], lengths)]
             self._clear()
-            self.add(h, counts, ids)
+            self.add(h, counts, ids, lengths, raw)
+
+    def is_word(self, entries: np.ndarray, words: Words, which: np.ndarray) -> np.ndarray:
+        """Whether each entry is of the word with that number, byte for byte."""
+        start, length = words.start[which], words.end[which] - words.start[which]
+        out = self.at[entries + 1] - self.at[entries] == length
+        alike = np.flatnonzero(out)
+        out[alike] = same_bytes(words.aligned, start[alike], self.bytes.view("<u8"), self.at[entries[alike]], length[alike])
+        return out
 
     def take(self, entries: np.ndarray) -> np.ndarray:
         """The ids of the entries, in turn."""
         start = self.first[entries]
-        counts = self.first[entries + 1] - start
-        at = np.repeat(start - np.cumsum(counts) + counts, counts)
-        return self.ids[at + np.arange(len(at))]
+        return self.ids[places(start, self.first[entries + 1] - start)]
+
+
+def places(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of ranges, in turn."""
+    at = np.repeat(start - np.cumsum(counts) + counts, counts)
+    return at + np.arange(len(at))
 
 
 class Coder:
@@ -229,8 +252,9 @@ class Coder:
         whole = words.raw.tobytes()
         for mine, encode in ((plain, self._by_pieces), (~long & ~plain, self._by_library), (long, self._by_tree)):
             if mine.any():
-                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(words.start[which[mine]].tolist(), words.end[which[mine]].tolist())]
-                self._table.add(h[mine], *encode(texts))
+                start, end = words.start[which[mine]], words.end[which[mine]]
+                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
+                self._table.add(h[mine], *encode(texts), end - start, words.raw[places(start, end - start)])
 
     def encode_column(self, column: pa.Array) -> pa.ListArray:
         """The ids of each text; a null reads as an empty text."""
@@ -244,6 +268,7 @@ class Coder:
         h = np.maximum(words.hashes(), np.uint64(1))
         table, step = self._table, max(1, self._table.most // 4)
         counts, parts = np.zeros(len(h), np.int64), [np.zeros(0, np.int32)]
+        wrong: list[np.ndarray] = []  # words whose hash is another word's
         for at in range(0, len(h), step):  # so few that what is new always finds room
             some = h[at : at + step]
             entries = table.find(some)
@@ -256,10 +281,15 @@ class Coder:
                     table.make_room(len(new))
                 self._learn(words, odd, at + unknown[first], new)
                 entries = table.find(some)
+            wrong.append(at + np.flatnonzero(~table.is_word(entries, words, np.arange(at, at + len(some)))))
             counts[at : at + step] = table.first[entries + 1] - table.first[entries]
             parts.append(table.take(entries))
-        bounds = np.concatenate(([0], np.cumsum(counts)))[words.first].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))
+        bounds, ids = np.concatenate(([0], np.cumsum(counts)))[words.first], np.concatenate(parts)
+        if any(map(len, wrong)):  # such texts are encoded whole
+            again = set(words.doc[np.concatenate(wrong)].tolist())
+            each = [self.encode_tree(column[r].as_py()).ids.astype(np.int32) if r in again else ids[bounds[r] : bounds[r + 1]] for r in range(len(column))]
+            bounds, ids = np.cumsum([0, *map(len, each)]), np.concatenate(each)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
     def decode_column(self, ids: pa.ListArray) -> pa.Array:
         """The text of each id list: token strings joined by one space, as a tokenizer without a decoder gives."""

@@ -6,37 +6,19 @@ Python string per word: a word is a (start, end) pair and a 64-bit hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .scratch import kept
-
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# Seeded once: the value of each byte and the base of the polynomial.
-_VALUE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E6C63D0876A9A47 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-kept.append(_powers)
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        base = np.full(max(n, SLICE_BYTES + 1), _BASE if which == "up" else _INVERSE, np.uint64)
-        base[0] = 1
-        have = _powers[which] = np.cumprod(base)
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = h ^ (h >> _U(30))
@@ -68,6 +50,40 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         first = last
 
 
+#: Ranges of more bytes are hashed one by one.
+_CHAINED = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def aligned(raw: np.ndarray) -> np.ndarray:
+    """Bytes as little-endian 64-bit words, with two of zeros behind them."""
+    out = np.zeros((len(raw) // 8 + 3) * 8, np.uint8)
+    out[: len(raw)] = raw
+    return out.view("<u8")
+
+
+def chunk(words: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, or as many as are ``left``, as numbers."""
+    word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    both = (words[word] >> shift) | ((words[word + 1] << (_U(63) - shift)) << _U(1))
+    return both & _MASK[np.minimum(left, 8)]
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether ``n`` bytes are alike in both, given as aligned words and places in them."""
+    out = np.ones(len(n), bool)
+    for k in np.flatnonzero(n > _CHAINED).tolist():
+        x, y, m = int(a_at[k]), int(b_at[k]), int(n[k])
+        out[k] = np.array_equal(a.view(np.uint8)[x : x + m], b.view(np.uint8)[y : y + m])
+    todo = np.flatnonzero((n > 0) & (n <= _CHAINED))
+    x, y, left = a_at[todo], b_at[todo], n[todo]
+    while len(todo):
+        out[todo] &= chunk(a, x, left) == chunk(b, y, left)
+        on = left > 8
+        todo, x, y, left = todo[on], x[on] + 8, y[on] + 8, left[on] - 8
+    return out
+
+
 class Words:
     """All words of a string column.
 
@@ -91,20 +107,36 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
-        self._sums: np.ndarray | None = None
+        self._aligned: np.ndarray | None = None
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    @property
+    def aligned(self) -> np.ndarray:
+        """The bytes as 64-bit words, with two of zeros behind them."""
+        if self._aligned is None:
+            self._aligned = aligned(self.raw)
+        return self._aligned
+
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each byte range; equal bytes hash alike wherever they stand."""
-        if self._sums is None:
-            n = len(self.raw)
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUE[self.raw] * _power("up", n), out=self._sums[1:])
-        down = _power("down", len(self.raw) + 1)
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
+        """Hash of each byte range; equal bytes hash alike wherever they stand.
+
+        Eight bytes after the other are mixed into what came before; a range over
+        ``_CHAINED`` bytes is digested whole.
+        """
+        n = end - start
+        h = mix(n.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0x2545F4914F6CDD1D))
+        todo = np.flatnonzero((n > 0) & (n <= _CHAINED))
+        at, left = start[todo], n[todo]
+        while len(todo):
+            h[todo] = mix(h[todo] ^ chunk(self.aligned, at, left))
+            on = left > 8
+            todo, at, left = todo[on], at[on] + 8, left[on] - 8
+        for k in np.flatnonzero(n > _CHAINED).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self.raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def hashes(self) -> np.ndarray:
         return self.range_hash(self.start, self.end)
