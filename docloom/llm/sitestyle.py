@@ -27,7 +27,13 @@ Cases with a defined result
   empty html      the same
   null url        all such pages form one host
   broken markup   elements left open are closed by their parents' ends; an end
-                  without a start is ignored
+                  without a start is ignored; a tag that never ends, or in which a
+                  quote stays open, is text
+  deep markup     read as it stands; a path is a number, so memory and time stay
+                  linear in the page
+  very long html  read whole
+  ties            a path of just MIN_IMPORTANCE stays, a content on just SAME_PAGES
+                  of the pages goes
   repeated rows   each row is extracted
   empty table     an empty result
   extra columns   not returned
@@ -35,6 +41,7 @@ Cases with a defined result
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -72,47 +79,123 @@ ROLES = set(
     "comment comments disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search form pagination pager skip toolbar alert".split()
 )
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>", re.I)
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile("[>\"']")
 _STYLE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGITS = re.compile(r"\d{2,}")
 _PART = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _path(parent: int, style: str) -> int:
+    """The number of a path: a hash of its parent's and of the last style, so that a path takes the same room at any depth."""
+    return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + style.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Tags:
+    """Where the tags of a text end, each place of which is looked at a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes; where a quote stays open there is no tag.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self._name = self._first = (0, -1)  # from where a search went, and what it found
+        self._open: set[int] = set()  # quotes behind which no tag ends
+
+    def name_end(self, at: int) -> int:
+        if not self._name[0] <= at <= self._name[1]:
+            m = _NAME_END.search(self.source, at)
+            self._name = at, m.start() if m else len(self.source)
+        return self._name[1]
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin here, or -1."""
+        passed: list[int] = []
+        p = at
+        while True:
+            if not passed and self._first[0] <= p <= self._first[1]:
+                q = self._first[1]
+            else:
+                m = _SPECIAL.search(self.source, p)
+                q = m.start() if m else len(self.source)
+                if not passed:
+                    self._first = p, q
+            if q < len(self.source) and self.source[q] == ">":
+                return q
+            close = -1 if q == len(self.source) or q in self._open else self.source.find(self.source[q], q + 1)
+            passed.append(q)
+            if close < 0:
+                self._open.update(passed)
+                return -1
+            p = close + 1
+
+
 class Element:
-    __slots__ = ("tag", "path", "keep", "low", "rooted", "children")
+    __slots__ = ("tag", "path", "keep", "low", "rooted", "children", "parent", "block")
 
-    def __init__(self, tag: str, path: str, keep: bool, low: bool, rooted: bool):
+    def __init__(self, tag: str, path: int, keep: bool, low: bool, rooted: bool, parent: int, block: int):
         self.tag, self.path, self.keep, self.low, self.rooted, self.children = tag, path, keep, low, rooted, []
+        self.parent, self.block = parent, block  # the path above, and where in the stack the nearest block is
 
 
 class Page:
-    """Blocks (path, text, keep, rooted, low) of one page in order, and elements seen (path, children)."""
+    """Blocks (path, text, keep, rooted, low) of one page in order, elements seen (path, children), and
+    the (parent, depth, rooted) of each path.  A path is a number.  Time and memory are linear in the page."""
 
-    def __init__(self, source: str, low: frozenset[str] | set[str] = frozenset()):
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
-        self.elements: list[tuple[str, str]] = []
+    def __init__(self, source: str, low: frozenset[int] | set[int] = frozenset()):
+        self.blocks: list[tuple[int, str, bool, bool, bool]] = []
+        self.elements: list[tuple[int, str]] = []
+        self.paths: dict[int, tuple[int, int, bool]] = {0: (0, 0, False)}
         self._low = low
         self._text: list[str] = []
-        self._stack = [Element("", "", True, False, False)]
-        for m in _TOKEN.finditer(source):
-            text = m["text"]
-            if text is not None:
-                self._text.append(text)
-            elif m["tag"]:
-                tag = m["tag"].lower()
-                if m["end"]:
-                    self._close(tag)
-                else:
-                    self._open(tag, m["attributes"])
+        self._stack = [Element("", 0, True, False, False, 0, 0)]
+        self._places: dict[str, list[int]] = {}
+        self._read(source)
         self._flush()
         while len(self._stack) > 1:
             self._pop()
 
+    def _read(self, source: str) -> None:
+        tags, n, pos = Tags(source), len(source), 0
+        while pos < n:
+            at = source.find("<", pos)
+            if at < 0:
+                at = n
+            if at > pos:
+                self._text.append(source[pos:at])
+                pos = at
+                continue
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                pos = n if end < 0 else end + 3
+                continue
+            closed = tags.last > at  # else no tag can end
+            raw = _RAW.match(source, at) if closed else None
+            if raw:
+                end = re.compile(rf"</{raw[1]}\s*>", re.I).search(source, raw.end())
+                pos = end.end() if end else n
+                continue
+            name = at + 2 if source.startswith("</", at) else at + 1
+            if closed and source[name : name + 1].isascii() and source[name : name + 1].isalpha():
+                stop = tags.name_end(name)
+                end = tags.end(stop)
+                if end >= 0:
+                    tag = source[name:stop].lower()
+                    if name > at + 1:
+                        self._close(tag)
+                    else:
+                        self._open(tag, source[stop:end])
+                    pos = end + 1
+                    continue
+            if closed and source[at + 1 : at + 2] in ("!", "?", "/"):
+                pos = source.find(">", at) + 1
+                continue
+            self._text.append("<")
+            pos = at + 1
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag == "hr":
@@ -124,12 +207,9 @@ class Page:
             self._flush()
             closes = _CLOSES.get(tag, {"p"} if tag in BLOCKS else ())
             # an open element of these is ended by the new one, with the inline ones inside it
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self._stack[k].tag in closes:
-                    while len(self._stack) > k:
-                        self._pop()
-                elif self._stack[k].tag in BLOCKS:
-                    break
+            while (k := self._stack[-1].block) and self._stack[k].tag in closes:
+                while len(self._stack) > k:
+                    self._pop()
             if tag == "body":
                 while len(self._stack) > 1 and self._stack[-1].tag != "html":
                     self._pop()
@@ -140,7 +220,7 @@ class Page:
             if named:
                 style += "".join(("." if k == "class" else "#" if k == "id" else "@") + _DIGITS.sub("0", v) for k, v in named)
                 roles = [p for _, v in named for p in _PART.split(v)]
-        path = f"{up.path}/{style}"
+        path = _path(up.path, style)
         rooted = up.rooted or tag in ("article", "main")
         keep = up.keep and tag not in SKIPPED and not (tag == "header" and not up.rooted) and (tag in ("html", "body") or ROLES.isdisjoint(roles))
         # what stands around an article does not make it unimportant
@@ -148,23 +228,24 @@ class Page:
         if tag in BLOCKS and tag not in ("html", "body") and path in self._low:
             low = True
         up.children.append(style)
-        self._stack.append(Element(tag, path, keep, low, rooted))
+        place = len(self._stack)
+        self.paths[path] = (up.path, place, rooted)
+        self._places.setdefault(tag, []).append(place)
+        self._stack.append(Element(tag, path, keep, low, rooted, up.path, place if tag in BLOCKS else up.block))
 
     def _close(self, tag: str) -> None:
-        if tag in VOID:
+        places = self._places.get(tag)
+        # an inline element ends inside its block only
+        if tag in VOID or not places or tag not in BLOCKS and places[-1] < self._stack[-1].block:
             return
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k].tag == tag:
-                if tag in BLOCKS:
-                    self._flush()
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if tag not in BLOCKS and self._stack[k].tag in BLOCKS:
-                return
+        if tag in BLOCKS:
+            self._flush()
+        for _ in range(len(self._stack) - places[-1]):
+            self._pop()
 
     def _pop(self) -> None:
         e = self._stack.pop()
+        self._places[e.tag].pop()
         if e.tag in BLOCKS:
             self.elements.append((e.path, " ".join(e.children)))
 
@@ -174,11 +255,11 @@ class Page:
             self._text.clear()
             text = _SPACE.sub(" ", html.unescape(raw)).strip()
             if text:
-                holder = next((e for e in reversed(self._stack) if e.tag in BLOCKS), self._stack[0])
                 own = self._stack[-1]
+                holder = self._stack[own.block]
                 self.blocks.append((holder.path, text, own.keep, own.rooted, own.low))
 
-    def main_text(self, high: Collection[str] = (), repeated: Collection[tuple[str, int]] = (), at: Sequence[tuple[str, int]] = ()) -> str:
+    def main_text(self, high: Collection[int] = (), repeated: Collection[tuple[int, int]] = (), at: Sequence[tuple[int, int]] = ()) -> str:
         """The kept blocks.  ``high``: important paths outside an article; ``repeated``: contents at their
         paths that many pages show, as (path, hash), where ``at`` has each block's."""
         again = [b[4] or (k < len(at) and at[k] in repeated) for k, b in enumerate(self.blocks)]
@@ -190,13 +271,13 @@ class Page:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n, pages): how often each content (kind 0) or presentation (1) occurs
+    """(host, path, parent, depth, inside, kind, value, n, pages): how often each content (kind 0) or presentation (1) occurs
     at a path of a host, over its different pages, and how many of those show it; kind 2 counts the pages that have the path."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "html"):
-                out: list[tuple[str, int, str, int, str, int]] = []
+                out: list[tuple] = []
                 copy: list[str] = []
                 for row, (host, source) in enumerate(zip(rows.column("host").to_pylist(), rows.column("html").to_pylist())):
                     page = Page(source or "")
@@ -204,15 +285,21 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     seen = Counter((path, 0, text) for path, text, *_ in page.blocks)
                     seen.update((path, 1, children) for path, children in page.elements)
                     seen.update((path, 2, "") for path in {path for path, _, _ in seen})
-                    out += [(host, row, path, kind, value, n) for (path, kind, value), n in seen.items()]
+                    out += [(host, row, path, *page.paths[path], kind, value, n) for (path, kind, value), n in seen.items()]
                 if out:
-                    host, row, path, kind, value, n = zip(*out)
+                    host, row, path, parent, depth, inside, kind, value, n = zip(*out)
                     page_of = _hashes(tuple(copy))[list(row)]
-                    yield pa.RecordBatch.from_pydict({"host": host, "page": page_of, "path": path, "kind": pa.array(kind, pa.int32()), "value": _hashes(value), "n": pa.array(n, pa.int64())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "host": host, "page": page_of, "path": pa.array(path, pa.int64()), "parent": pa.array(parent, pa.int64()), "depth": pa.array(depth, pa.int32()), "inside": inside,
+                            "kind": pa.array(kind, pa.int32()), "value": _hashes(value), "n": pa.array(n, pa.int64()),
+                        }
+                    )
 
-    found = pages.mapInArrow(scan, "host string, page long, path string, kind int, value long, n long")
-    once = found.groupBy("host", "page", "path", "kind", "value").agg(F.max("n").alias("n"))
-    return once.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    found = pages.mapInArrow(scan, "host string, page long, path long, parent long, depth int, inside boolean, kind int, value long, n long")
+    # a path has one parent, depth and place inside or outside an article
+    once = found.groupBy("host", "page", "path", "parent", "depth", "inside", "kind", "value").agg(F.max("n").alias("n"))
+    return once.groupBy("host", "path", "parent", "depth", "inside", "kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
 
 
 def _hashes(values: Sequence[str]) -> np.ndarray:
@@ -223,12 +310,12 @@ def _hashes(values: Sequence[str]) -> np.ndarray:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, n, importance): different pages that have a node, and composite importance, of each node of each host's tree."""
+    """(host, path, inside, n, importance): different pages that have a node, and composite importance, of each node of each host's tree."""
     # entropy of the shares n_i / N over log N; a value met once in every place gives 1
-    per_path = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    per_path = counts.groupBy("host", "path", "parent", "depth", "inside", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("n") > 1, 1 - F.col("s") / F.col("n") / F.log("n")).otherwise(1.0)
-    nodes = per_path.select("host", "path", "kind", "n", entropy.alias("entropy"))
-    wide = nodes.groupBy("host", "path").agg(
+    nodes = per_path.select("host", "path", "parent", "depth", "inside", "kind", "n", entropy.alias("entropy"))
+    wide = nodes.groupBy("host", "path", "parent", "depth", "inside").agg(
         F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("n"),
         F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("content"),
         F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("presentation"),
@@ -236,10 +323,10 @@ def importance(counts: DataFrame) -> DataFrame:
 
     def compose(tree: pd.DataFrame) -> pd.DataFrame:
         """Bottom-up over one host's styles: content where a node has text of its own, else presentation and children."""
-        tree = tree.assign(depth=tree["path"].str.count("/")).sort_values(["depth", "path"], ascending=[False, True])
-        below: dict[str, list[float]] = {}
+        tree = tree.sort_values(["depth", "path"], ascending=[False, True])
+        below: dict[int, list[float]] = {}
         out = []
-        for path, content, presentation in zip(tree["path"], tree["content"], tree["presentation"]):
+        for path, parent, content, presentation in zip(tree["path"], tree["parent"], tree["content"], tree["presentation"]):
             kids = below.get(path, [])
             if kids and not pd.isna(content):
                 value = max(content, GAMMA * float(np.mean(kids)))
@@ -250,11 +337,11 @@ def importance(counts: DataFrame) -> DataFrame:
                 value = content if not pd.isna(content) else presentation
             value = 0.0 if pd.isna(value) else float(value)
             out.append(value)
-            below.setdefault(path.rsplit("/", 1)[0], []).append(value)
-        return tree.assign(importance=out)[["host", "path", "n", "importance"]]
+            below.setdefault(parent, []).append(value)
+        return tree.assign(importance=out)[["host", "path", "inside", "n", "importance"]]
 
     # one task per host sees its styles, a number that does not grow with its pages
-    return wide.groupBy("host").applyInPandas(compose, "host string, path string, n long, importance double")
+    return wide.groupBy("host").applyInPandas(compose, "host string, path long, inside boolean, n long, importance double")
 
 
 def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
@@ -264,8 +351,7 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_impor
     counts = materialize(style_counts(pages.select("host", "html")), "style-counts")
     tree = importance(counts).filter(F.col("n") >= min_pages)
     weak = F.col("importance") < min_importance
-    inside = F.col("path").rlike("/(article|main)([.#@/]|$)")
-    paths = tree.groupBy("host").agg(F.collect_set(F.when(weak, F.col("path"))).alias("low"), F.collect_set(F.when(~weak & ~inside, F.col("path"))).alias("high"))
+    paths = tree.groupBy("host").agg(F.collect_set(F.when(weak, F.col("path"))).alias("low"), F.collect_set(F.when(~weak & ~F.col("inside"), F.col("path"))).alias("high"))
     # contents on so large a share of a path's pages are few for each path, whatever the number of pages
     having = counts.filter("kind = 2").select("host", "path", F.col("n").alias("of"))
     shown = counts.filter((F.col("kind") == 0) & (F.col("pages") >= SAME_PAGES * min_pages)).join(having, ["host", "path"])
@@ -281,7 +367,7 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_impor
         joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset[str], frozenset[str], frozenset[tuple[str, int]]]] = {}
+        known: dict[str, tuple[frozenset[int], frozenset[int], frozenset[tuple[int, int]]]] = {}
         for batch in batches:
             for rows in slices(batch, "html"):
                 pages, blocks = [], [0]
