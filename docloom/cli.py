@@ -1,8 +1,9 @@
 """Command line: ``python -m docloom.cli run|validate|generate|converse|tree ...``.
 
-``run`` prints the execution order of step plans; actions are not executed, and
-``execute_command`` never is.  ``generate`` writes documents and ``converse`` answers
-conversations, both from recorded answers.
+``run`` runs step plans, each in a conversation of its own, and prints what became of each
+step; ``execute_command`` is never executed.  Without ``--answers`` it prints the order of
+the steps only.  ``generate`` writes documents and ``converse`` answers conversations.  All
+answers are recorded ones.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from . import config
 from .model import LOG, TOOL_CALLS
 from .operators import agent, docgen, tools
-from .plans import parse, waves
+from .plans import parse, run, waves
 from .sources import files
 
 log = logging.getLogger("docloom")
@@ -28,7 +29,10 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--log", default="INFO")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("run", "validate"):
-        commands.add_parser(name).add_argument("plans", help="path or glob of plan files")
+        command = commands.add_parser(name)
+        command.add_argument("plans", help="path or glob of plan files")
+        if name == "run":
+            command.add_argument("--answers", help="JSON lines of request_sha, content, tool_calls")
     generate = commands.add_parser("generate")
     generate.add_argument("requests", help="JSON lines of id, category, topic, context")
     generate.add_argument("answers", help="JSON lines of request_sha, content")
@@ -52,10 +56,17 @@ def main(arguments: list[str] | None = None) -> None:
         steps = parse.steps(plans)
         if options.command == "validate":
             waves.validate(steps).show(truncate=False)
+        elif options.answers is None:
+            scheduled = waves.schedule(steps, checkpoint=_cut(spark))
+            scheduled.filter("wave is not null").select("plan", "wave", "ord", "id").orderBy("plan", "wave", "ord").show(1000, truncate=False)
+            waves.stalled(scheduled).filter("deadlocked").show(truncate=False)
         else:
-            settled = waves.waves(steps, checkpoint=_cut(spark))
-            waves.execution_order(steps, settled).orderBy("plan", "wave", "ord").show(1000, truncate=False)
-            waves.deadlocks(steps, settled).filter("deadlocked").show(truncate=False)
+            _cut(spark)
+            answers = spark.read.schema(f"request_sha string, content string, tool_calls {TOOL_CALLS}").json(options.answers)
+            responder = agent.responder(settings, recordings=answers)
+            ran, ended, _ = run.run_plans(steps, responder, tools.file_tools(), most_rounds=settings.max_rounds, compact_to=settings.context_tokens)
+            ran.select("plan", "place", "id", "state", "output").orderBy("plan", F.col("place").asc_nulls_last()).show(1000, truncate=False)
+            ended.filter("error is not null").select("plan", "n_steps", "n_done", "error.message").show(1000, truncate=False)
     elif options.command == "generate":
         asked = spark.read.schema("id long, category string, topic string, context string").json(options.requests)
         answers = spark.read.schema("request_sha string, content string").json(options.answers)

@@ -271,6 +271,20 @@ def tool_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("p_partkey", F.coalesce("result.output", F.lit("")).alias("output"), F.col("result.error").alias("failure"), F.col("error.message").alias("problem"))
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'measure' WHEN 1 THEN 'nope' ELSE 'measure' END AS name, CASE p_partkey % 3 WHEN 0 THEN CAST(len(p_name) AS VARCHAR) WHEN 2 THEN NULL END AS output,
+  CASE p_partkey % 3 WHEN 1 THEN 'Tool not found: nope' WHEN 2 THEN 'Missing text parameter' END AS problem FROM part""")
+def tool_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools called from SQL, over a table of calls with columns of its own."""
+    registry = tools.Registry()
+    measure = lambda a: (str(len(a["text"])), None)
+    registry.register(tools.Tool("measure", "Count code points", tools._schema(text="Any text"), tools._each(measure), ("text",), effect=measure))
+    tools.register_sql(spark, registry)
+    kind = F.col("p_partkey") % 3
+    calls = table(spark, sf_dir, "part").select("p_partkey", F.when(kind == 1, "nope").otherwise("measure").alias("name"), F.when(kind == 2, "{}").otherwise(F.to_json(F.struct(F.col("p_name").alias("text")))).alias("arguments"))
+    return spark.sql("SELECT p_partkey, name, output, problem FROM call_tools(TABLE({calls}))", calls=calls)
+
+
 @query("""
 SELECT CASE p_partkey % 5 WHEN 0 THEN 'a/' WHEN 1 THEN 'a/b/' WHEN 2 THEN 'a/b/c/' ELSE '' END || 'p' || p_partkey || '.md' AS path,
   CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name || chr(10) END AS content FROM part""")

@@ -4,6 +4,7 @@ import base64
 import json
 import os
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -373,3 +374,33 @@ def test_recordings_of_one_request_answer_once(spark):
     key = agent.requests(log).select(agent.request_key(F.col("request")).alias("request_sha"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("content"), F.lit(None).cast(TOOL_CALLS).alias("tool_calls"))
     out = agent.run(log, agent.Recorded(key), tools.Registry())[1].collect()
     assert sorted((r.conv_id, r.answer) for r in out) == [(0, "r0"), (1, "r0"), (2, "r0")]
+
+
+def test_tools_from_sql_tell_what_execute_tells(spark, tmp_path):
+    (tmp_path / "x").write_text("42")
+    registry = tools.file_tools()
+    tools.register_sql(spark, registry)
+    rows = [("read_file", f'{{"path": "{tmp_path}/x"}}'), ("read_file", '{"path": "/no/such"}'), ("read_file", '{"path": 5}'), ("read_file", "{"), ("read_file", "[1]"), ("nope", "{}"), (None, None), ("read_file", None)]
+    df = spark.createDataFrame([(k, *r, "old") for k, r in enumerate(rows)], "k int, name string, arguments string, output string")
+    got = {r.k: (r.output, r.failure, r.problem) for r in spark.sql("SELECT * FROM call_tools(TABLE({calls}))", calls=df).collect()}
+    want = {r.k: (r.result and r.result.output, r.result and r.result.error, r.error and r.error.message) for r in registry.execute(df).collect()}
+    assert got == want and got[0] == ("42", None, None)
+    with pytest.raises(Exception, match="needs the column arguments"):
+        spark.sql("SELECT * FROM call_tools(TABLE({calls}))", calls=df.drop("arguments")).collect()
+
+
+def test_run_command(spark, tmp_path, capfd, monkeypatch):
+    from docloom import cli
+
+    plan = {"name": "n", "description": "d", "steps": [{"id": i, "description": "s", "action": {"type": "agent_task", "params": {"prompt": p}}, "dependencies": d} for i, p, d in (("b", "Second", ["a"]), ("a", "First", []), ("c", "Third", ["b"]))]}
+    (tmp_path / "plan.json").write_text(json.dumps(plan))
+    first = agent.requests(spark.createDataFrame([("p", 0, "user", "First", None, None, None)], LOG.replace("conv_id long", "conv_id string")))
+    second = agent.requests(spark.createDataFrame([("p", k, r, c, None, None, None) for k, (r, c) in enumerate([("user", "First"), ("assistant", "One."), ("user", "Second")])], LOG.replace("conv_id long", "conv_id string")))
+    answers = [{"request_sha": df.select(agent.request_key(F.col("request"))).head()[0], "content": c} for df, c in ((first, "One."), (second, "Two."))]
+    (tmp_path / "answers.jsonl").write_text("\n".join(map(json.dumps, answers)))
+    monkeypatch.chdir(tmp_path)
+    cli.main(["run", str(tmp_path / "plan.json"), "--answers", str(tmp_path / "answers.jsonl")])
+    out = capfd.readouterr().out
+    assert "One." in out and "Two." in out and "failed" in out and "step c: no answer" in out
+    cli.main(["run", str(tmp_path / "plan.json")])
+    assert re.search(r"\|2 *\|2 *\|c *\|", capfd.readouterr().out)
