@@ -41,6 +41,7 @@ Cases with a defined result
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -80,6 +81,8 @@ ROLES = set(
 )
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _RAW = re.compile(r"<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>", re.I)
+# a whole tag without "<" in it, looked at up to the next "<" once: nothing is given back
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<]*+)(?=[\s/>])([^>"'<]*+(?:(?:"[^"<]*+"|'[^'<]*+')[^>"'<]*+)*+)>""")
 _NAME_END = re.compile(r"[\s/>]")
 _SPECIAL = re.compile("[>\"']")
 _STYLE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -88,6 +91,7 @@ _PART = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+@functools.lru_cache(1 << 16)
 def _path(parent: int, style: str) -> int:
     """The number of a path: a hash of its parent's and of the last style, so that a path takes the same room at any depth."""
     return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + style.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -173,11 +177,19 @@ class Page:
                 pos = n if end < 0 else end + 3
                 continue
             closed = tags.last > at  # else no tag can end
-            raw = _RAW.match(source, at) if closed else None
+            raw = _RAW.match(source, at) if closed and source[at + 1] in "sStTnNiI" else None
             if raw:
                 end = re.compile(rf"</{raw[1]}\s*>", re.I).search(source, raw.end())
                 pos = end.end() if end else n
                 continue
+            plain = _PLAIN.match(source, at) if closed else None
+            if plain:
+                if plain[1]:
+                    self._close(plain[2].lower())
+                else:
+                    self._open(plain[2].lower(), plain[3])
+                pos = plain.end()
+                continue
             name = at + 2 if source.startswith("</", at) else at + 1
             if closed and source[name : name + 1].isascii() and source[name : name + 1].isalpha():
                 stop = tags.name_end(name)
