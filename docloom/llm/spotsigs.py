@@ -6,12 +6,9 @@ hashes written in Base64; the likeness of two fingerprints is the Jaccard
 similarity of the sets.
 
 ``near_components`` finds all documents whose sets have a Jaccard similarity over a
-threshold, without a pair for each two of them: each set is posted under its rarest
-signatures only, sets are partitioned by length so that only neighbouring
-partitions can match, and pairs that lengths, places in the postings or bitmaps rule
-out are dropped before the sets are compared.  ``near_documents`` lists the pairs
-themselves, for tables of few near documents: a signature that many sets share
-gives a pair for each two of its sets.
+threshold, without a pair for each two of them, by partitions of set length and
+pruned comparisons (``lengthbands``).  ``near_documents`` lists the pairs themselves,
+for tables of few near documents.
 
 A word counts without the punctuation around it, in lower case (A-Z).
 
@@ -37,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ngram_join
-from .scratch import materialize, n_partitions
+from . import lengthbands
+from .scratch import begin_task, materialize, n_partitions
 from .wordarrays import Words, mix, slices
 
 CHAIN = 2
+#: Keys of sets that a task remembers, so as not to give copies' signatures again.
+REMEMBERED = 200_000
 # fixed values: common words of the languages of the corpus
 ANCHORS = {
     "en": "the a an of to in is was are and that it for with as by on this be from or at not but have has which",
@@ -176,46 +175,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def signature_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, sigs array<int>) of every document."""
+    """(doc_id, node, n, sigs array<int>) of every document; node tells sets apart and is null for the empty one.
+
+    A task gives a set that it met before without its signatures.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("spotsigs")
+        met: set[int] = set()
         for batch in batches:
             for rows in slices(batch):
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "sigs": pa.array([s.view("<i4") for s in signatures(rows.column("text"))], pa.list_(pa.int32()))})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, sigs array<int>")
-
-
-def _sets(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for r, values in enumerate(signatures(rows.column("text"))):
-        if len(values):
-            yield r, np.sort(mix(values.astype(np.uint64)))
+                sets = signatures(rows.column("text"))
+                nodes: list[int | None] = []
+                shown: list[np.ndarray | None] = []
+                linked = rows.column("doc_id").is_valid().to_pylist()
+                for values, has_id in zip(sets, linked):
+                    node = int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "big") >> 1 if len(values) else None
+                    new = node is not None and has_id and node not in met
+                    if new and len(met) < REMEMBERED:
+                        met.add(node)
+                    nodes.append(node)
+                    shown.append(values.view("<i4") if new else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sigs": pa.array(shown, pa.list_(pa.int32()))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, n long, sigs array<int>")
 
 
 def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_signatures, component_id of every row: the smallest doc_id that links of likeness
     ``percent``/100 or more reach.  A row without a word is linked with nothing, and its
     component_id is its doc_id; a row without a doc_id is linked with nothing and has none."""
-    found = ngram_join.jaccard_members(docs, percent, _sets)
-    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), "component_id")
+    rows = materialize(signature_sets(docs), "signature-sets")
+    nodes = materialize(lengthbands.different(rows), "signature-nodes")
+    tied = nodes.select("node", "rep").join(lengthbands.near_roots(nodes, percent), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = tied.groupBy("root").agg(F.min("rep").alias("least"))
+    # by sets, so that copies of one set are no rows of the join by components
+    named = tied.join(least, "root").select("node", "least")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.select("doc_id", "node", "n").join(named, "node", "left").select("doc_id", F.col("n").alias("n_signatures"), own.alias("component_id"))
 
 
 def near_documents(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b, likeness): pairs of representatives of different signature sets; a < b.
 
     Documents with equal sets have one representative, the smallest doc_id, so
-    that copies are not expanded into pairs.
+    that copies are not expanded into pairs.  ``threshold`` counts in hundredths.
     """
-    sets = materialize(signature_sets(docs).filter("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("doc_id")), "signature-sets")
-    counts = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = sets.select("doc_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")).join(counts, "sig")
-    ordered = ranked.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    posted = ordered.select("doc_id", "n", band.alias("band"), F.explode(F.slice("s", F.lit(1), length)).alias("p")).filter("p.df > 1").select("doc_id", "n", "band", F.col("p.sig").alias("sig"))
-    other = posted.select(F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "sig", F.col("band").alias("band2"))
-    near = (F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & ((F.col("band") < F.col("band2")) | (F.col("doc_id") < F.col("doc2")))
-    pairs = posted.join(other, ["band", "sig"]).filter(near).select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("likeness")).filter(F.col("likeness") >= threshold)
+    nodes = materialize(lengthbands.different(materialize(signature_sets(docs), "signature-sets")), "signature-nodes")
+    pairs = lengthbands.near_pairs(nodes, round(100 * threshold))
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("rep").alias(f"r{side}")), side)
+    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "likeness")
