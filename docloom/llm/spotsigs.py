@@ -18,6 +18,7 @@ Cases with a defined result
   no word         the empty set; two empty sets have likeness 1, one empty 0
   null doc_id     sorts before all others
   equal doc_ids   ordered by a hash of the text; equal rows are alike
+  very long text  fingerprinted and edited whole
   one document    is its own next document
   empty table     an empty result
   extra columns   ignored; only doc_id and text are read
@@ -115,25 +116,44 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """(part, guest, doc_id, text), sorted: in each part, a row's next document is the
-    row after it.  The last row of a part is a guest, the first of the next part.
+    row after it.  The last rows of a part are guests, the first of the next part.
 
-    Parts are ranges of doc_id between approximate quantiles, so only the few
-    hundred heads of parts are looked up apart and the texts move once.
+    Rows are ordered by (doc_id, hash of the text), 16 bytes a row, which Spark deals into
+    ranges first.  The head of each range begins a part, so rows with one doc_id, or with
+    none, are parted by their texts; only the heads, one for each part, go to the driver
+    and back as a sorted array.  The texts move once.  Rows that are alike in both
+    columns stay in one part, and a task sends one of them to the part before.
     """
     n = 4 * n_partitions(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-_LAST - 1)).alias("o"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("o", [k / n for k in range(1, n)], 100_000)).head()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
-    heads = {r["part"]: r["o"] for r in rows.groupBy("part").agg(F.min("o").alias("o")).collect()}
-    order = sorted(heads)
-    host = {heads[p]: order[k - 1] for k, p in enumerate(order)}  # the first head goes to the last part
-    own = rows.withColumn("guest", F.lit(0))
-    if host:
-        to = F.create_map(*[F.lit(x) for pair in host.items() for x in pair])
-        guests = rows.filter(F.col("o").isin(list(host))).withColumn("part", to[F.col("o")]).withColumn("guest", F.lit(1))
-        own = own.unionByName(guests)
-    own = own.withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-_LAST - 1)).alias("o"), F.xxhash64("text").alias("h"))
+    ranges = rows.select("o", "h").repartitionByRange(n, "o", "h").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("o", "h")).alias("head"))
+    heads = np.array(sorted((r["head"]["o"], r["head"]["h"]) for r in ranges.collect()), np.int64).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(heads)  # 16 bytes a part
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("spotsigs")
+        heads = shared.value
+        sent = np.zeros(len(heads), bool)
+        for batch in batches:
+            o, h = batch.column("o").to_numpy(), batch.column("h").to_numpy()
+            # heads up to (o, h): all with a smaller o, then by h among those with this one
+            low, high = np.searchsorted(heads[:, 0], o, "left"), np.searchsorted(heads[:, 0], o, "right")
+            while (open_ := low < high).any():
+                mid = (low + high) // 2
+                up = open_ & (heads[np.minimum(mid, len(heads) - 1), 1] <= h)
+                low, high = np.where(up, mid + 1, low), np.where(open_ & ~up, mid, high)
+            part = low - 1
+            at_head = np.flatnonzero((heads[np.maximum(part, 0)] == np.stack([o, h], 1)).all(1) & (part >= 0))
+            new, which = np.unique(part[at_head], return_index=True)
+            guests = at_head[which[~sent[new]]]
+            sent[new] = True
+            own = np.maximum(part, 0)
+            for some, to, guest in ((None, own, 0), (guests, (own[guests] - 1) % len(heads), 1)):  # the first head goes to the last part
+                out = batch if some is None else batch.take(pa.array(some))
+                if out.num_rows:
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to, pa.int64()), pa.array(np.full(out.num_rows, guest, np.int32))], [*out.schema.names, "part", "guest"])
+
+    own = rows.mapInArrow(dealt, "doc_id long, text string, o long, h long, part long, guest int")
     return own.repartition(n // 4, "part").sortWithinPartitions("part", "guest", "o", "h").select("part", "guest", "doc_id", "text")
 
 

@@ -185,6 +185,20 @@ def test_fingerprint_cases(spark, odd, empty):
     assert one.near_next == 1.0
 
 
+def test_documents_without_ids_are_parted_by_their_texts(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, "en", 12) for _ in range(400)]
+    rows = [(None, t) for t in texts[:300]] + [(7, t) for t in texts[300:]] + [(k, texts[k]) for k in range(100, 140)] + [(None, texts[0])] * 5 + [(7, texts[350])] * 5 + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ordered = docs.withColumn("h", F.xxhash64("text")).collect()
+    ordered.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = Counter()
+    for r, following in zip(ordered, [*ordered[1:], ordered[0]]):
+        want[(r.doc_id, hashlib.sha256(spotsigs.edited(r.text or "", following.text or "").encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in spotsigs.fingerprints(docs).collect()) == want
+    assert spotsigs.with_neighbours(docs).filter("doc_id is null and guest = 0").select("part").distinct().count() > 4
+
+
 def test_near_documents(spark, odd):
     # the odd rows are too short for near pairs: a long text, its copy, and two with one word changed
     long = sentence(random.Random(3), "en", 300).split(" ")
