@@ -19,6 +19,8 @@ the window has grown to that whole side.
 Cases with a defined result
   null text       encoded as an empty text: no ids, an empty decoded text
   no white space  one long word, encoded by tree concatenation
+  very long text  cut, encoded and joined by many tasks; its last joints in one, which holds
+                  the text and its ids, as the result's row does
   special tokens  their strings in a text give their ids, as the library does
   repeated rows   each is encoded; repeated long texts are encoded once
   empty table     an empty result
@@ -48,6 +50,8 @@ SPLIT_CHARS = 1 << 16
 LEAF_CHARS = 2048
 #: Words whose ids a worker remembers, and the bytes from which on it forgets some.
 REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 26
+#: Neighbouring segments of a text that one task joins, before the rest of it is joined.
+FAN = 16
 _WINDOW = 8
 # words by which it is seen whether a tokenizer splits at white space and lowers case
 _PROBES = ["a", "The", "it's", "'Ve", "x1Y2", "ÀÉî", "...", "#A-b", "1", "\"Ab,", "漢字", "I'LL", "E\u0301"]
@@ -373,33 +377,51 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, decoded: bool = Tr
 
     # Long texts: equal segments to many tasks, joined pairwise afterwards.
     long = docs.filter(length > split_chars).withColumn("_bpe_key", F.sha2("text", 256))
-    parts = F.ceil(F.length("text") / F.lit(split_chars)).cast("int")
-    segments = long.select("_bpe_key", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_bpe_part"))
-    segments = segments.select("_bpe_key", "_bpe_part", F.substring(F.col("text"), F.col("_bpe_part") * split_chars + 1, F.lit(split_chars)).alias("_bpe_segment")).dropDuplicates(["_bpe_key", "_bpe_part"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("_bpe_key").to_pylist(), batch.column("text").to_pylist()):
+                for part, at in enumerate(range(0, len(text), split_chars)):  # each code point is copied once
+                    yield pa.RecordBatch.from_pydict({"_bpe_key": [key], "_bpe_part": pa.array([part], pa.int32()), "_bpe_segment": [text[at : at + split_chars]]})
+
+    # dealt by segment, so that the segments of a text are encoded by many tasks; copies of a text meet there
+    segments = long.select("_bpe_key", "text").mapInArrow(cut, "_bpe_key string, _bpe_part int, _bpe_segment string").dropDuplicates(["_bpe_key", "_bpe_part"])
+
+    def encoded_row(key: pa.Scalar, part: pa.Scalar, e: Encoded) -> pa.RecordBatch:
+        spans = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (e.ids, e.start, e.end)]
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([part.as_py()], pa.int32()), pa.array([e.text]), *spans], ["_bpe_key", "_bpe_part", "_bpe_segment", "ids", "start", "end"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("bpe")
         c = coder(tokenizer_path)
         for batch in batches:
             for n in range(batch.num_rows):
-                e = c.encode_tree(batch.column("_bpe_segment")[n].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_bpe_key").slice(n, 1), batch.column("_bpe_part").slice(n, 1), batch.column("_bpe_segment").slice(n, 1), *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (e.ids, e.start, e.end)]],
-                    ["_bpe_key", "_bpe_part", "_bpe_segment", "ids", "start", "end"],
-                )
+                yield encoded_row(batch.column("_bpe_key")[n], batch.column("_bpe_part")[n], c.encode_tree(batch.column("_bpe_segment")[n].as_py()))
 
-    def join(key, table):
-        begin_task("bpe")
-        c = coder(tokenizer_path)
+    def joined(table: pa.Table, c: Coder) -> Encoded:
         level = [
             Encoded(r["_bpe_segment"], *[np.frombuffer(r[k], "<i4").astype(np.int64) for k in ("ids", "start", "end")])
             for r in table.sort_by("_bpe_part").to_pylist()
         ]
         while len(level) > 1:
             level = [c.concatenate(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        ids = pa.ListArray.from_arrays(pa.array([0, len(level[0].ids)], pa.int32()), pa.array(level[0].ids.astype(np.int32)))
+        return level[0]
+
+    def join_some(key, table):
+        begin_task("bpe")
+        e = joined(table, coder(tokenizer_path))
+        return pa.Table.from_batches([encoded_row(key[0], pa.scalar(key[1].as_py(), pa.int32()), e)])
+
+    def join(key, table):
+        begin_task("bpe")
+        c = coder(tokenizer_path)
+        e = joined(table, c)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(e.ids)], pa.int32()), pa.array(e.ids.astype(np.int32)))
         return pa.Table.from_arrays([pa.array([key[0].as_py()]), *columns(c, ids)], ["_bpe_key", *added])
 
-    encoded = segments.mapInArrow(leaves, "_bpe_key string, _bpe_part int, _bpe_segment string, ids binary, start binary, end binary")
-    whole = encoded.groupBy("_bpe_key").applyInArrow(join, T.StructType([T.StructField("_bpe_key", T.StringType()), *result.fields]))
+    parted = "_bpe_key string, _bpe_part int, _bpe_segment string, ids binary, start binary, end binary"
+    encoded = segments.mapInArrow(leaves, parted)
+    # neighbouring segments by FAN in tasks of their own, then what is left of a text
+    some = encoded.groupBy("_bpe_key", F.floor(F.col("_bpe_part") / FAN).cast("int").alias("_bpe_some")).applyInArrow(join_some, parted)
+    whole = some.groupBy("_bpe_key").applyInArrow(join, T.StructType([T.StructField("_bpe_key", T.StringType()), *result.fields]))
     return short.unionByName(long.join(whole, "_bpe_key").drop("_bpe_key"))

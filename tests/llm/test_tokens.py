@@ -47,6 +47,16 @@ def test_long_texts_are_split(spark, coder, odd):
     assert all(r.decoded == coder.tokenizer.decode(list(r.ids), skip_special_tokens=False) for r in rows)
 
 
+def test_segments_are_joined_in_groups(spark, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "FAN", 3)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ALPHABETS for n in (699, 700, 2101)]
+    rows = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    got = bpe.encode_documents(rows, queries.tokenizer_file(), split_chars=70).collect()
+    assert len(got) == len(texts) + 1
+    assert all(list(r.ids) == whole(coder, r.text) for r in got)
+
+
 def test_digests(spark, coder):
     df = spark.createDataFrame([(1, "Hello hello world"), (2, None)], "doc_id long, text string")
     for r in queries.digests(bpe.encode_documents(df, queries.tokenizer_file())).collect():
