@@ -10,14 +10,20 @@ is its share of the sum.
 
 Fitting takes a bounded sample: about ``SAMPLE_DOCS`` labelled documents of each
 language, fewer where there are many languages so that all together are about
-``SAMPLE_ALL``, chosen by hashes of their ids, with their whole texts.  Their words
+``SAMPLE_ALL``, or where texts are long so that all are about ``SAMPLE_BYTES``, chosen
+by hashes of their ids, with their whole texts.  Their words
 carry the document's language; sequences are spliced from two languages as well,
 so that transitions are learned from switches.  Prediction takes every word of
-every whole text.  Over ``MOST_LANGUAGES`` languages are an error.
+every whole text.  The ``MOST_LANGUAGES`` most common languages are learned, and
+others are never predicted.
 
 Forward-backward runs over all words of a slice at once: texts are cut into
 chunks, products of the chunks' transfer matrices carry the exact messages
-from chunk to chunk, and then all chunks are completed side by side.
+from chunk to chunk, and then all chunks are completed side by side.  What that holds
+grows with the square of the number of languages, so a slice is taken by ranges of
+texts of about ``CELLS`` numbers, and a text beyond that by blocks of words: forwards
+with the message into each block kept, then backwards.  The model is bounded as well:
+with many languages it has fewer buckets and a lexicon of the commonest words.
 
 Cases with a defined result
   null text       ``und`` with score 0
@@ -50,8 +56,13 @@ from .wordarrays import Words, mix, slices
 
 SAMPLE_DOCS = 300
 SAMPLE_ALL = 6000
+SAMPLE_BYTES = 256 << 20
 MOST_LANGUAGES = 1000
 BUCKETS = 1 << 17
+#: Weights of a model at most, and logarithms of its lexicon: buckets or words times languages.
+TABLE_CELLS = 1 << 22
+#: Numbers that are held at once for the words of a slice, about.
+CELLS = 1 << 24
 UNKNOWN = "und"
 _AFFIX = 3
 _CHUNK = 32
@@ -91,7 +102,7 @@ class Features:
     bounds: np.ndarray
 
 
-def features(column: pa.Array) -> Features:
+def features(column: pa.Array, buckets: int = BUCKETS) -> Features:
     w = Words(column)
     w.raw = _lower(w.raw)
     letter = np.concatenate(([0], np.cumsum(_LETTER[w.raw])))
@@ -111,7 +122,7 @@ def features(column: pa.Array) -> Features:
     at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - a, n)
     raw = w.raw.astype(np.uint64)
     gram = mix(raw[at] | raw[at + 1] << _U(8) | raw[at + 2] << _U(16) | _U(3 << 32)) if len(at) else np.zeros(0, np.uint64)
-    place = lambda h: (h % _U(BUCKETS)).astype(np.int64)
+    place = lambda h: (h % _U(buckets)).astype(np.int64)
     return Features(w, letters, word.reshape(-1), key, place(np.stack(fixed, 1)) if len(key) else np.zeros((0, 1 + 2 * _AFFIX), np.int64), place(gram), bounds)
 
 
@@ -119,7 +130,10 @@ class Crf:
     def __init__(self, languages: list[str]):
         n = len(languages)
         self.languages = languages
-        self.table = np.zeros((BUCKETS, n))
+        self.buckets = BUCKETS
+        while self.buckets * n > TABLE_CELLS and self.buckets > 1:
+            self.buckets //= 2
+        self.table = np.zeros((self.buckets, n))
         self.switch = np.zeros((n, n))
         self.lexicon_keys = np.zeros(0, np.uint64)
         self.lexicon = np.zeros((0, n))
@@ -136,12 +150,59 @@ class Crf:
 
     def emissions(self, f: Features) -> np.ndarray:
         """(different words, languages)"""
-        out = self.table[f.fixed].sum(1) + self.bias + self.lexicon_weight * self.lexicon_of(f.key)
+        out = self.table[f.fixed[:, 0]]
+        for k in range(1, f.fixed.shape[1]):
+            out = out + self.table[f.fixed[:, k]]
+        out = out + self.bias + self.lexicon_weight * self.lexicon_of(f.key)
         full = np.flatnonzero(np.diff(f.bounds))
-        if len(full):
-            out[full] += np.add.reduceat(self.table[f.gram], f.bounds[:-1][full], axis=0) / np.diff(f.bounds)[full, None]
+        for some in np.array_split(full, max(1, -(-len(f.gram) * len(self.languages) // CELLS))):
+            if len(some):
+                a, b = f.bounds[some[0]], f.bounds[some[-1] + 1]
+                out[some] += np.add.reduceat(self.table[f.gram[a:b]], f.bounds[some] - a, axis=0) / np.diff(f.bounds)[some, None]
         return out
 
+    def potentials(self, f: Features, a: int, b: int) -> np.ndarray:
+        """(words, languages) of the words a to b, over 0."""
+        word = f.word[a:b]
+        if b - a < len(f.word):
+            different, word = np.unique(word, return_inverse=True)
+            f = Features(f.words, f.letters, word, f.key[different], f.fixed[different], *_grams(f, different))
+        e = self.emissions(f)
+        return np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-30)[word]
+
+    def most_words(self) -> int:
+        """Words whose numbers are held at once."""
+        n = len(self.languages)
+        return max(1, CELLS // (16 * n + n * n // _CHUNK))
+
+    def long_sums(self, f: Features, a: int, b: int, use: np.ndarray) -> np.ndarray:
+        """The summed label distributions of those words a to b of one text that ``use`` marks, by blocks."""
+        move = np.exp(self.switch - self.switch.max())
+        blocks = [(k, min(k + self.most_words(), b)) for k in range(a, b, self.most_words())]
+
+        def forward(m: np.ndarray | None, potential: np.ndarray) -> np.ndarray:
+            out = np.empty_like(potential)
+            for k, here in enumerate(potential):
+                m = here if m is None else (m @ move) * here
+                m = m / m.sum()
+                out[k] = m
+            return out
+
+        into: list[np.ndarray | None] = [None]
+        for low, high in blocks[:-1]:
+            into.append(forward(into[-1], self.potentials(f, low, high))[-1])
+        total, back = np.zeros(len(self.languages)), np.ones(len(self.languages))
+        for (low, high), m in zip(reversed(blocks), reversed(into)):
+            potential = self.potentials(f, low, high)
+            alpha = forward(m, potential)
+            for k in range(high - low - 1, -1, -1):
+                if use[low - a + k]:
+                    g = alpha[k] * back
+                    total += g / g.sum()
+                back = move @ (potential[k] * back)
+                back = back / back.sum()
+        return total
+
     def marginals(self, potential: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(label) of each word; ``potential`` (words, languages) > 0, first[r]:first[r + 1] the words of text r."""
         size, n = potential.shape
@@ -195,28 +256,34 @@ class Crf:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(column)
         names, score = [UNKNOWN] * n, np.zeros(n)
-        f = features(column)
+        f = features(column, self.buckets)
         if not self.languages or not len(f.word):
             return names, score
-        e = self.emissions(f)
-        e = np.exp(e - e.max(1, keepdims=True))[f.word]
-        g = self.marginals(np.maximum(e, 1e-30), f.words.first)
+        first, most = f.words.first, self.most_words()
         texts = column.to_pylist()
-        with_letters = np.concatenate(([0], np.cumsum(f.letters)))[f.words.first]
-        for r in range(n):
-            a, b = f.words.first[r], f.words.first[r + 1]
-            if a == b:
-                continue
-            use = f.letters[a:b]
-            if with_letters[r + 1] == with_letters[r]:
-                if not any(map(str.isalpha, texts[r])):
+        with_letters = np.concatenate(([0], np.cumsum(f.letters)))[first]
+        r = 0
+        while r < n:
+            stop = max(r + 1, int(np.searchsorted(first, first[r] + most, "right")) - 1)
+            base, end = int(first[r]), int(first[stop])
+            alone = end - base > most
+            if not alone and end > base:
+                g = self.marginals(self.potentials(f, base, end), first[r : stop + 1] - base)
+            for k in range(r, stop):
+                a, b = int(first[k]), int(first[k + 1])
+                if a == b:
+                    continue
+                use = f.letters[a:b]
+                if with_letters[k + 1] == with_letters[k]:
+                    if not any(map(str.isalpha, texts[k])):
+                        continue
+                    use = np.ones(b - a, bool)
+                elif not _has_ascii_letter(f, a, b) and not any(map(str.isalpha, texts[k])):
                     continue
-                use = np.ones(b - a, bool)
-            elif not _has_ascii_letter(f, a, b) and not any(map(str.isalpha, texts[r])):
-                continue
-            total = g[a:b][use].sum(0)
-            best = int(total.argmax())
-            names[r], score[r] = self.languages[best], total[best] / total.sum()
+                total = self.long_sums(f, a, b, use) if alone else g[a - base : b - base][use].sum(0)
+                best = int(total.argmax())
+                names[k], score[k] = self.languages[best], total[best] / total.sum()
+            r = stop
         return names, np.minimum(score, 1.0)
 
 
@@ -231,23 +298,28 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 4, batch: int = 256
     n = len(names)
     if n < 2:
         return model
-    f = features(pa.array(texts, pa.large_string()))
+    f = features(pa.array(texts, pa.large_string()), model.buckets)
     if not len(f.word):
         return Crf([])
     label_of_text = np.searchsorted(names, langs)
     label = np.repeat(label_of_text, f.words.count)
-    counts = np.zeros((len(f.key), n))
-    np.add.at(counts, (f.word, label), 1)
-    share = (counts + 0.5) / (counts.sum(0) + 0.5 * len(f.key))
     # words met once say little of the language and all of the text that they are in
-    often = counts.sum(1) > 1
+    met = np.bincount(f.word, minlength=len(f.key))
+    often = np.flatnonzero(met > 1)
+    if len(often) > TABLE_CELLS // n:
+        often = np.sort(often[np.lexsort((f.key[often], -met[often]))[: TABLE_CELLS // n]])
+    row = np.full(len(f.key), -1)
+    row[often] = np.arange(len(often))
+    listed = row[f.word] >= 0
+    counts = np.zeros((len(often), n))
+    np.add.at(counts, (row[f.word[listed]], label[listed]), 1)
+    share = (counts + 0.5) / (np.bincount(label, minlength=n) + 0.5 * len(f.key))
     model.lexicon_keys = f.key[often]
-    model.lexicon = np.log(share[often]) - np.log(share[often]).mean(1, keepdims=True)
+    model.lexicon = np.log(share) - np.log(share).mean(1, keepdims=True)
     rng = np.random.default_rng(seed)
     sequences = _sequences(f, label_of_text, rng)
-    lexicon = model.lexicon_of(f.key)
     gram_count = np.diff(f.bounds)
-    sums = {"table": np.full((BUCKETS, n), 1e-3), "switch": np.full((n, n), 1e-3), "bias": np.full(n, 1e-3), "lexicon_weight": np.full(1, 1e-3)}
+    sums = {"table": np.full((model.buckets, n), 1e-3), "switch": np.full((n, n), 1e-3), "bias": np.full(n, 1e-3), "lexicon_weight": np.full(1, 1e-3)}
     for _ in range(rounds):
         for at in np.array_split(rng.permutation(len(sequences)), max(1, len(sequences) // batch)):
             place = sequences[at]
@@ -264,11 +336,11 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 4, batch: int = 256
             g = np.zeros((len(different), n))
             np.add.at(g, where.reshape(word.shape), gamma)
             g *= scale
-            table = np.zeros((BUCKETS, n))
+            table = np.zeros((model.buckets, n))
             per_gram = np.repeat(g / np.maximum(1, gram_count[different])[:, None], gram_count[different], axis=0)
             for k in range(n):
-                table[:, k] = np.bincount(part.fixed.ravel(), weights=np.repeat(g[:, k], part.fixed.shape[1]), minlength=BUCKETS) + np.bincount(part.gram, weights=per_gram[:, k], minlength=BUCKETS)
-            grads = {"table": table, "switch": (pairs - seen) * scale, "bias": g.sum(0), "lexicon_weight": np.array([(g * lexicon[different]).sum()])}
+                table[:, k] = np.bincount(part.fixed.ravel(), weights=np.repeat(g[:, k], part.fixed.shape[1]), minlength=model.buckets) + np.bincount(part.gram, weights=per_gram[:, k], minlength=model.buckets)
+            grads = {"table": table, "switch": (pairs - seen) * scale, "bias": g.sum(0), "lexicon_weight": np.array([(g * model.lexicon_of(part.key)).sum()])}
             for name, value in grads.items():
                 sums[name] += value * value
                 setattr(model, name, getattr(model, name) - rate * value / np.sqrt(sums[name]) * (0.2 if name != "lexicon_weight" else 0.05))
@@ -326,17 +398,17 @@ def _expectations(scores: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, n
     return gamma, pairs
 
 
-def learn(docs: DataFrame, usable: Column, *, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL) -> Crf:
+def learn(docs: DataFrame, usable: Column, *, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL, sample_bytes: int = SAMPLE_BYTES) -> Crf:
     """A model from ``docs(doc_id, text, lang)`` of the rows for which ``usable`` (on doc_id) holds."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & usable)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    totals = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = totals.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return Crf([])
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     sample_docs = max(2, min(sample_docs, sample_all // len(sizes)))
-    # the share of each language's rows whose hashes give sample_docs of them on average
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
+    sample_bytes = sample_bytes // len(sizes)
+    # the share of each language's rows whose hashes give sample_docs of them, or sample_bytes, on average
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"], sample_bytes / max(1, r["bytes"])))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang", "text")).alias("r")

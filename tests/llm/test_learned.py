@@ -174,3 +174,43 @@ def test_document_language_matches_all_labellings():
                 total[j] += weight * any(map(str.isalpha, text.split()[k]))
         share = np.array(total) / total.sum()
         assert name == model.languages[int(share.argmax())] and abs(score - share.max()) < 1e-6
+
+
+def test_blocks_and_ranges_give_the_same_languages(spark, monkeypatch):
+    """Texts taken by ranges, and long ones by blocks of words, against all at once."""
+    import random
+
+    rng = random.Random(3)
+    texts = [sentence(rng, lang, n) for lang in ("en", "fr") for n in (3, 40, 400, 90)] + [None, "", "12 !", sentence(rng, "en", 50) + " " + sentence(rng, "fr", 300)]
+    model = crf.fit(texts[:4] * 3 + texts[4:8] * 3, ["en"] * 12 + ["fr"] * 12)
+    names, scores = model.predict(pa.array(texts))
+    for cells in (1, 700, 3000, 9000):
+        monkeypatch.setattr(crf, "CELLS", cells)
+        again, other = model.predict(pa.array(texts))
+        assert again == names and np.allclose(other, scores, atol=1e-9)
+
+
+def test_many_languages_are_bounded(spark, monkeypatch):
+    """A model of 300 languages keeps its bounds, still tells them apart, and predicts long texts in bounded memory."""
+    import tracemalloc
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: 3 * letters[k // 26] + 3 * letters[k % 26]
+    texts = [f"{word(k % 300)} " * 12 for k in range(900)]
+    model = crf.fit(texts, [f"l{k % 300:03d}" for k in range(900)], rounds=2)
+    assert model.table.size <= crf.TABLE_CELLS and model.lexicon.size <= crf.TABLE_CELLS
+    monkeypatch.setattr(crf, "CELLS", 1 << 20)
+    tracemalloc.start()
+    names, _ = model.predict(pa.array([*texts[:300], f"{word(7)} " * 5000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.mean([a == f"l{k:03d}" for k, a in enumerate(names[:300])]) > 0.9 and names[300] == "l007"
+    assert peak < 16 * 8 * crf.CELLS
+
+
+def test_the_commonest_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(crf, "MOST_LANGUAGES", 2)
+    rows = [(k, "the house and the river" if k % 5 else "la maison et la rivière", "en" if k % 5 else "fr") for k in range(50)] + [(99, "das haus und der fluss", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.learn(docs, F.lit(True))
+    assert model.languages == ["en", "fr"] and crf.predict(docs, model).filter("lang_pred = 'de'").count() == 0
