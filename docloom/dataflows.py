@@ -18,7 +18,7 @@ from .model import TOOL_CALLS
 from .operators import agent, conversation, docgen, tools
 from .plans import parse, waves
 from .queries import _WAVES, _cut, _sql_escape, _steps, log_of, query, table
-from .sources import files
+from .sources import documents, files
 from .streaming import chunks
 
 
@@ -318,7 +318,7 @@ def doc_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "documents")
     name = F.concat(F.when(F.col("p_partkey") % 2 == 0, ".").otherwise("_"), F.col("p_partkey").cast("string"), F.lit(".md"))
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("docs/reference/"), name).alias("path"), F.concat(F.lit("ü "), "p_name", F.lit("\r\n")).alias("content"))
-    rows.write.format("documents").mode("append").save(folder)
+    documents.dealt(rows).write.format("documents").mode("append").save(folder)
     return spark.read.format("tree").load(folder).select("path", utf8_strict(F.col("content")).alias("content"), "length")
 
 
@@ -333,7 +333,7 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.concat(F.when(kind == 0, "src/").when(kind == 1, "").when(kind == 2, "src/deep/").otherwise("docs/"), F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".py").otherwise(".txt"))
     rows = table(spark, sf_dir, "part").select(place.alias("path"), F.lit("x").alias("content"))
     rules = spark.createDataFrame([("src/deep/.gitignore", "*.py\n.gitignore\n")], "path string, content string")
-    rows.unionByName(rules).write.format("documents").mode("append").save(folder)
+    documents.dealt(rows.unionByName(rules)).write.format("documents").mode("append").save(folder)
     return spark.read.format("tree").option("ignore", "/docs/").option("content", "false").load(folder).select("path")
 
 

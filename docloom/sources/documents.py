@@ -3,7 +3,8 @@
 Rows are (path, content), paths relative to the root, which is a path or the URI of any
 file system that pyarrow knows.  A write is whole or absent.  Tasks write into a staging
 folder below the root; when all are done, the driver compares their sorted lists of paths,
-which it reads one line at a time, and moves the files to their places.  Two rows of one
+which it reads one line at a time, and moves the files to their places, a thousand to a
+call.  A task writes its rows alone: what lies in few partitions is dealt out first (``dealt``).  Two rows of one
 path, or in mode ``append`` a file that exists already, fail the write before anything is
 moved, and a move that fails is undone.  A failed job leaves nothing but what was there.
 In mode ``overwrite`` files are replaced; files without a row stay.
@@ -20,17 +21,22 @@ import os
 import posixpath
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import islice
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 log = logging.getLogger("docloom")
-#: Files that the driver moves at once.
-MOVERS = 16
+#: Groups of files that the driver moves at once, and the files of a group.
+MOVERS = 4
+MOVED = 1000
+#: Paths that a task sorts at once; a task with more writes several lists.
+LISTED = 100_000
 
 
 def file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -41,10 +47,22 @@ def file_system(root: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the session shuffles into: a file takes far more time than its bytes,
+    by which Spark cuts its input."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def move(store: fs.FileSystem, source: str, target: str) -> None:
+    if isinstance(store, fs.LocalFileSystem):
+        os.rename(source, target)
+    else:
+        store.move(source, target)
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    manifest: str
-    files: int
+    manifests: list[str]
 
 
 class DocumentSink(DataSource):
@@ -76,7 +94,16 @@ class DocumentWriter(DataSourceWriter):
         attempt = uuid.uuid4().hex
         folder = f"{staging}/{attempt}"
         store.create_dir(folder, recursive=False)
-        listed = []
+        listed: list[tuple[str, int]] = []
+        manifests: list[str] = []
+
+        def flush() -> None:
+            manifests.append(f"{folder}/manifest-{len(manifests)}")
+            with store.open_output_stream(manifests[-1]) as f:
+                for path, n in sorted(listed):
+                    f.write((json.dumps([path, f"{attempt}/{n}"]) + "\n").encode())
+            listed.clear()
+
         for n, row in enumerate(rows):
             if row["path"] is None:
                 raise ValueError("a document without a path")
@@ -86,11 +113,11 @@ class DocumentWriter(DataSourceWriter):
             with store.open_output_stream(f"{folder}/{n}") as f:
                 f.write((row["content"] or "").encode())
             listed.append((path, n))
-        manifest = f"{folder}/manifest"
-        with store.open_output_stream(manifest) as f:
-            for path, n in sorted(listed):
-                f.write((json.dumps([path, f"{attempt}/{n}"]) + "\n").encode())
-        return Written(manifest, len(listed))
+            if len(listed) >= LISTED:
+                flush()
+        if listed:
+            flush()
+        return Written(manifests)
 
     def _listed(self, store: fs.FileSystem, messages: list) -> Iterator[tuple[str, str]]:
         """(path, staged file) of all tasks in order of paths, a line of each task's list in memory."""
@@ -102,16 +129,20 @@ class DocumentWriter(DataSourceWriter):
                     *whole, rest = (rest + block).split(b"\n")
                     yield from (tuple(json.loads(x)) for x in whole)
 
-        return heapq.merge(*(lines(m.manifest) for m in messages if m is not None and m.files))
+        return heapq.merge(*(lines(manifest) for m in messages if m is not None for manifest in m.manifests))
 
     def _check(self, store: fs.FileSystem, root: str, messages: list) -> None:
         before, listed = None, self._listed(store, messages)
-        while some := list(islice(listed, 1000)):
-            for path, _ in some:
+        while some := [path for path, _ in islice(listed, MOVED)]:
+            for path in some:
                 if path == before:
                     raise FileExistsError(f"several documents for {path}")
                 before = path
-            for info, (path, _) in zip(store.get_file_info([f"{root}/{path}" for path, _ in some]), some):
+            # nothing lies in a folder that is not there
+            folders = list({posixpath.dirname(path) for path in some})
+            there = {folder for folder, info in zip(folders, store.get_file_info([f"{root}/{folder}" for folder in folders])) if info.type != fs.FileType.NotFound}
+            some = [path for path in some if posixpath.dirname(path) in there]
+            for info, path in zip(store.get_file_info([f"{root}/{path}" for path in some]), some):
                 if info.type == fs.FileType.Directory or info.type == fs.FileType.File and not self.overwrite:
                     raise FileExistsError(f"File already exists: {path}")
 
@@ -120,35 +151,45 @@ class DocumentWriter(DataSourceWriter):
         try:
             self._check(store, root, messages)
             try:
-                self._all(lambda path, part: self._place(store, root, staging, path, part), store, messages)
+                self._all(lambda some: self._place(store, root, staging, some), store, messages)
             except BaseException:
-                self._all(lambda path, part: self._take_back(store, root, staging, path, part), store, messages)
+                self._all(lambda some: self._take_back(store, root, staging, some), store, messages)
                 raise
         finally:
             self._clear(store, staging)
 
-    def _all(self, do: Callable[[str, str], None], store: fs.FileSystem, messages: list) -> None:
+    def _all(self, do: Callable[[list[tuple[str, str]]], None], store: fs.FileSystem, messages: list) -> None:
         listed = self._listed(store, messages)
+        running: deque[Future] = deque()
         with ThreadPoolExecutor(MOVERS) as pool:
-            while some := list(islice(listed, 1000)):
-                list(pool.map(lambda x: do(*x), some))
+            while some := list(islice(listed, MOVED)):
+                running.append(pool.submit(do, some))
+                if len(running) >= 2 * MOVERS:
+                    running.popleft().result()
+            while running:
+                running.popleft().result()
 
     @staticmethod
     def _exists(store: fs.FileSystem, path: str) -> bool:
         return store.get_file_info(path).type == fs.FileType.File
 
-    def _place(self, store: fs.FileSystem, root: str, staging: str, path: str, part: str) -> None:
-        target = f"{root}/{path}"
-        store.create_dir(posixpath.dirname(target), recursive=True)
-        if self.overwrite and self._exists(store, target):
-            store.move(target, f"{staging}/{part}.before")
-        store.move(f"{staging}/{part}", target)
-
-    def _take_back(self, store: fs.FileSystem, root: str, staging: str, path: str, part: str) -> None:
-        if not self._exists(store, f"{staging}/{part}") and self._exists(store, f"{root}/{path}"):
-            store.delete_file(f"{root}/{path}")
-        if self._exists(store, f"{staging}/{part}.before"):
-            store.move(f"{staging}/{part}.before", f"{root}/{path}")
+    def _place(self, store: fs.FileSystem, root: str, staging: str, some: list[tuple[str, str]]) -> None:
+        made = None
+        for path, part in some:
+            target = f"{root}/{path}"
+            if (folder := posixpath.dirname(target)) != made:  # paths are sorted
+                store.create_dir(folder, recursive=True)
+                made = folder
+            if self.overwrite and self._exists(store, target):
+                move(store, target, f"{staging}/{part}.before")
+            move(store, f"{staging}/{part}", target)
+
+    def _take_back(self, store: fs.FileSystem, root: str, staging: str, some: list[tuple[str, str]]) -> None:
+        for path, part in some:
+            if not self._exists(store, f"{staging}/{part}") and self._exists(store, f"{root}/{path}"):
+                store.delete_file(f"{root}/{path}")
+            if self._exists(store, f"{staging}/{part}.before"):
+                move(store, f"{staging}/{part}.before", f"{root}/{path}")
 
     def abort(self, messages: list) -> None:
         store, _, staging = self._open()

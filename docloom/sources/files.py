@@ -9,7 +9,9 @@ every level), ``content`` (default true), ``partitions`` (default 64).
 The tree is opened level by level, each folder with the rules that it inherits, until
 there are enough folders for all partitions; those and the files above them are packed
 into partitions by how many entries they have, so that a tree below one top folder, or a
-folder with very many files, is read by many tasks.  Links are not followed.
+folder with very many files, is read by many tasks.  Each of those goes through the names
+of that folder once, one at a time in a local file system, and looks at its own share.
+Links are not followed.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from . import ignore
 from .documents import file_system
 
 SCHEMA = "path string, length long, modified timestamp, content binary"
-#: Files of an opened folder that make one piece of work.
+#: Files of an opened folder that make one piece of work, at least; it has no more pieces than partitions are wanted.
 PIECE = 1000
+#: Folders with more entries than this are opened even where there are enough of them.
+MOST_ENTRIES = 16 * PIECE
 
 
 class TreeSource(DataSource):
@@ -76,16 +80,14 @@ class TreeReader(DataSourceReader):
         while level and len(level) < 4 * self.wanted:
             below = []
             for folder, sets in level:
-                files = 0
-                for path, info in self._entries(store, root, folder, sets):
-                    if info.type == fs.FileType.Directory:
-                        below.append((path, self._rules_of(store, root, path, sets)))
-                    else:
-                        files += 1
-                of = -(-files // PIECE)
-                pieces += [Piece(folder, sets, files // of, share, of) for share in range(of)]
+                below += self._opened(store, root, folder, sets, pieces)
             level = below
-        pieces += [Piece(folder, sets, len(self._listed(store, root, folder))) for folder, sets in level]
+        for folder, sets in level:
+            n = sum(1 for _ in self._names(store, root, folder))
+            if n > MOST_ENTRIES:
+                pieces += [Piece(path, rules, 1) for path, rules in self._opened(store, root, folder, sets, pieces)]
+            else:
+                pieces.append(Piece(folder, sets, n))
         packed = [Packed([]) for _ in range(min(self.wanted, max(1, len(pieces))))]
         loads = [0] * len(packed)
         for piece in sorted(pieces, key=lambda p: -p.entries):
@@ -94,22 +96,39 @@ class TreeReader(DataSourceReader):
             loads[least] += piece.entries + 1
         return packed
 
+    def _opened(self, store: fs.FileSystem, root: str, folder: str, sets: list, pieces: list[Piece]) -> list[tuple[str, list]]:
+        """The folders in a folder with their rules; its files are added to the pieces."""
+        files, below = 0, []
+        for name, directory in self._names(store, root, folder):
+            if not directory:
+                files += 1
+            elif self._wanted(path := f"{folder}/{name}" if folder else name, True, sets):
+                below.append((path, self._rules_of(store, root, path, sets)))
+        of = min(-(-files // PIECE), self.wanted)
+        pieces += [Piece(folder, sets, files // of, share, of) for share in range(of)]
+        return below
+
     def read(self, partition: Packed) -> Iterator[tuple]:
         store, root = file_system(self.uri)
         for piece in partition.pieces:
             if piece.of:
-                for path, info in self._entries(store, root, piece.folder, piece.rules):
-                    if info.type == fs.FileType.File and zlib.crc32(info.base_name.encode("utf-8", "surrogateescape")) % piece.of == piece.share:
-                        yield self._row(store, path, info)
+                for name, directory in self._names(store, root, piece.folder):
+                    if not directory and zlib.crc32(name.encode("utf-8", "surrogateescape")) % piece.of == piece.share:
+                        path = f"{piece.folder}/{name}" if piece.folder else name
+                        if self._wanted(path, False, piece.rules):
+                            yield self._row(store, root, path)
             else:
                 yield from self._walk(store, root, piece.folder, piece.rules)
 
     def _walk(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> Iterator[tuple]:
-        for path, info in self._entries(store, root, folder, sets):
-            if info.type == fs.FileType.Directory:
+        for name, directory in self._names(store, root, folder):
+            path = f"{folder}/{name}" if folder else name
+            if not self._wanted(path, directory, sets):
+                continue
+            if directory:
                 yield from self._walk(store, root, path, self._rules_of(store, root, path, sets))
             else:
-                yield self._row(store, path, info)
+                yield self._row(store, root, path)
 
     def _rules_of(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> list:
         """The rules inside a folder: those of the folders above, and its own."""
@@ -120,21 +139,25 @@ class TreeReader(DataSourceReader):
         return sets
 
     @staticmethod
-    def _listed(store: fs.FileSystem, root: str, folder: str) -> list[fs.FileInfo]:
-        return store.get_file_info(fs.FileSelector(f"{root}/{folder}" if folder else root))
-
-    def _entries(self, store: fs.FileSystem, root: str, folder: str, sets: list) -> Iterator[tuple[str, fs.FileInfo]]:
-        """(path, info) of the files and folders in a folder that no rule leaves out, by name."""
-        for info in sorted(self._listed(store, root, folder), key=lambda i: i.base_name):
-            path = f"{folder}/{info.base_name}" if folder else info.base_name
-            directory = info.type == fs.FileType.Directory
-            if not directory and info.type != fs.FileType.File or isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path):
-                continue
-            if not ignore.ignored(path, directory, [("", self.fixed)]) and not ignore.ignored(path, directory, sets):
-                yield path, info
-
-    def _row(self, store: fs.FileSystem, path: str, info: fs.FileInfo) -> tuple:
-        data = None
+    def _names(store: fs.FileSystem, root: str, folder: str) -> Iterator[tuple[str, bool]]:
+        """(name, whether it is a folder) of the files and folders in a folder, links left out."""
+        where = f"{root}/{folder}" if folder else root
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(where) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False) or e.is_file(follow_symlinks=False):
+                        yield e.name, e.is_dir(follow_symlinks=False)
+        else:
+            for info in store.get_file_info(fs.FileSelector(where)):
+                if info.type in (fs.FileType.File, fs.FileType.Directory):
+                    yield info.base_name, info.type == fs.FileType.Directory
+
+    def _wanted(self, path: str, directory: bool, sets: list) -> bool:
+        """Whether no rule leaves it out."""
+        return not ignore.ignored(path, directory, [("", self.fixed)]) and not ignore.ignored(path, directory, sets)
+
+    def _row(self, store: fs.FileSystem, root: str, path: str) -> tuple:
+        info, data = store.get_file_info(f"{root}/{path}"), None
         if self.content:
             with store.open_input_stream(info.path) as f:
                 data = f.read()
