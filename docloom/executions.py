@@ -14,7 +14,7 @@ from .model import TOOL_CALLS
 from .operators import agent, conversation, tools
 from .plans import parse, run, waves
 from .queries import BUDGET, _cut, log_of, query, table
-from .sources import files
+from .sources import documents, files
 from .streaming import recorded, state
 
 # -- plans ------------------------------------------------------------------------------
@@ -124,7 +124,7 @@ def plan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # JSON is YAML, too
     content = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("# Plan\n\n```json\n"), plan, F.lit("\n```\n"))).otherwise(plan)
     ext = F.element_at(F.array(F.lit(".json"), F.lit(""), F.lit(".md")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    table(spark, sf_dir, "part").select(F.concat(F.lit("plan"), key, ext).alias("path"), content.alias("content")).write.format("documents").mode("append").save(folder)
+    documents.dealt(table(spark, sf_dir, "part").select(F.concat(F.lit("plan"), key, ext).alias("path"), content.alias("content"))).write.format("documents").mode("append").save(folder)
     plans = parse.parse_plans(parse.read_plans(spark, folder))
     number = F.regexp_extract("path", r"plan([0-9]+)(?:\.[a-z]+)?\z", 1).cast("long")
     return plans.select(number.alias("p_partkey"), F.col("plan.name").alias("name"), F.size("plan.steps").cast("long").alias("n_steps"))
@@ -296,6 +296,6 @@ def doc_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(kind == 0, "a/").when(kind == 1, "a/b/").when(kind == 2, "a/b/c/").otherwise(""), F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".md"))
     parts = table(spark, sf_dir, "part")
     # parts that six divides are written by the second write alone
-    parts.filter("p_partkey % 6 <> 0").select(path.alias("path"), F.concat("p_name", F.lit("\n")).alias("content")).write.format("documents").mode("append").save(folder)
-    parts.filter("p_partkey % 3 = 0").select(path.alias("path"), F.concat(F.lit("new "), "p_name").alias("content")).write.format("documents").mode("overwrite").save(folder)
+    documents.dealt(parts.filter("p_partkey % 6 <> 0").select(path.alias("path"), F.concat("p_name", F.lit("\n")).alias("content"))).write.format("documents").mode("append").save(folder)
+    documents.dealt(parts.filter("p_partkey % 3 = 0").select(path.alias("path"), F.concat(F.lit("new "), "p_name").alias("content"))).write.format("documents").mode("overwrite").save(folder)
     return spark.read.format("tree").option("partitions", "8").load(folder).select("path", utf8_strict(F.col("content")).alias("content"))

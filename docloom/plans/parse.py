@@ -13,6 +13,8 @@ import json
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +23,39 @@ from .. import errors
 from ..functions import jsons
 from ..functions.text import category, extension, first_block
 from ..model import ACTIONS, PLAN, PLAN_FORMATS
+from ..sources.documents import file_system
+from ..sources.files import TreeSource
+
+
+#: What a URI quotes of a path, in Spark's own spelling.
+_QUOTED = "% \"#<>?[\\]^`{|}"
+
+
+def _uri(root: str, path: Column) -> Column:
+    """The URI of a path below a folder, quoted as Spark quotes those of files."""
+    quoted = path
+    for c in _QUOTED:
+        quoted = F.replace(quoted, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit(root), F.when(path.rlike(r"[^A-Za-z0-9_.\-]"), quoted).otherwise(path))
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, content) of whole plan files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, format, content) of whole plan files: those in a folder, or what else Spark's text source takes.
+
+    A folder is read as a tree, whose files the driver does not list one by one.
+    """
+    try:
+        store, root = file_system(path)
+        folder = store.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, OSError):
+        folder = False
+    if folder:
+        spark.dataSource.register(TreeSource)
+        tree = spark.read.format("tree").option("gitignore", "false").option("ignore", "_*\n!_*=*\n.*\n*._COPYING_\n*/").load(path)
+        below = "file:" + "".join(f"%{ord(c):02X}" if c in _QUOTED else c for c in root) if isinstance(store, fs.LocalFileSystem) else path.rstrip("/")
+        files = tree.select(_uri(f"{below}/", F.col("path")).alias("path"), F.col("content").cast("string").alias("content"))
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     ext = extension(F.col("path"))
     return files.select("path", F.when(ext == "", "yaml").otherwise(ext).alias("format"), "content")
 
