@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.plans import parse
+from docloom.plans import parse, waves
 from docloom.sources import documents, files
 
 
@@ -54,3 +54,19 @@ def test_plans_in_a_folder_are_those_of_the_text_source(spark, tmp_path):
     found = parse.read_plans(spark, str(tmp_path)).select("path", F.col("content").cast("binary").alias("v")).collect()
     assert sorted((p, bytes(v)) for p, v in found) == sorted((p, bytes(v)) for p, v in want) and len(want) == 5
     assert parse.read_plans(spark, str(tmp_path / "plain")).count() == 1
+
+
+def test_long_chains_in_blocks(spark):
+    """Two thousand waves in plans over the most steps, in the plans' order, against it and across it."""
+    n, rng = 2000, random.Random(5)
+    rows = [("chain", k, str(k), [str(k - 1)] if k else []) for k in range(n)]
+    rows += [("back", k, str(k), [str(k + 1)] if k < n - 1 else []) for k in range(n)]
+    rows += [("near", k, str(k), [str(rng.randrange(max(0, k - 9), k))] if k else []) for k in range(n)]
+    # an id whose other steps come into another block: the one that is ready first runs
+    rows += [("far", k, str(k), [str((k + 1500) % n)] if k % 500 else []) for k in range(n)] + [("far", n + 1, "7", ["0"]), ("far", n + 2, "x", ["7", "gone"]), ("far", n + 3, "y", ["7"])]
+    df = spark.createDataFrame(rows, "plan string, ord int, id string, deps array<string>").repartition(3)
+    whole = {(r.plan, r.ord): r.wave for r in waves.schedule(df).collect()}
+    cut = waves.schedule(df, most_steps=700)
+    assert {(r.plan, r.ord): r.wave for r in cut.collect()} == whole and len(whole) == len(rows)
+    assert whole["chain", n - 1] == n - 1 == whole["back", 0] and whole["far", n + 3] == 2 and whole["far", n + 2] is None
+    assert {r.plan: r.deadlocked for r in waves.stalled(cut).collect()}["chain"] is False
