@@ -22,6 +22,17 @@ from pyspark.sql import functions as F
 MOST_STEPS = 1 << 17
 
 
+#: Bytes of input, as the optimizer counts them, for each partition of steps.
+PARTITION_BYTES = 4 << 20
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys in the session's number of partitions, or in more where there are many, so that a task's share is bounded."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 16)), *keys)
+
+
 def duplicate_ids(steps: DataFrame) -> DataFrame:
     """(plan, id, n) of ids that several steps of a plan have."""
     return steps.groupBy("plan", "id").agg(F.count("*").alias("n")).filter("n > 1")
@@ -35,10 +46,20 @@ def unknown_dependencies(steps: DataFrame) -> DataFrame:
 
 def validate(steps: DataFrame) -> DataFrame:
     """(plan, problem): the first duplicate id, else the first unknown dependency of each faulty plan."""
-    place = steps.groupBy("plan", "id").agg(F.min("ord").alias("ord"))
-    twice = duplicate_ids(steps).join(place, ["plan", "id"]).select("plan", F.lit(0).alias("rank"), "ord", F.concat(F.lit("Duplicate step ID: "), "id").alias("problem"))
-    unknown = unknown_dependencies(steps).join(place, ["plan", "id"]).select("plan", F.lit(1).alias("rank"), "ord", F.format_string("Step %s depends on unknown step %s", "id", "dep").alias("problem"))
-    return twice.unionByName(unknown).groupBy("plan").agg(F.min_by("problem", F.struct("rank", "ord", "problem")).alias("problem"))
+    # An id with its steps and the steps that ask for it in one group.  Where no id stands
+    # twice, a step's own place is its id's; where one does, what is unknown does not matter.
+    steps = steps.filter("plan is not null and id is not null")
+    kind = steps.schema["ord"].dataType
+    entry = lambda key, own, ord, problem: F.struct(key.alias("key"), own.cast(kind).alias("own"), ord.cast(kind).alias("ord"), problem.cast("string").alias("problem"))
+    text = lambda dep: F.concat(F.lit("Step "), "id", F.lit(" depends on unknown step "), F.coalesce(dep, F.lit("null")))
+    asked = F.transform(F.coalesce("deps", F.array().cast("array<string>")), lambda dep: entry(dep, F.lit(None), F.col("ord"), text(dep)))
+    each = steps.select("plan", F.explode(F.concat(F.array(entry(F.col("id"), F.col("ord"), F.lit(None), F.lit(None))), asked)).alias("e")).select("plan", "e.*")
+    place = lambda rank, ord, problem: F.struct(F.lit(rank).alias("rank"), ord.alias("ord"), problem.alias("problem"))
+    found = each.groupBy("plan", "key").agg(F.count_if(F.col("problem").isNull()).alias("n"), F.min("own").alias("own"), F.min(F.when(F.col("problem").isNotNull(), F.struct("ord", "problem"))).alias("asked"))
+    twice = F.when(F.col("n") > 1, place(0, F.col("own"), F.concat(F.lit("Duplicate step ID: "), "key")))
+    unknown = F.when(F.col("n") == 0, place(1, F.col("asked.ord"), F.col("asked.problem")))
+    faults = found.select("plan", F.coalesce(twice, unknown).alias("fault")).filter("fault is not null")
+    return faults.groupBy("plan").agg(F.min("fault").alias("fault")).select("plan", F.col("fault.problem").alias("problem"))
 
 
 #: Steps of a wave up to which they are gone through one by one.

@@ -82,7 +82,7 @@ def conv_log_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = waves.dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     n = F.col("l_linenumber")
     deps = F.when(n > 1, F.array((n - 1).cast("string"))).otherwise(F.array().cast("array<string>"))
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))

@@ -100,3 +100,26 @@ def test_calls_of_effects_are_dealt_out(spark):
     calls = spark.range(200).coalesce(1).select("id", F.lit("measure").alias("name"), F.to_json(F.struct(F.col("id").cast("string").alias("text"))).alias("arguments"))
     done = registry.execute(calls).filter("result is not null").select("id", "result.output", F.spark_partition_id().alias("part")).collect()
     assert {r.id: r.output for r in done} == {k: str(len(str(k))) for k in range(200)} and len({r.part for r in done}) > 1
+
+
+def test_validation_in_one_grouping(spark):
+    rng, rows = random.Random(11), []
+    for p in range(200):
+        size = rng.randrange(1, 7)
+        pool = [*"abcdefg"[:size], None] if p % 3 else [*"abcdefgh"]
+        for k in range(size):
+            i = "abcdefg"[k] if rng.random() < 0.9 else rng.choice([*"abc", None])
+            rows.append((None if p == 5 else p, k, i, [rng.choice(pool) for _ in range(rng.randrange(3))] if rng.random() < 0.9 else None))
+    want = {}
+    for p in {r[0] for r in rows} - {None}:
+        mine = [r[1:] for r in rows if r[0] == p and r[2] is not None]
+        ids = [i for _, i, _ in mine]
+        first = {i: min(o for o, j, _ in mine if j == i) for i in ids}
+        faults = [(0, first[i], f"Duplicate step ID: {i}") for i in ids if ids.count(i) > 1]
+        faults += [(1, first[i], f"Step {i} depends on unknown step {'null' if d is None else d}") for _, i, deps in mine for d in deps or [] if d not in ids]
+        if faults:
+            want[p] = min(faults)[2]
+    df = spark.createDataFrame(rows, "plan long, ord int, id string, deps array<string>")
+    found = waves.validate(df)
+    assert {r.plan: r.problem for r in found.collect()} == want and len(want) > 50
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
