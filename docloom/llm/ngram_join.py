@@ -23,7 +23,8 @@ smallest doc_id that links reach.  The join is exact.
    are written once with wider bitmaps (``contested``).  Pairs that these do not rule
    out (``sifted``) are verified on the texts: first each set with one candidate, then
    those pairs that are still in different components, with more leaders for large
-   blocks that hold several components.
+   blocks that hold several components: a few pairs of each two components, and the
+   others where these are still apart (``linked``).
 5. Large blocks that then still hold sets of different components are split into
    bounded chunks and traversed as in 3: chunks of the block's main component only
    against those of others, node pairs that lie in one component are dropped, and
@@ -74,6 +75,10 @@ SPLIT = 1024
 MOST_BROADCAST = 300_000
 #: Pairs that share one copy of a text in a verification task.
 GROUP = 256
+#: Pairs of two components that are verified before the others between the two.
+FIRST = 4
+#: Up to so many pairs are verified all at once.
+FEW_PAIRS = 8192
 #: Keys of sets that a task remembers, so as not to emit copies again.
 REMEMBERED = 200_000
 #: A dealt-out shingle is posted as -1 less its rank and, in the lowest bits, a salt; none is under -_DEALT.
@@ -585,7 +590,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, sets_of: Sets = s
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "s").cast("int").alias("salt"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     rows = heads.unionByName(salted.withColumn("node", F.col("b")))
-    texts = _of_few(texts.select("node", "text"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    texts = _of_few(texts.select("node", "text"), wanted)
     with_text = rows.join(texts, "node").select("a", "salt", "b", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -662,6 +668,25 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "roots")
 
 
+def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, percent: int, sets_of: Sets) -> DataFrame:
+    """``joined`` with the links among the written ``pairs(a, b)`` of different components.
+
+    Two components need one link, however many pairs lie between them: up to ``FIRST``
+    of these are verified first, and the others only where the two are then still apart.
+    """
+    n = pairs.count()
+    if n <= FEW_PAIRS:
+        return joined(roots, materialize(verified(pairs, texts, percent, sets_of), "links"))
+    between = roots_of(pairs, roots).withColumns({"low": F.least("ra", "rb"), "high": F.greatest("ra", "rb")})
+    one = between.groupBy("low", "high", F.pmod(F.xxhash64("a", "b"), F.lit(FIRST))).agg(F.min(F.struct("a", "b")).alias("p"))
+    some = materialize(one.select("p.*"), "first")
+    if 2 * some.count() > n:  # too few others for a round of their own
+        return joined(roots, materialize(verified(pairs, texts, percent, sets_of), "links"))
+    roots = joined(roots, materialize(verified(some, texts, percent, sets_of), "links"))
+    left = materialize(apart(pairs, roots).join(some, ["a", "b"], "left_anti"), "apart")
+    return roots if left.isEmpty() else joined(roots, materialize(verified(left, texts, percent, sets_of), "links"))
+
+
 def possible(counts: DataFrame, nodes: DataFrame, percent: int, more: Column) -> DataFrame:
     """The rows of counts(a, b, c) whose overlap can be large enough.
 
@@ -735,14 +760,14 @@ def jaccard_members(docs: DataFrame, percent: int = PERCENT, sets_of: Sets = shi
         rest = rest.union(sifted(possible(found, nodes, percent, F.least("la", "lb")), texts, percent).select("a", "b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        roots = joined(roots, materialize(verified(rest, texts, percent, sets_of), "links"))
+        roots = linked(rest, roots, texts, percent, sets_of)
     opened = None if large.isEmpty() else open_pairs(large, roots, percent, texts)
     if opened is not None:
         # pairs that also meet in a small block have been looked at
         left = opened.distinct().join(counted, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
         left = materialize(sifted(materialize(left, "open-pairs"), texts, percent), "open-pairs")
         if not left.isEmpty():
-            roots = joined(roots, materialize(verified(left, texts, percent, sets_of), "links"))
+            roots = linked(left, roots, texts, percent, sets_of)
     tied = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = tied.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return tied.join(least, "comp", "left").select(
