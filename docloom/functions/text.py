@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import CATEGORIES
 
@@ -99,10 +97,9 @@ def estimated_tokens(n_bytes: Column) -> Column:
     return F.floor(n_bytes / 4)
 
 
-@F.pandas_udf(T.StringType())
-def utf8_lossy(data: pd.Series) -> pd.Series:
-    """Bytes as text, each bad sequence replaced; no built-in replaces them."""
-    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+def utf8_lossy(data: Column | str) -> Column:
+    """Bytes as text, each bad sequence replaced."""
+    return F.make_valid_utf8((F.col(data) if isinstance(data, str) else data).cast("string"))
 
 
 def utf8_strict(data: Column) -> Column:
