@@ -80,6 +80,34 @@ def _yaml_loader() -> Any:
     return Loader
 
 
+def _plain(node: Any) -> Any:
+    """The value of a node of texts, lists and maps with texts as keys; ValueError where there is another."""
+    if node.tag == "tag:yaml.org,2002:str" and node.id == "scalar":
+        return node.value
+    if node.tag == "tag:yaml.org,2002:seq" and node.id == "sequence":
+        return [_plain(v) for v in node.value]
+    if node.tag != "tag:yaml.org,2002:map" or node.id != "mapping" or any(k.tag != "tag:yaml.org,2002:str" or k.id != "scalar" for k, _ in node.value):
+        raise ValueError(node.tag)
+    return {k.value: _plain(v) for k, v in node.value}
+
+
+def _loaded(text: str, loader: Any) -> Any:
+    """The value of a YAML text; what is not plain, may refer to itself or is deep goes through all of the loader."""
+    one = loader(text)
+    try:
+        node = one.get_single_node()
+        if node is None:
+            return None
+        try:
+            if "&" not in text:
+                return _plain(node)
+        except (ValueError, RecursionError):
+            pass
+        return one.construct_document(node)
+    finally:
+        one.dispose()
+
+
 @F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("problem", T.StringType())]))
 def _yaml_to_json(content: pd.Series) -> pd.DataFrame:
     import yaml
@@ -90,7 +118,7 @@ def _yaml_to_json(content: pd.Series) -> pd.DataFrame:
         if text is None:
             return None, None
         try:
-            return json.dumps(yaml.load(text, loader), allow_nan=False), None
+            return json.dumps(_loaded(text, loader), allow_nan=False), None
         except (yaml.YAMLError, ValueError, TypeError) as e:
             return None, str(e).split("\n")[0]
 
@@ -108,7 +136,10 @@ def _plan_problem(v: Column) -> Column:
     steps = F.try_variant_get(v, "$.steps", "array<variant>")
 
     def step_problem(s: Column) -> Column:
-        kind = jsons.text_at(s, "$.action.type")
+        # bound: the type would else be looked up again for each action that it is compared with
+        return F.transform(F.array(jsons.text_at(s, "$.action.type")), lambda kind: problem_of(s, kind))[0]
+
+    def problem_of(s: Column, kind: Column) -> Column:
         unknown = F.when(kind.isNull() | ~kind.isin(*ACTIONS), "unknown action")
         bad = F.coalesce(F.when(~jsons.is_object(s), "a step is not an object"), *[F.when(jsons.text_at(s, f"$.{f}").isNull(), f"a step needs the text {f}") for f in ("id", "description")], unknown)
         for action, parameter in ACTIONS.items():

@@ -1,10 +1,13 @@
 """Work and memory of the documentation dataflow's queries that must not grow faster than their input."""
 
+import json
 import random
 
+import yaml
 from pyspark.sql import functions as F
 
 from docloom.functions.text import utf8_lossy
+from docloom.plans import parse
 
 
 def test_bad_bytes_are_replaced_as_by_python_without_python(spark):
@@ -15,3 +18,25 @@ def test_bad_bytes_are_replaced_as_by_python_without_python(spark):
     text = data.select("b", utf8_lossy(F.col("b")).alias("t"))
     assert all(r.t == (None if r.b is None else bytes(r.b).decode("utf-8", "replace")) for r in text.collect())
     assert "Python" not in text._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_step_s_type_is_looked_up_once(spark):
+    files = spark.createDataFrame([("a", "json", "{}")], "path string, format string, content string")
+    plan = parse.parse_plans(files)._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("$.action.type") <= 2, plan.count("$.action.type")  # its kind and its text
+
+
+def test_plain_yaml_is_what_the_loader_gives():
+    loader = parse._yaml_loader()
+    deep = "[" * 400 + "]" * 400
+    texts = ["", "a", "a: b", "- a\n- 1\n- 1.5\n- ~\n- yes\n- true", "a: 1\na: b", "? [x]\n: y", "? 1\n: y", "a: &x [b]\nc: *x", "a: &x\n  b: *x", "!!str {a: b}", "!!map x", "!!set {a, b}", "!!binary aGk=", "!own x",
+             "<<: {a: b}\nc: d", "a: 'é\\n'\nb: |\n  two\n  lines\n", "a: [b", "--- a\n--- b", "{}", "[]", "{a: {b: [c, {d: e}]}}", "a: ''", "a:", "2001-01-01", "a & b", deep]
+
+    def outcome(load):
+        try:
+            return json.dumps(load(), allow_nan=False)
+        except (yaml.YAMLError, ValueError, TypeError) as e:
+            return type(e), str(e).split("\n")[0]
+
+    for text in texts:
+        assert outcome(lambda: parse._loaded(text, loader)) == outcome(lambda: yaml.load(text, loader)), text
