@@ -30,13 +30,24 @@ from .chunks import event_chunk, object_chunk
 SCHEMA = "file string, seq long, response string, data binary"
 
 
+#: Bytes of recordings in a partition: at least, and at most but for one file more; between, a batch has about ``PARTS``.
+LEAST_BYTES, MOST_BYTES, PARTS = 1 << 20, 16 << 20, 200
+
+
 @dataclass
-class Range(InputPartition):
+class Range:
     name: str
     start: int
     end: int | None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Files that one task reads one after the other."""
+
+    files: list[Range]
+
+
 class RecordedChunks(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -53,9 +64,10 @@ class ChunkReader(DataSourceStreamReader):
     def __init__(self, uri: str):
         self.uri = uri
 
-    def _names(self) -> list[str]:
+    def _names(self) -> dict[str, int]:
+        """The files in order of names, with their bytes."""
         store, root = file_system(self.uri)
-        return sorted(i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
+        return dict(sorted((i.base_name, i.size or 0) for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))))
 
     def _lines(self, name: str) -> Iterator[bytes]:
         store, root = file_system(self.uri)
@@ -71,23 +83,34 @@ class ChunkReader(DataSourceStreamReader):
         return {"file": "", "chunks": 0}
 
     def latestOffset(self) -> dict:
-        names = self._names()
+        names = list(self._names())
         return {"file": names[-1], "chunks": sum(1 for _ in self._lines(names[-1]))} if names else self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [
-            Range(name, start["chunks"] if name == start["file"] else 0, end["chunks"] if name == end["file"] else None)
-            for name in self._names()
+        sizes = {
+            name: size
+            for name, size in self._names().items()
             if start["file"] <= name <= end["file"] and (name != start["file"] or start != end)
-        ]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        for seq, line in enumerate(self._lines(partition.name)):
-            if partition.end is not None and seq >= partition.end:
-                return
-            if seq >= partition.start:
-                chunk = json.loads(line)
-                yield partition.name, seq, chunk["response"], base64.b64decode(chunk["chunk"])
+        }
+        wanted = max(LEAST_BYTES, min(MOST_BYTES, sum(sizes.values()) // PARTS))
+        parts: list[InputPartition] = []
+        held = wanted
+        for name, size in sizes.items():  # a task for each file would cost more than its reading
+            if held >= wanted:
+                parts.append(Ranges([]))
+                held = 0
+            parts[-1].files.append(Range(name, start["chunks"] if name == start["file"] else 0, end["chunks"] if name == end["file"] else None))
+            held += size
+        return parts
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for part in partition.files:
+            for seq, line in enumerate(self._lines(part.name)):
+                if part.end is not None and seq >= part.end:
+                    break
+                if seq >= part.start:
+                    chunk = json.loads(line)
+                    yield part.name, seq, chunk["response"], base64.b64decode(chunk["chunk"])
 
     def commit(self, end: dict) -> None:
         """Nothing is deleted: recordings can be read again."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import utf8_lossy
 from docloom.plans import parse
+from docloom.streaming.recorded import ChunkReader
 
 
 def test_bad_bytes_are_replaced_as_by_python_without_python(spark):
@@ -40,3 +41,14 @@ def test_plain_yaml_is_what_the_loader_gives():
 
     for text in texts:
         assert outcome(lambda: parse._loaded(text, loader)) == outcome(lambda: yaml.load(text, loader)), text
+
+
+def test_small_recordings_share_a_task(tmp_path):
+    for k in range(500):
+        (tmp_path / f"r{k:04}").write_text("".join(json.dumps({"response": f"{k}-{j}", "chunk": "YQ=="}) + "\n" for j in range(3)))
+    reader = ChunkReader(str(tmp_path))
+    for start, end, first, last in ((reader.initialOffset(), reader.latestOffset(), 0, 1500), ({"file": "r0010", "chunks": 2}, {"file": "r0450", "chunks": 1}, 32, 1351)):
+        parts = reader.partitions(start, end)
+        assert len(parts) <= 10
+        assert [r[2] for p in parts for r in reader.read(p)] == [f"{k}-{j}" for k in range(500) for j in range(3)][first:last]
+    assert reader.partitions(end, end) == []
