@@ -97,7 +97,7 @@ def requests(log: DataFrame, *, system_prompt: str | None = None) -> DataFrame:
 
 
 def _plain(column: str, system_prompt: str | None) -> Column:
-    plain = F.transform(F.col(column), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    plain = F.transform(F.col(column), lambda m: F.struct(F.lower(m["role"]).alias("role"), m["content"].alias("content")))
     if system_prompt is None:
         return plain
     return F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))), plain)
@@ -117,45 +117,82 @@ def _messages(df: DataFrame, message: Column) -> DataFrame:
     return df.select("conv_id", "turn", message.alias("_m")).select("conv_id", "turn", *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
+#: What an open conversation has said so far, in the order of its requests.
+SAID = "array<struct<turn:bigint,role:string,content:string>>"
+
+
+def _grown(*messages: Column) -> Column:
+    """``messages`` with more behind them."""
+    return F.concat("messages", F.array(*messages).cast(SAID))
+
+
+def _one(turn: Column, role: Column, content: Column) -> Column:
+    return F.struct(turn.cast("long").alias("turn"), role.alias("role"), content.alias("content"))
+
+
 def rounds(
-    log: DataFrame, responder: Responder, registry: Registry, *, last: DataFrame | None = None, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
+    log: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(said, outcomes): the messages that were added and (conv_id, answer, error, last) of each conversation, last being its last turn.
+    """(said, outcomes): the messages that were added and (conv_id, answer, error, last) of each conversation, last being its last turn."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.lower("role").alias("_r"), "content", "role")))
+    talks = log.groupBy("conv_id").agg(F.max("turn").cast("long").alias("last"), F.transform(ordered, lambda m: _one(m["turn"], m["role"], m["content"])).alias("messages"))
+    said, ended = continued(talks.checkpoint(), responder, registry, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
+    return said, ended.select("conv_id", "answer", "error", "last")
+
+
+def continued(
+    talks: DataFrame, responder: Responder, registry: Registry, *, most_rounds: int = MOST_ROUNDS, compact_to: int | None = None, system_prompt: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(said, ended) of ``talks(conv_id, last, messages, ...)``, a row for each conversation with all that it said.
+
+    said   the messages that were added
+    ended  the rows of ``talks`` with ``answer`` and ``error``; ``last`` is the last turn, and
+           ``messages`` holds all that was said where there is no error
 
-    ``last(conv_id, last)`` tells the last turns in the log where they are known.  An unknown tool or bad arguments end a conversation with an error; a tool that fails
-    does not.  A round keeps its answers and the results of its calls, and nothing of the
-    log is written again.
+    An unknown tool or bad arguments end a conversation with an error; a tool that fails
+    does not.  A conversation is a row that grows, so that a round moves those that are
+    open once and gathers none of them anew.
     """
     none, no_error = F.lit(None).cast("string"), F.lit(None).cast(ERROR)
-    still = log.groupBy("conv_id").agg(F.max("turn").alias("last")).checkpoint() if last is None else last.select("conv_id", "last")
+    more = [c for c in talks.columns if c not in ("last", "messages")]
+    still: DataFrame | None = talks
     said: list[DataFrame] = []
     ended: list[DataFrame] = []
     for _ in range(most_rounds):
-        seen = reduce(DataFrame.unionByName, [log, *said]).join(still.select("conv_id"), "conv_id", "left_semi")
-        if compact_to is not None:
-            seen = conversation.compact(seen, compact_to)
-        found = responder.complete(requests(seen, system_prompt=system_prompt)).select("conv_id", "content", "tool_calls", F.lit(True).alias("_answered"))
+        if compact_to is None:
+            asking = still.select("conv_id", F.to_json(_plain("messages", system_prompt)).alias("request"))
+        else:
+            asking = requests(conversation.compact(still.select("conv_id", F.inline("messages")), compact_to), system_prompt=system_prompt)
+        found = responder.complete(asking).select("conv_id", "content", "tool_calls", F.lit(True).alias("_answered"))
         answers = still.join(found, "conv_id", "left").checkpoint()
         calling = not answers.filter(has_calls(F.col("tool_calls"))).isEmpty()
         answer = F.struct(F.lit("assistant").alias("role"), F.col("content"), none.alias("name"), F.col("tool_calls"), none.alias("tool_call_id"))
         said.append(_messages(answers.filter("_answered").withColumn("turn", F.col("last") + 1), answer))
+        spoken = _grown(_one(F.col("last") + 1, F.lit("assistant"), F.col("content")))
         over = answers.filter(~has_calls(F.col("tool_calls")))
         turn = F.col("last") + F.col("_answered").isNotNull().cast("long")
-        ended.append(over.select("conv_id", F.col("content").alias("answer"), F.when(F.col("_answered").isNull(), _problem("provider.api", "no answer")).alias("error"), turn.alias("last")))
+        messages = F.when(F.col("_answered"), spoken).otherwise(F.col("messages"))
+        problem = F.when(F.col("_answered").isNull(), _problem("provider.api", "no answer"))
+        ended.append(over.select(*more, turn.alias("last"), messages.alias("messages"), F.col("content").alias("answer"), problem.alias("error")))
         if not calling:
             still = None
             break
-        asked = answers.filter(has_calls(F.col("tool_calls"))).select("conv_id", "last", F.size("tool_calls").alias("_n"), F.posexplode("tool_calls").alias("ord", "call"))
+        called = answers.filter(has_calls(F.col("tool_calls")))
+        asked = called.select("conv_id", "last", F.size("tool_calls").alias("_n"), F.posexplode("tool_calls").alias("ord", "call"))
         asked = asked.select("conv_id", "last", "_n", "ord", F.col("call.id").alias("id"), F.col("call.function.name").alias("name"), F.col("call.function.arguments").alias("arguments"))
         calls = registry.execute(asked).checkpoint()
         failed = calls.groupBy("conv_id", "last", "_n").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("ord", "error"))).alias("_f"))
         # results of the calls before the first that is in error
         good = calls.join(failed.select("conv_id", F.col("_f.ord").alias("_at")), "conv_id").filter("result is not null and (_at is null or ord < _at)")
-        said.append(_messages(good.withColumn("turn", (F.col("last") + 2 + F.col("ord")).cast("long")), result_message(F.col("id"), F.col("name"), F.col("result"))))
-        ended.append(failed.filter("_f is not null").select("conv_id", none.alias("answer"), F.col("_f.error").alias("error"), (F.col("last") + 1 + F.col("_f.ord")).cast("long").alias("last")))
-        still = failed.filter("_f is null").select("conv_id", (F.col("last") + 1 + F.col("_n")).cast("long").alias("last")).checkpoint()
+        results = _messages(good.withColumn("turn", (F.col("last") + 2 + F.col("ord")).cast("long")), result_message(F.col("id"), F.col("name"), F.col("result")))
+        said.append(results)
+        told = results.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).cast(SAID).alias("_told"))
+        after = called.select(*more, "last", spoken.alias("messages")).join(failed.drop("last"), "conv_id").join(told, "conv_id", "left")
+        ended.append(after.filter("_f is not null").select(*more, (F.col("last") + 1 + F.col("_f.ord")).cast("long").alias("last"), "messages", none.alias("answer"), F.col("_f.error").alias("error")))
+        messages = F.concat("messages", F.coalesce("_told", F.array().cast(SAID)))
+        still = after.filter("_f is null").select(*more, (F.col("last") + 1 + F.col("_n")).cast("long").alias("last"), messages.alias("messages")).checkpoint()
     if still is not None:
-        ended.append(still.select("conv_id", none.alias("answer"), _problem("workflow.execution", f"no answer after {most_rounds} rounds").alias("error"), "last"))
+        ended.append(still.select(*more, "last", "messages", none.alias("answer"), _problem("workflow.execution", f"no answer after {most_rounds} rounds").alias("error")))
     return reduce(DataFrame.unionByName, said), reduce(DataFrame.unionByName, [df.withColumn("error", F.coalesce("error", no_error)) for df in ended])
 
 

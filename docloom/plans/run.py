@@ -47,41 +47,47 @@ def run_plans(
     plans  (plan, n_steps, n_done, error): the failed step's error, or that of a deadlock
     log    the conversations, with the plan as conv_id
     """
-    steps = steps.filter("plan is not null")
-    scheduled = waves.schedule(steps)
-    wanted = steps.select(F.col("plan").alias("_p"), F.col("ord").alias("_o"), F.col("action.type").alias("action"), F.col("action.params.prompt").alias("prompt"))
-    joined = scheduled.join(wanted, F.col("plan").eqNullSafe(F.col("_p")) & (F.col("ord") == F.col("_o"))).drop("_p", "_o")
-    in_order = Window.partitionBy("plan", F.col("wave").isNull()).orderBy("wave", "ord")
-    task = (F.col("action") == "agent_task") & F.col("wave").isNotNull()
-    placed = joined.withColumn("place", F.when(F.col("wave").isNotNull(), F.row_number().over(in_order)))
-    placed = placed.withColumn("_task", F.when(task, F.sum(task.cast("long")).over(in_order))).checkpoint()
-    tasks = placed.filter("_task is not null").select(F.col("plan").alias("conv_id"), "_task", F.coalesce("prompt", F.lit("")).alias("prompt"))
-    most = tasks.agg(F.max("_task")).head()[0] or 0
+    steps = steps.filter("plan is not null").select("plan", "ord", "id", "deps", F.col("action.type").alias("_action"), F.col("action.params.prompt").alias("_prompt"))
+    scheduled = waves.schedule(steps, carried=("_action", "_prompt"))
+    # all of a plan by one shuffle; steps that never run come last
+    in_order = Window.partitionBy("plan").orderBy(F.col("wave").isNull(), "wave", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    task = (F.col("_action") == "agent_task") & F.col("wave").isNotNull()
+    placed = scheduled.withColumn("place", F.when(F.col("wave").isNotNull(), F.count(F.lit(1)).over(in_order)))
+    placed = placed.withColumn("_task", F.when(task, F.count_if(task).over(in_order)))
+    prompt = F.when(task, F.coalesce("_prompt", F.lit("")))
+    placed = placed.select("plan", "wave", "ord", "id", "place", "_task", prompt.alias("_prompt")).checkpoint()
+    wanted = F.array_sort(F.collect_list(F.struct("_task", "place", F.col("_prompt").alias("prompt"))))
+    # a row for each conversation: what it said, the tasks to come, and which messages are the answers to those before
+    talks = placed.filter("_task is not null").groupBy(F.col("plan").alias("conv_id")).agg(wanted.alias("_tasks"))
+    talks = talks.withColumns({"last": F.lit(-1).cast("long"), "messages": F.array().cast(agent.SAID), "_answers": F.array().cast("array<int>")}).checkpoint()
+    most = talks.agg(F.max(F.size("_tasks"))).head()[0] or 0
 
-    spark = steps.sparkSession
-    kind = steps.schema["plan"].dataType.simpleString()
-    empty = spark.createDataFrame([], LOG.replace("conv_id long", f"conv_id {kind}"))
     parts: list[DataFrame] = []  # what each round adds to the log
     results: list[DataFrame] = []
-    for k in range(1, most + 1):
-        asked = tasks.filter(F.col("_task") == k)
-        if results:
-            asked = asked.join(results[-1].filter("error is null").select("conv_id", "last"), "conv_id").withColumn("last", F.col("last") + 1)
-        else:
-            asked = asked.withColumn("last", F.lit(0).cast("long"))
-        asked = asked.checkpoint()
-        new = agent._messages(asked.withColumn("turn", F.col("last")), conversation.message("user", F.col("prompt")))
-        before = reduce(DataFrame.unionByName, parts).join(asked.select("conv_id"), "conv_id", "left_semi") if parts else empty
-        said, outcomes = agent.rounds(before.unionByName(new), responder, registry, last=asked, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
-        parts.append(new.unionByName(said))
-        results.append(outcomes.withColumn("_task", F.lit(k).cast("long")))
+    for _ in range(most):
+        next_ = F.col("_tasks")[0]
+        turn = F.col("last") + 1
+        said_now = F.array(F.struct(turn.alias("turn"), F.lit("user").alias("role"), next_["prompt"].alias("content"))).cast(agent.SAID)
+        later = F.slice("_tasks", F.lit(2), F.size("_tasks"))
+        asked = talks.select("conv_id", turn.alias("last"), F.concat("messages", said_now).alias("messages"), next_["place"].alias("_place"), later.alias("_tasks"), "_answers")
+        parts.append(agent._messages(asked.withColumn("turn", F.col("last")), conversation.message("user", F.element_at("messages", -1)["content"])))
+        said, ended = agent.continued(asked, responder, registry, most_rounds=most_rounds, compact_to=compact_to, system_prompt=system_prompt)
+        parts.append(said)
+        answered = F.concat("_answers", F.array(F.size("messages")))
+        ended = ended.withColumn("_answers", F.when(F.col("error").isNull(), answered).otherwise(F.col("_answers")))
+        goes_on = F.col("error").isNull() & (F.size("_tasks") > 0)
+        outputs = F.transform("_answers", lambda at: F.col("messages")[at - 1]["content"])
+        stop = F.when(F.col("error").isNotNull(), F.col("_place"))
+        results.append(ended.filter(~goes_on).select(F.col("conv_id").alias("plan"), outputs.alias("_outputs"), stop.alias("_stop"), F.col("error").alias("_error")))
+        talks = ended.filter(goes_on)
 
-    done = reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], f"conv_id {kind}, answer string, error {ERROR}, last long, _task long")
-    done = done.select(F.col("conv_id").alias("plan"), "_task", F.col("answer").alias("output"), F.col("error").alias("_error"))
-    stopped = Window.partitionBy("plan")
-    ran = placed.join(done, ["plan", "_task"], "left").withColumn("_stop", F.min(F.when(F.col("_error").isNotNull(), F.col("place"))).over(stopped))
+    if results:
+        ran = placed.join(reduce(DataFrame.unionByName, results), "plan", "left")
+    else:
+        ran = placed.withColumns({"_outputs": F.lit(None).cast("array<string>"), "_stop": F.lit(None).cast("long"), "_error": F.lit(None).cast(ERROR)})
     state = F.when(F.col("place").isNull() | (F.col("place") > F.col("_stop")), "skipped").when(F.col("place") == F.col("_stop"), "failed").otherwise("done")
-    ran = ran.select("plan", "wave", "ord", "id", "place", state.alias("state"), "output", F.col("_error").alias("error"))
+    output, error = F.get("_outputs", (F.col("_task") - 1).cast("int")), F.when(F.col("place") == F.col("_stop"), F.col("_error"))
+    ran = ran.select("plan", "wave", "ord", "id", "place", state.alias("state"), output.alias("output"), error.alias("error"))
     counted = ran.groupBy("plan").agg(
         F.count("*").alias("n_steps"), F.size(F.collect_set(F.when(F.col("state") == "done", F.col("id")))).cast("long").alias("n_done"),
         F.max(F.when(F.col("state") == "failed", F.struct("id", "error"))).alias("_failed"),
@@ -89,4 +95,7 @@ def run_plans(
     failure = errors.error("workflow.execution", F.concat(F.lit("step "), F.coalesce("_failed.id", F.lit("")), F.lit(": "), F.col("_failed.error.message")))
     left = F.when(F.col("n_done") < F.col("n_steps"), errors.error("workflow.execution", F.lit(DEADLOCK)))
     plans = counted.select("plan", "n_steps", "n_done", F.when(F.col("_failed").isNotNull(), failure).otherwise(left).alias("error"))
-    return ran, plans, reduce(DataFrame.unionByName, parts) if parts else empty
+    if parts:
+        return ran, plans, reduce(DataFrame.unionByName, parts)
+    kind = steps.schema["plan"].dataType.simpleString()
+    return ran, plans, steps.sparkSession.createDataFrame([], LOG.replace("conv_id long", f"conv_id {kind}"))

@@ -131,13 +131,15 @@ def _scheduled(table: pa.Table) -> pa.RecordBatch:
     plan = pd.factorize(plans.to_pandas(), use_na_sentinel=False)[0].astype(np.int64)
     counts = listed.value_lengths().fill_null(0).to_numpy()
     owner = np.repeat(np.arange(n), counts)
-    names = np.concatenate([ids.to_numpy(zero_copy_only=False), listed.flatten().to_numpy(zero_copy_only=False)])
-    code = pd.factorize(names)[0].astype(np.int64)  # -1: null, which is no other step's id
+    names = pa.concat_arrays([ids, listed.flatten()]).dictionary_encode()
+    code = names.indices.fill_null(-1).to_numpy().astype(np.int64)  # -1: null, which is no other step's id
     own = np.where(code[:n] >= 0, plan * (n + len(owner) + 1) + code[:n], -1 - np.arange(n))
     wanted = np.where(code[n:] >= 0, plan[owner] * (n + len(owner) + 1) + code[n:], np.iinfo(np.int64).min)
     number = pd.factorize(np.concatenate([own, wanted]))[0]
     wave = peel(number[:n], owner, number[n:])
-    return pa.RecordBatch.from_arrays([plans, *[table.column(c).combine_chunks() for c in ("ord", "id")], pa.array(wave, pa.int64(), mask=wave < 0)], ["plan", "ord", "id", "wave"])
+    carried = [c for c in table.column_names if c not in ("plan", "ord", "id", "deps")]
+    columns = [pa.array(wave, pa.int64(), mask=wave < 0) if c == "wave" else table.column(c).combine_chunks() for c in ("plan", "ord", "id", "wave", *carried)]
+    return pa.RecordBatch.from_arrays(columns, ["plan", "ord", "id", "wave", *carried])
 
 
 def _by_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,23 +162,24 @@ def _by_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _scheduled(pa.Table.from_batches(held))
 
 
-def schedule(steps: DataFrame, *, most_steps: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """(plan, ord, id, wave) of every step; a null wave for one that never runs.
+def schedule(steps: DataFrame, *, most_steps: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), carried: tuple[str, ...] = ()) -> DataFrame:
+    """(plan, ord, id, wave, *carried) of every step; a null wave for one that never runs.
 
     Plans are dealt out whole by one shuffle and peeled where they lie.  A plan of over
     ``most_steps`` steps is never gathered in one task but peeled in blocks.
     """
     most_steps = MOST_STEPS if most_steps is None else most_steps
-    steps = steps.select("plan", "ord", "id", "deps")
+    steps = steps.select("plan", "ord", "id", "deps", *carried)
     kinds = steps.schema
     sizes = steps.groupBy("plan").agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") > most_steps).select(F.col("plan").alias("_large"))
     result = f"plan {kinds['plan'].dataType.simpleString()}, ord {kinds['ord'].dataType.simpleString()}, id string, wave long"
+    result += "".join(f", {c} {kinds[c].dataType.simpleString()}" for c in carried)
     if large.isEmpty():
         return steps.repartition("plan").sortWithinPartitions("plan").mapInArrow(_by_partition, result)
     same = F.col("plan").eqNullSafe(F.col("_large"))
     small = steps.join(large, same, "left_anti").repartition("plan").sortWithinPartitions("plan").mapInArrow(_by_partition, result)
-    return small.unionByName(_by_blocks(steps.join(large, same, "left_semi"), most_steps, checkpoint))
+    return small.unionByName(_by_blocks(steps.join(large, same, "left_semi"), most_steps, checkpoint).select("plan", "ord", "id", "wave", *carried))
 
 
 #: Rounds after which the blocks' waves are written together again.
@@ -240,7 +243,7 @@ def _by_blocks(steps: DataFrame, most_steps: int, checkpoint: Callable[[DataFram
         active = sorted(r.block for r in imports.filter("new").select("block").distinct().collect())
     waves_of = _last(found).select(F.col("plan").alias("_p"), F.col("id").alias("_i"), F.col("_set").alias("_s"), "wave")
     ran = steps.join(waves_of, F.col("plan").eqNullSafe(F.col("_p")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("_set") == F.col("_s")), "left")
-    return ran.select("plan", "ord", "id", "wave")
+    return ran.drop("_p", "_i", "_s", "_set", "deps")
 
 
 def _last(found: list[tuple[list[int], DataFrame]]) -> DataFrame:

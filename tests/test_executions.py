@@ -119,6 +119,31 @@ def test_a_plan_runs_in_one_conversation(spark):
     assert said["bad"][-1] == (2, "user", "fail here")
 
 
+def test_steps_are_read_twice_and_each_request_is_made_once(spark):
+    """Once for the plans' sizes and once for all else, however many tasks a plan has; prompts go along with the schedule."""
+    read, made = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(counter):
+        def count(batches):
+            for batch in batches:
+                counter.add(batch.num_rows)
+                yield batch
+
+        return count
+
+    class Echo:
+        def complete(self, requests):
+            asked = requests.mapInArrow(counting(made), requests.schema)
+            return asked.select("conv_id", F.regexp_count("request", F.lit('"role"')).cast("string").alias("content"), F.lit(None).cast(TOOL_CALLS).alias("tool_calls"))
+
+    rows = [(f"p{p}", k, f"s{k}", task(f"t{k}"), [f"s{k - 1}"] if k else []) for p in range(5) for k in range(4)]
+    steps = spark.createDataFrame(rows, STEPS)
+    ran, plans, _ = run.run_plans(steps.mapInArrow(counting(read), steps.schema), Echo(), tools.Registry())
+    assert {(r.plan, r.id): r.output for r in ran.collect()} == {(f"p{p}", f"s{k}"): str(2 * k + 1) for p in range(5) for k in range(4)}
+    assert plans.filter("n_done = 4 and error is null").count() == 5
+    assert read.value <= 2 * len(rows) and made.value == len(rows)
+
+
 def test_no_plans_and_plans_without_tasks(spark):
     for rows in ([], [("p", 0, "a", OTHER, [])]):
         ran, plans, log = run.run_plans(spark.createDataFrame(rows, STEPS), agent.Template(F.lit("x")), tools.Registry())
