@@ -50,7 +50,9 @@ _SALTS = 32
 GROUP = 256
 #: Powers of 1/p between the lengths at which bands begin.
 _WIDTH = 4
-_CELLS = 1 << 20
+#: Places of a tile's comparison, and signatures of sets, that are gone through at once.
+_CELLS = 1 << 18
+_SIGNATURES = 1 << 18
 _U = np.uint64
 
 
@@ -78,6 +80,17 @@ def ranking(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sigs[order], order
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``_SIGNATURES`` signatures; a larger set stands alone."""
+    ends = np.cumsum(batch.column("sigs").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + _SIGNATURES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 _POSTING = "list long, node long, n int, rest int, bits long, guest boolean"
 
 
@@ -89,7 +102,7 @@ def postings(nodes: DataFrame, percent: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("lengthbands")
         ranked, rank = shared.value
-        for batch in batches:
+        for batch in (some for whole in batches for some in _in_parts(whole)):
             column = batch.column("sigs")
             flat, offsets = column.flatten().to_numpy().view(np.uint32), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy().astype(np.int64))))
             n = np.diff(offsets)

@@ -1,9 +1,12 @@
 """The search by length bands against a comparison of every two sets, with limits so low that every way is taken."""
 
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import lengthbands, spotsigs
@@ -55,6 +58,46 @@ def test_search_is_exact(spark, monkeypatch, low, percent):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def emitter(monkeypatch, most_common):
+    """What a task of ``postings`` does, without a cluster."""
+    monkeypatch.setattr(lengthbands, "ranking", lambda nodes: (np.arange(most_common, dtype=np.uint32), np.arange(most_common)))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+    nodes = SimpleNamespace(sparkSession=session, select=lambda *names: SimpleNamespace(mapInArrow=lambda work, schema: work))
+    return lengthbands.postings(nodes, 75)
+
+
+def test_a_full_batch_is_posted_in_little_memory(monkeypatch):
+    """A task's memory does not grow with the signatures of a batch, which has 10,000 sets in large inputs."""
+    n, size = 6000, 400
+    sigs = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, np.arange(n * size, dtype=np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), sigs], ["node", "sigs"])
+    emit = emitter(monkeypatch, 900)
+    tracemalloc.start()
+    try:
+        rows = [0, 0]
+        for out in emit(iter([batch])):
+            home = ~out.column("guest").to_numpy(zero_copy_only=False)
+            rows[0] += int(home.sum())
+            rows[1] += int(out.column("node").to_numpy()[home].sum())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    posted = size - 300 + 1
+    assert rows == [n * posted, posted * n * (n - 1) // 2]
+    assert peak < 60e6
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_parts_of_a_batch_are_posted_like_the_whole(monkeypatch, most):
+    sets = families(5)
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(sets)), pa.int64()), "sigs": pa.array([sorted(s) for s in sets], pa.list_(pa.int32()))})
+    emit = emitter(monkeypatch, 300)
+    rows = lambda: [sorted(map(tuple, (r.values() for out in emit(iter([batch])) for r in out.to_pylist())))]
+    whole = rows()
+    monkeypatch.setattr(lengthbands, "_SIGNATURES", most)
+    assert rows() == whole and len(list(lengthbands._in_parts(batch))) > 20
+
+
 def test_bands():
     for percent in (50, 75, 99, 100):
         starts = lengthbands.band_starts(percent)
