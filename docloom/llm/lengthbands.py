@@ -60,7 +60,8 @@ def band_starts(percent: int) -> np.ndarray:
     """The least length of each band; the next band's is at least 1/p times as large."""
     starts = [1]
     while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100**_WIDTH // percent**_WIDTH)))
+        # by a hundredth at least, so that bands are few where only equal sets are near
+        starts.append(max(starts[-1] + 1, starts[-1] + starts[-1] // 100, -(-starts[-1] * 100**_WIDTH // percent**_WIDTH)))
     return np.array(starts, np.int64)
 
 
